@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paratope.llm import mixing
+from paratope.llm import mixing, quality
 from paratope.llm.common import table
 
 
@@ -12,5 +12,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op7_mix_sources": op7_mix_sources}
-ORACLES = {"op7_mix_sources": mixing.ORACLE}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {"op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
+ORACLES = {"op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE}
