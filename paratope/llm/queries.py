@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paratope.llm import mixing, quality
+from paratope.llm import mixing, quality, url_filter
 from paratope.llm.common import table
 
 
@@ -17,5 +17,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
-ORACLES = {"op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE}
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {"op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
+ORACLES = {"op6_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE}
