@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paratope.llm import mixing, quality, url_filter
+from paratope.llm import license_scan, mixing, quality, url_filter
 from paratope.llm.common import table
 
 
@@ -21,5 +22,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
-ORACLES = {"op6_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE}
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    files = documents.select(F.col("doc_id").alias("id"), license_scan.document_path(F.col("source"), F.col("doc_id")).alias("path"), "text")
+    return license_scan.scan_licenses(files).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
+ORACLES = {"op5_license_scan": license_scan.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE}
