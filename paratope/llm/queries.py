@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paratope.llm import license_scan, line_dedup, mixing, quality, url_filter
+import public_tokenizers
+
+from paratope.llm import license_scan, line_dedup, mixing, piece_codec, quality, url_filter
 from paratope.llm.common import table
 
 
@@ -33,5 +35,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+QUERIES = {"op10_piece_codec": op10_piece_codec, "op4_line_dedup": op4_line_dedup, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
 ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE}
