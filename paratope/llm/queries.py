@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paratope.llm import license_scan, line_dedup, mixing, piece_codec, quality, sstable, url_filter
+from paratope.llm import langid, license_scan, line_dedup, mixing, piece_codec, quality, sstable, url_filter
 from paratope.llm.common import table
 
 
@@ -45,5 +45,9 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder, shards)
 
 
-QUERIES = {"op9_sstable": op9_sstable, "op10_piece_codec": op10_piece_codec, "op4_line_dedup": op4_line_dedup, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_language_id": op3_language_id, "op9_sstable": op9_sstable, "op10_piece_codec": op10_piece_codec, "op4_line_dedup": op4_line_dedup, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
 ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE}
