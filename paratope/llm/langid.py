@@ -27,6 +27,8 @@ HIDDEN = 8
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 6
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.02, 7
+#: Mean probability under which keep_identified() takes a text for no language that it knows.
+LEAST_SCORE = 0.35
 PAD = 256
 BLOCK = 4096
 GROUP_BYTES = 1 << 20
@@ -260,3 +262,11 @@ def predict(documents: DataFrame, net: Network | None, keys: tuple[str, ...] = (
 def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, by a network fit on the labelled documents that aren't held out."""
     return predict(documents, fit(documents)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents whose language can be told: those that are not `und` and reach the least score; all their columns stay."""
+    carried = [c for c in documents.columns if c != "text"]
+    judged = predict(documents.withColumn("_text", F.col("text")), fit(documents), (*carried, "_text"))
+    kept = judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return kept.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in documents.columns))

@@ -110,7 +110,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: every document's row as often as the words taken of it make whole copies, rounded."""
     mixed = mix_sources(documents, **options).filter("taken > 0 and size > 0")
     copies = mixed.groupBy("doc_id").agg(F.max(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")).alias("_copies")).filter("_copies > 0")
-    joined = documents.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
+    joined = documents.alias("d").join(copies.hint("shuffle_hash").alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
     repeated = joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     return repeated.drop("_copy")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paratope.llm import langid, license_scan, line_dedup, mixing, piece_codec, quality, sstable, topk, url_filter
+from paratope.llm import langid, license_scan, line_dedup, mixing, near_dedup, piece_codec, quality, sstable, topk, url_filter
 from paratope.llm.common import table
 
 
@@ -53,5 +53,9 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_topk": op2_topk, "op3_language_id": op3_language_id, "op9_sstable": op9_sstable, "op10_piece_codec": op10_piece_codec, "op4_line_dedup": op4_line_dedup, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
-ORACLES = {"op2_topk": topk.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE}
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_topk": op2_topk, "op3_language_id": op3_language_id, "op9_sstable": op9_sstable, "op10_piece_codec": op10_piece_codec, "op4_line_dedup": op4_line_dedup, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}
+ORACLES = {"op1_near_dedup": near_dedup.ORACLE, "op2_topk": topk.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE}
