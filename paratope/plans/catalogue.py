@@ -1,10 +1,25 @@
-"""The registered queries and, where SQL can express them, their DuckDB statements."""
+"""The registered queries and, where SQL can express them, their DuckDB statements.
+
+The driver's tables hold no receptors, so operators run on stand-ins: parts are antigens, suppliers receptors,
+returned lines cognate pairs, events residues and seeds, embeddings geometry. Each runs over whole tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paratope.functions import hla, keys, text
+from paratope.functions.distance import complete_linkage, mahalanobis, superposed_rmsd
+from paratope.operators import alleles, evaluation, negatives, relational
+from paratope.operators.features import REGIONS
+from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, TCR_COLUMNS
+from paratope.session import ship
+from paratope.sources import jobs as job_files
+from paratope.sources.tables import new_only
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,14 +35,483 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("job_name_md5", "SELECT p_partkey, md5(p_name || p_brand || p_type) AS job_name, sha256(p_name) AS name_sha256, sha1(p_name) AS name_sha1 FROM part")
+def job_name_md5(spark, sf_dir):
+    named = keys.with_job_name(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
+    return named.select("p_partkey", "job_name", keys.hash_sequence("p_name", "sha256").alias("name_sha256"), keys.hash_sequence("p_name", "sha1").alias("name_sha1"))
+
+
 @query(
     "cognate_thresh",
-    """SELECT l_partkey, count(*) AS n_cognate FROM lineitem WHERE l_returnflag = 'R'
-       GROUP BY l_partkey HAVING count(*) >= 12""",
+    """WITH good AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey HAVING count(*) >= 12)
+       SELECT l_partkey, count(*) AS n_triads, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS n_cognate
+       FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM good) GROUP BY l_partkey""",
+)
+def cognate_thresh(spark, sf_dir):
+    triads = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_returnflag") == "R").alias("cognate"))
+    antigens = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"))
+    kept, _ = relational.cognate_threshold(triads, antigens, 12, ["l_partkey"])
+    return kept.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_triads"), F.count_if("cognate").alias("n_cognate"))
+
+
+@query("needed_negs", "SELECT l_partkey, count(*) * 10 AS needed_negs FROM lineitem GROUP BY l_partkey")
+def needed_negs(spark, sf_dir):
+    return relational.demand(table(spark, sf_dir, "lineitem"), 10, ["l_partkey"])
+
+
+def _antigens(part: DataFrame) -> DataFrame:
+    return part.select(F.col("p_name").alias("peptide"), F.col("p_type").alias("mhc_1_seq"), F.lit("light").alias("mhc_2_seq")).distinct()
+
+
+@query(
+    "edit_theta_join",
+    """WITH a AS (SELECT DISTINCT p_name, p_type FROM part)
+       SELECT x.p_name AS name_a, x.p_type AS type_a, y.p_name AS name_b, y.p_type AS type_b FROM a x JOIN a y
+       ON (x.p_name <> y.p_name OR x.p_type <> y.p_type) AND levenshtein(x.p_name, y.p_name) + levenshtein(x.p_type, y.p_type) > 3""",
+)
+def edit_theta_join(spark, sf_dir):
+    antigens = _antigens(table(spark, sf_dir, "part"))
+    a, b = antigens.alias("a"), antigens.alias("b")
+    differ = (F.col("a.peptide") != F.col("b.peptide")) | (F.col("a.mhc_1_seq") != F.col("b.mhc_1_seq"))
+    return a.join(b, differ & negatives.edit_sum("a", "b", 3)).select(F.col("a.peptide").alias("name_a"), F.col("a.mhc_1_seq").alias("type_a"), F.col("b.peptide").alias("name_b"), F.col("b.mhc_1_seq").alias("type_b"))
+
+
+def _stand_in_triads(spark, sf_dir, positive: bool) -> DataFrame:
+    """Triads of suppliers (receptors) and the parts (antigens) of returned or other lines, one antigen a part name and type."""
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == ("R" if positive else "N")).select("l_partkey", "l_suppkey").distinct()
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    pairs = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("p_name", "p_type", "l_suppkey").distinct()
+    given = {"peptide": F.col("p_name"), "mhc_1_seq": F.col("p_type"), "mhc_2_seq": F.lit("light"), "tcr_1_seq": F.col("l_suppkey").cast("string"), "tcr_2_seq": F.lit("b"), "cognate": F.lit(positive), "job_name": F.lit("")}
+    from paratope.schema import TRIAD_COLUMNS
+
+    return pairs.select(*(given.get(c, F.lit("x")).alias(c) for c in TRIAD_COLUMNS), *(F.lit("").alias(c) for c in CDR_COLUMNS))
+
+
+@query(
+    "negative_candidates",
+    """WITH pairs AS (SELECT DISTINCT p_name, p_type, l_suppkey, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey),
+       pos AS (SELECT DISTINCT p_name, p_type, l_suppkey FROM pairs WHERE l_returnflag = 'R'),
+       neg AS (SELECT DISTINCT p_name, p_type, l_suppkey FROM pairs WHERE l_returnflag = 'N'),
+       pa AS (SELECT DISTINCT p_name, p_type FROM pos), na AS (SELECT DISTINCT p_name, p_type FROM neg),
+       far AS (SELECT pa.p_name, pa.p_type, na.p_name AS sn, na.p_type AS st FROM pa JOIN na
+         ON (pa.p_name <> na.p_name OR pa.p_type <> na.p_type) AND levenshtein(pa.p_name, na.p_name) + levenshtein(pa.p_type, na.p_type) > 3),
+       near AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON abs(a.s_acctbal - b.s_acctbal) <= 0.5),
+       bad AS (SELECT DISTINCT p_name, p_type, b FROM pos JOIN near ON l_suppkey = a),
+       cand AS (SELECT far.p_name, far.p_type, neg.l_suppkey, sn, st FROM far JOIN neg ON neg.p_name = sn AND neg.p_type = st)
+       SELECT c.p_name, c.p_type, count(*) AS n_rows, count(DISTINCT c.l_suppkey) AS n_receptors FROM cand c
+       ANTI JOIN bad ON c.p_name = bad.p_name AND c.p_type = bad.p_type AND c.l_suppkey = bad.b GROUP BY c.p_name, c.p_type""",
+)
+def negative_candidates(spark, sf_dir):
+    """Receptors are near if their suppliers' balances are within half a unit; a balance meets its own and the neighbouring cells of that width."""
+    pos, neg = _stand_in_triads(spark, sf_dir, True), _stand_in_triads(spark, sf_dir, False)
+    balances = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("tcr_1_seq"), "s_acctbal")
+    known = keys.with_ids(neg.unionByName(pos)).select("tcr_id", "tcr_1_seq").distinct().join(balances, "tcr_1_seq")
+    cell = F.floor(F.col("s_acctbal") / 0.5)
+    a = known.select(F.col("tcr_id").alias("a"), F.col("s_acctbal").alias("x"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    b = known.select(F.col("tcr_id").alias("b"), F.col("s_acctbal").alias("y"), cell.alias("cell"))
+    near = a.join(b, "cell").filter(F.abs(F.col("x") - F.col("y")) <= 0.5).select("a", "b")
+    found = negatives.negative_candidates(pos, neg, near=near)
+    return found.groupBy(F.col("peptide").alias("p_name"), F.col("mhc_1_seq").alias("p_type")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("tcr_1_seq").alias("n_receptors"))
+
+
+@query("antigen_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def antigen_anti(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left_anti")
+
+
+@query(
+    "feature_fold_join",
+    """SELECT o.o_orderkey, o.o_orderstatus, q.total_qty, d.max_disc FROM orders o
+       JOIN (SELECT l_orderkey, sum(l_quantity) AS total_qty FROM lineitem GROUP BY 1) q ON o.o_orderkey = q.l_orderkey
+       JOIN (SELECT l_orderkey, max(l_discount) AS max_disc FROM lineitem GROUP BY 1) d ON o.o_orderkey = d.l_orderkey""",
+)
+def feature_fold_join(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    features = [lines.groupBy("o_orderkey").agg(F.sum("l_quantity").alias("total_qty")), lines.groupBy("o_orderkey").agg(F.max("l_discount").alias("max_disc"))]
+    return relational.fold_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), features, "o_orderkey")
+
+
+@query("left_enrich", "SELECT c_custkey, c_name, n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
+def left_enrich(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(counts, "c_custkey", "left")
+
+
+@query(
+    "blast_identity_match",
+    """WITH hits AS (SELECT DISTINCT p_name AS query_id, l_suppkey::VARCHAR AS pdb, l_quantity * 2.0 AS per FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity * 2.0 >= 95),
+       qs AS (SELECT DISTINCT p_name AS peptide, p_brand AS brand FROM part),
+       brand_hits AS (SELECT DISTINCT p_brand AS query_id, l_suppkey::VARCHAR AS pdb, l_quantity * 2.0 AS per FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity * 2.0 >= 95),
+       m AS (SELECT qs.peptide, qs.brand, h.pdb, h.per AS pp, b.per AS bp FROM qs JOIN hits h ON h.query_id = qs.peptide JOIN brand_hits b ON b.query_id = qs.brand AND b.pdb = h.pdb)
+       SELECT qs.peptide, qs.brand, count(pdb) AS n_matches, first(pdb ORDER BY pp DESC, bp DESC, pdb) AS best,
+         first(pp ORDER BY pp DESC, bp DESC, pdb) AS best_peptide, first(bp ORDER BY pp DESC, bp DESC, pdb) AS best_mhc FROM qs LEFT JOIN m USING (peptide, brand) GROUP BY ALL""",
+)
+def blast_identity_match(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    hit = lambda c: lines.select(F.col(c).alias("query_id"), F.col("l_suppkey").cast("string").alias("pdb"), (F.col("l_quantity") * 2.0).alias("per_identity"))
+    queries = table(spark, sf_dir, "part").select(F.col("p_name").alias("peptide"), F.lit("I").alias("mhc_class"), F.col("p_brand").alias("mhc_1_seq"), F.lit(None).cast("string").alias("mhc_2_seq")).distinct()
+    found = relational.identity_matches(queries, hit("p_name").unionByName(hit("p_brand")))
+    return found.select(
+        "peptide", F.col("mhc_1_seq").alias("brand"), F.coalesce(F.size("pmhc_match_id"), F.lit(0)).cast("long").alias("n_matches"), F.get("pmhc_match_id", F.lit(0)).alias("best"), F.col("pmhc_match_peptide_per_identity").alias("best_peptide"), F.col("pmhc_match_mhc_1_per_identity").alias("best_mhc")
+    )
+
+
+@query(
+    "null_default_chain",
+    """SELECT c_custkey, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'I' WHEN c_mktsegment = 'MACHINERY' THEN 'II' END AS klass,
+       coalesce(nullif(CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment END, ''), c_name) AS label FROM customer""",
+)
+def null_default_chain(spark, sf_dir):
+    segment = F.col("c_mktsegment")
+    klass = F.when(segment == "FURNITURE", "I").when(segment == "MACHINERY", "II")
+    label = F.coalesce(text.blank_to_null(F.when(F.col("c_acctbal") < 0, "").otherwise(segment)), F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", klass.alias("klass"), label.alias("label"))
+
+
+_FIXES = {"Supplier#000000003": {"note": "third", "kind": "K"}, "Supplier#000000007": {"note": "seventh"}}
+
+
+@query(
+    "keyed_corrections",
+    """SELECT s_name, CASE s_name WHEN 'Supplier#000000003' THEN 'third' WHEN 'Supplier#000000007' THEN 'seventh' ELSE 'n' || s_nationkey END AS note,
+       CASE s_name WHEN 'Supplier#000000003' THEN 'K' ELSE 'plain' END AS kind FROM supplier""",
+)
+def keyed_corrections(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_name", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("note"), F.lit("plain").alias("kind"))
+    return relational.corrected(rows, "s_name", _FIXES)
+
+
+@query("split_list_last", "SELECT page_id, string_split(url, '/')[-1] AS last_part, len(string_split(url, '/')) AS n_parts, string_split(url, '://')[2] AS rest FROM pages")
+def split_list_last(spark, sf_dir):
+    split = text.parts(F.col("url"), "/")
+    return table(spark, sf_dir, "pages").select("page_id", F.get(text.last_parts(F.array("url")), F.lit(0)).alias("last_part"), F.size(split).cast("long").alias("n_parts"), text.after(F.col("url"), "://").alias("rest"))
+
+
+@query(
+    "segid_index_lookup",
+    """SELECT p_partkey, (list_position(string_split(p_name, ' '), 'ring') - 1)::INTEGER AS at,
+       string_split(p_type || ' ' || p_brand, ' ')[list_position(string_split(p_name, ' '), 'ring')] AS item FROM part""",
+)
+def segid_index_lookup(spark, sf_dir):
+    at = text.index_of(text.stripped(text.parts(F.col("p_name"), " ")), "ring")
+    other = text.parts(F.concat_ws(" ", "p_type", "p_brand"), " ")
+    return table(spark, sf_dir, "part").select("p_partkey", at.alias("at"), text.item(other, at).alias("item"))
+
+
+@query(
+    "topology_slice",
+    """SELECT p_partkey, CASE WHEN starts_with(upper(p_name), 'C') THEN substr(repeat(p_brand, 50), 25, 284) WHEN starts_with(upper(p_name), 'B') THEN substr(repeat(p_brand, 50), 25, 285)
+       WHEN starts_with(upper(p_name), 'A') THEN substr(repeat(p_brand, 50), 25, 284) WHEN starts_with(upper(p_name), 'E') THEN substr(repeat(p_brand, 50), 22, 284) END AS domain,
+       array_to_string(string_split(p_name || ':' || p_type || ':' || p_size, ':')[1:2], ':') AS short_name FROM part""",
+)
+def topology_slice(spark, sf_dir):
+    name = F.upper("p_name")
+    known = F.when(name.rlike("^[ABCE]"), name)
+    full = F.concat_ws(":", "p_name", "p_type", F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", hla.human_domain(known, F.repeat("p_brand", F.lit(50))).alias("domain"), hla.two_fields(full).alias("short_name"))
+
+
+@query("peptide_strip", "SELECT p_partkey, CASE WHEN instr(p_name, substr(p_name, 3, 2)) > 0 THEN substr(p_name, instr(p_name, substr(p_name, 3, 2)) + 2) ELSE p_name END AS rest FROM part")
+def peptide_strip(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.drop_through(F.col("p_name"), F.substring("p_name", 3, 2)).alias("rest"))
+
+
+@query(
+    "list_flatten_agg",
+    """SELECT o_custkey, array_to_string(list_sort(flatten(list(string_split(o_orderpriority, '-')))), ',') AS all_parts,
+       array_to_string(list_sort(list_distinct(flatten(list(string_split(o_orderpriority, '-'))))), ',') AS parts FROM orders GROUP BY o_custkey""",
+)
+def list_flatten_agg(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", text.parts(F.col("o_orderpriority"), "-").alias("p"))
+    return rows.groupBy("o_custkey").agg(F.array_join(relational.list_of("p"), ",").alias("all_parts"), F.array_join(relational.list_of("p", distinct=True), ",").alias("parts"))
+
+
+@query("consistency_check", "SELECT o_orderkey, min(o_orderstatus) AS o_orderstatus, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY o_orderkey")
+def consistency_check(spark, sf_dir):
+    return relational.only_one(table(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query("multi_explode", "SELECT o_orderkey, unnest(['key', 'cust']) AS name, unnest([o_orderkey, o_custkey]) AS value FROM orders")
+def multi_explode(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.lit("key"), F.lit("cust")).alias("name"), F.array("o_orderkey", "o_custkey").alias("value"))
+    return relational.explode_together(rows, ["name", "value"])
+
+
+@query("diagonal_union", "SELECT o_orderkey, o_custkey AS custkey, NULL::VARCHAR AS c_name FROM orders UNION ALL SELECT NULL, c_custkey, c_name FROM customer")
+def diagonal_union(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"))
+    return orders.unionByName(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name"), allowMissingColumns=True)
+
+
+@query(
+    "cluster_rank",
+    """WITH s AS (SELECT o_custkey, o_orderpriority, count(*) AS len FROM orders GROUP BY 1, 2),
+       r AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY len, o_orderpriority) - 1)::INTEGER AS rank FROM s)
+       SELECT o.o_orderkey, o.o_custkey, o.o_orderpriority, r.len, r.rank FROM orders o JOIN r USING (o_custkey, o_orderpriority)""",
+)
+def cluster_rank(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return relational.cluster_rank(rows, ["o_custkey"], "o_orderpriority")
+
+
+@query(
+    "seed_best_so_far",
+    """SELECT event_id, user_id, arg_max(event_type, struct_pack(v := value, i := -event_id)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM events""",
+)
+def seed_best_so_far(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return relational.best_so_far(rows, ["user_id"], "event_id", "value", "event_type", "best").select("event_id", "user_id", "best")
+
+
+@query(
+    "helix_islands",
+    """WITH p AS (SELECT DISTINCT event_type, event_id FROM events WHERE value > 30),
+       m AS (SELECT *, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) <= 10 THEN 0 ELSE 1 END AS fresh FROM p),
+       g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+       SELECT event_type, island::BIGINT AS island, min(event_id) AS first, max(event_id) AS last FROM g GROUP BY event_type, island HAVING max(event_id) - min(event_id) + 1 >= 15""",
+)
+def helix_islands(spark, sf_dir):
+    return relational.islands(table(spark, sf_dir, "events").filter("value > 30"), ["event_type"], "event_id")
+
+
+@query(
+    "roc_auc_rank",
+    """WITH s AS (SELECT l_suppkey, l_quantity AS s, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY 1, 2),
+       b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY l_suppkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+       SELECT l_suppkey, round(sum(p * (below + n / 2.0::DOUBLE)) / (sum(p) * sum(n)), 6) AS roc_auc FROM b GROUP BY l_suppkey""",
 )
-def cognate_thresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    positive = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
-    return positive.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_cognate")).filter("n_cognate >= 12")
+def roc_auc_rank(spark, sf_dir):
+    found = evaluation.group_auc(table(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_returnflag") == "R", F.col("l_quantity"))
+    return found.select("l_suppkey", F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@query(
+    "geomean_confidence",
+    """SELECT user_id, round(1 - CASE WHEN min(value / 600) = 0 THEN 0 ELSE exp(avg(ln(nullif(value / 600, 0)))) END, 6) AS low, round(1 - CASE WHEN min(1 - value / 600) = 0 THEN 0 ELSE exp(avg(ln(1 - value / 600))) END, 6) AS high
+       FROM events GROUP BY user_id""",
+)
+def geomean_confidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.col("value").alias("low"), F.col("value").alias("high"))
+    found = relational.confidence(rows, {"low": (0, 600), "high": (0, 600)}, {"low": False, "high": True})
+    return found.select(F.col("entity_id").alias("user_id"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query(
+    "stratified_split",
+    """WITH r AS (SELECT doc_id, quality, i AS iter, row_number() OVER (PARTITION BY quality, i ORDER BY md5(i::VARCHAR || '|' || doc_id::VARCHAR), doc_id) AS rn, count(*) OVER (PARTITION BY quality, i) AS n
+       FROM labels, unnest(range(0, 3)) AS u(i)) SELECT doc_id, quality, iter::INTEGER AS iter, rn <= floor(n * 0.1::DOUBLE) AS is_test FROM r""",
+)
+def stratified_split(spark, sf_dir):
+    return evaluation.stratified_split(table(spark, sf_dir, "labels").select("doc_id", "quality"), ["quality"], "doc_id", 3)
+
+
+@query(
+    "balanced_downsample",
+    """WITH r AS (SELECT doc_id, toxic = 1 AS cognate, row_number() OVER (PARTITION BY toxic = 1 ORDER BY md5('balance|' || doc_id::VARCHAR), doc_id) AS rn FROM labels)
+       SELECT doc_id, cognate FROM r WHERE cognate OR rn <= (SELECT count(*) FROM labels WHERE toxic = 1)""",
+)
+def balanced_downsample(spark, sf_dir):
+    return evaluation.balanced(table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("cognate")), "cognate", "doc_id")
+
+
+@query(
+    "sliding_9mer_gmean",
+    """WITH w AS (SELECT user_id, event_id, avg(value) OVER f AS m, count(*) OVER f AS n FROM events WINDOW f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING))
+       SELECT user_id, round(CASE WHEN min(m) = 0 THEN 0 ELSE exp(avg(ln(nullif(m, 0)))) END, 6) AS gmean FROM w WHERE n = 9 GROUP BY user_id""",
+)
+def sliding_9mer_gmean(spark, sf_dir):
+    frame = relational.windows_of(None, ["user_id"], "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", F.avg("value").over(frame).alias("m"), F.count(F.lit(1)).over(frame).alias("n"))
+    return rows.filter("n = 9").groupBy("user_id").agg(F.round(relational.geometric_mean(F.col("m")), 6).alias("gmean"))
+
+
+@query(
+    "best_9mer",
+    """WITH w AS (SELECT user_id, event_id, min(value) OVER f AS m, count(*) OVER f AS n FROM events WINDOW f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING))
+       SELECT user_id, first(event_id ORDER BY m DESC, event_id) AS start, max(m) AS least FROM w WHERE n = 9 AND m > 0 GROUP BY user_id""",
+)
+def best_9mer(spark, sf_dir):
+    frame = relational.windows_of(None, ["user_id"], "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.min("value").over(frame).alias("m"), F.count(F.lit(1)).over(frame).alias("n"))
+    return rows.filter("n = 9 AND m > 0").groupBy("user_id").agg(F.min_by("event_id", F.struct(-F.col("m"), "event_id")).alias("start"), F.max("m").alias("least"))
+
+
+@query(
+    "region_overlap_join",
+    "WITH r(region, lo, hi) AS (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in REGIONS) + """)
+       SELECT region, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events JOIN r ON event_id % 130 BETWEEN lo AND hi GROUP BY region, event_type""",
+)
+def region_overlap_join(spark, sf_dir):
+    from paratope.operators.features import with_regions
+
+    rows = table(spark, sf_dir, "events").select("event_type", "value", (F.col("event_id") % 130).cast("int").alias("imgt_num"))
+    return with_regions(rows).groupBy("region", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(
+    "block_count_thresholds",
+    """WITH e AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+       SELECT label, (i // 16)::INTEGER AS block, count(*) FILTER (v > 0.1::FLOAT) AS over_low, count(*) FILTER (v > 0.2::FLOAT) AS over_high FROM e GROUP BY label, i // 16""",
+)
+def block_count_thresholds(spark, sf_dir):
+    cells = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
+    over = lambda t: F.count_if(F.col("v") > F.lit(t).cast("float"))
+    return cells.groupBy("label", F.floor(F.col("i") / 16).cast("int").alias("block")).agg(over(0.1).alias("over_low"), over(0.2).alias("over_high"))
+
+
+@query(
+    "spearman_by_group",
+    """WITH r AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0::DOUBLE AS rx,
+       rank() OVER (PARTITION BY l_suppkey ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_suppkey, l_discount) - 1) / 2.0::DOUBLE AS ry FROM lineitem)
+       SELECT l_suppkey, round(corr(rx, ry), 6) AS r, count(*) AS n FROM r GROUP BY l_suppkey""",
+)
+def spearman_by_group(spark, sf_dir):
+    found = evaluation.spearman(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_discount")
+    return found.select("l_suppkey", F.round("r", 6).alias("r"), "n")
+
+
+@query(
+    "cov_sum",
+    "SELECT label, round(" + " + ".join(f"covar_samp(embedding[{i}]::DOUBLE, embedding[{j}]::DOUBLE)" for i in range(1, 5) for j in range(1, 5)) + ", 6) AS total FROM embeddings GROUP BY label",
+)
+def cov_sum(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("label", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(4)))
+    found = evaluation.covariance_sum(rows, ["label"], [f"x{i}" for i in range(4)], "total")
+    return found.select("label", F.round("total", 6).alias("total"))
+
+
+@query(
+    "minmax_scale",
+    """SELECT s_suppkey, round((s_acctbal - min(s_acctbal) OVER ()) / nullif(max(s_acctbal) OVER () - min(s_acctbal) OVER (), 0), 6) AS up,
+       round(1 - (s_nationkey - min(s_nationkey) OVER ())::DOUBLE / nullif(max(s_nationkey) OVER () - min(s_nationkey) OVER (), 0), 6) AS down FROM supplier""",
+)
+def minmax_scale(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("up"), F.col("s_nationkey").alias("down"))
+    return relational.scaled(rows, {"up": True, "down": False}).select("s_suppkey", F.round("up", 6).alias("up"), F.round("down", 6).alias("down"))
+
+
+@query("collate_batches", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS batch FROM orders")
+def collate_batches(spark, sf_dir):
+    return job_files.batches(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query(
+    "upsert_latest",
+    """WITH b AS (SELECT user_id, event_type, event_id, value, event_id % 2 AS fresh FROM events)
+       SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC, fresh DESC) AS rn FROM b) WHERE rn = 1""",
+)
+def upsert_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return job_files.upsert(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
+
+
+@query("skip_existing", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def skip_existing(spark, sf_dir):
+    done = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return new_only(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), done, "o_orderkey")
+
+
+@query(
+    "infer_chains",
+    """WITH b AS (SELECT p_partkey, ['DQB1*06:02', 'DQB1*03:01', 'DPB1*04:01:01', 'DRB1*15:01', 'DQB1*99:99', 'X'][p_size % 6 + 1] AS beta, CASE WHEN p_size % 4 = 0 THEN 'DQA1*01:02:03' END AS alpha FROM part),
+       s AS (SELECT *, array_to_string(string_split(beta, ':')[1:2], ':') AS sb FROM b)
+       SELECT p_partkey, CASE WHEN beta = 'X' THEN NULL WHEN starts_with(beta, 'DRB') THEN 'DRA*01:02' WHEN alpha IS NOT NULL THEN 'DQA1*01:02'
+         WHEN sb = 'DQB1*06:02' THEN 'DQA1*01:02' WHEN sb = 'DQB1*03:01' THEN 'DQA1*03:02' WHEN sb = 'DPB1*04:01' THEN 'DPA1*01:03' END AS mhc_1_name,
+       CASE WHEN beta = 'X' OR (beta = 'DQB1*99:99' AND alpha IS NULL) THEN NULL ELSE sb END AS mhc_2_name,
+       CASE WHEN beta = 'X' OR (beta = 'DQB1*99:99' AND alpha IS NULL) THEN NULL WHEN starts_with(beta, 'DRB') OR alpha IS NOT NULL THEN 'neither' ELSE 'chain_1' END AS inferred FROM s""",
+)
+def infer_chains(spark, sf_dir):
+    names = F.array(*map(F.lit, ["DQB1*06:02", "DQB1*03:01", "DPB1*04:01:01", "DRB1*15:01", "DQB1*99:99", "X"]))
+    beta, alpha = F.get(names, F.col("p_size") % 6), F.when(F.col("p_size") % 4 == 0, "DQA1*01:02:03")
+    return table(spark, sf_dir, "part").select("p_partkey", hla.infer_chains(alpha, beta).alias("c")).select("p_partkey", "c.mhc_1_name", "c.mhc_2_name", F.col("c.mhc_name_inferred").alias("inferred"))
+
+
+@query(
+    "job_document",
+    """SELECT p_partkey, '{"name":"' || p_brand || '","modelSeeds":[42],"sequences":[{"protein":{"id":"A","sequence":"' || p_type || '","unpairedMsa":">query\\n' || p_type || '\\n","pairedMsa":">query\\n' || p_type || '\\n","templates":[]}},{"protein":{"id":"B","sequence":"' || p_name || '","unpairedMsa":">query\\n' || p_name || '\\n","pairedMsa":">query\\n' || p_name || '\\n","templates":[]}}],"dialect":"alphafold3","version":1}' AS document,
+       p_type AS first_sequence, true AS is_empty FROM part""",
+)
+def job_document(spark, sf_dir):
+    document = job_files.job_document(F.col("p_brand"), F.array("p_type", "p_name"), F.array(F.lit(42)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", document.alias("document"))
+    return rows.withColumn("a", job_files.alignment_of(F.col("document"))).select("p_partkey", "document", F.col("a.sequence").alias("first_sequence"), F.col("a.is_empty").alias("is_empty"))
+
+
+@query("lcs_allele_match")
+def lcs_allele_match(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    chains = part.select(F.col("p_name").alias("seq"), F.col("p_type").alias("chain"), F.lit("human").alias("species"))
+    reference = part.groupBy(F.col("p_type").alias("chain"), F.col("p_brand").alias("name")).agg(F.min("p_name").alias("sequence"), F.min("p_partkey").alias("ord"))
+    return alleles.match_alleles(chains, reference.withColumns({"species": F.lit("human"), "status": F.when(F.col("ord") % 2 == 0, "Full").otherwise("Partial")}))
+
+
+def _in_groups(df: DataFrame, fn, schema: str, size: int = 200) -> DataFrame:
+    """Groups of embeddings: the label and a block of at most about `size` vectors, as an antigen's receptors are."""
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("label")) / size)
+    return df.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), blocks).alias("block")).groupBy("label", "block").applyInPandas(fn, schema)
+
+
+@query("complete_linkage")
+def linkage(spark, sf_dir):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("vec_id")
+        x = np.stack(batch["embedding"].to_numpy()).astype(float)
+        d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
+        return pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "block": batch["block"], "cluster": complete_linkage(d, 1.2)})
+
+    return _in_groups(table(spark, sf_dir, "embeddings"), run, "vec_id long, label int, block long, cluster long")
+
+
+@query("mahalanobis_pairs")
+def mahalanobis_pairs(spark, sf_dir):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("vec_id")
+        x = np.stack(batch["embedding"].to_numpy()).astype(float)[:, :6]
+        d = mahalanobis(x, np.linalg.pinv(np.cov(x, rowvar=False))) if len(x) > 1 else np.zeros((1, 1))
+        i, j = np.triu_indices(len(x), 1)
+        ids = batch["vec_id"].to_numpy()
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "dist": np.round(d[i, j], 6)})
+
+    return _in_groups(table(spark, sf_dir, "embeddings"), run, "a long, b long, dist double")
+
+
+@query("kabsch_rmsd")
+def kabsch_rmsd(spark, sf_dir):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("vec_id")
+        x = np.stack(batch["embedding"].to_numpy()).astype(float)[:, :63].reshape(len(batch), 21, 3)
+        ids = batch["vec_id"].to_numpy()
+        rows = [(ids[i], ids[i + 1], round(superposed_rmsd(x[i][:12], x[i + 1][:12], x[i][12:], x[i + 1][12:]), 6)) for i in range(len(x) - 1)]
+        return pd.DataFrame(rows, columns=["a", "b", "rmsd"])
+
+    return _in_groups(table(spark, sf_dir, "embeddings"), run, "a long, b long, rmsd double")
+
+
+@query("sample_strikeout")
+def sample_strikeout(spark, sf_dir):
+    triads = _stand_in_triads(spark, sf_dir, True)
+    candidates = keys.with_job_name(triads.withColumn("cognate", F.lit(False)), ["peptide", "mhc_1_seq", "mhc_2_seq", "tcr_1_seq", "tcr_2_seq"])
+    sources = {f"source_{c}": F.col(c) for c in ANTIGEN_COLUMNS} | {"source_peptide": F.concat("peptide", F.pmod(F.xxhash64("tcr_1_seq"), F.lit(3)).cast("string"))}
+    drawn, _ = negatives.sample_to(triads.groupBy(*ANTIGEN_COLUMNS).agg(F.lit(5).cast("long").alias("needed_negs")), candidates.withColumns(sources))
+    return drawn.select("job_name", "peptide", "mhc_1_seq", *TCR_COLUMNS)
+
+
+def _scored_lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_returnflag") == "R").alias("cognate"), "l_quantity", "l_discount")
+
+
+@query("within_group_auc")
+def within_group_auc(spark, sf_dir):
+    found = evaluation.within_group_auc(_scored_lines(spark, sf_dir), ["l_suppkey"], ["l_quantity", "l_discount"], repeats=10)
+    return found.select("l_suppkey", F.size("fpr").alias("n_points"), F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@query("leave_one_out_auc")
+def leave_one_out_auc(spark, sf_dir):
+    found = evaluation.left_out_auc(_scored_lines(spark, sf_dir), ["l_suppkey"], ["l_quantity", "l_discount"])
+    return found.select("l_suppkey", F.round("roc_auc", 6).alias("roc_auc"))

@@ -1,9 +1,17 @@
-"""Session construction shared by tests, bench and scripts."""
+"""Session construction, and this package on the executors."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app: str = "paratope", cores: str = "8", **conf: str) -> SparkSession:
     """A local session with the settings that the operators rely on: UTC and adaptive execution."""
@@ -22,3 +30,18 @@ def build_session(app: str = "paratope", cores: str = "8", **conf: str) -> Spark
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors, once a Spark application; operators with Python on the executors call it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="paratope-src-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / f"{top.name}.zip", "w") as out:
+        for source in sorted(top.rglob("*.py")):
+            out.write(source, source.relative_to(top.parent))
+    sc.addPyFile(str(folder / f"{top.name}.zip"))
+    _SHIPPED.add(sc.applicationId)
