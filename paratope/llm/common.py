@@ -6,18 +6,19 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paratope.session import ship
+
+__all__ = ["SPACE", "WORD", "let", "lower_ascii", "materialize", "shared_dir", "ship", "table"]
+
 #: Characters that separate words, as the inside of a regular expression's class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 _OWN_DIR: list[str] = []
-_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,21 +36,6 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[0]
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors, once a Spark application; operators with Python on the executors call it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = Path(tempfile.mkdtemp(prefix="paratope-src-"))
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(folder / f"{top.name}.zip", "w") as out:
-        for source in sorted(top.rglob("*.py")):
-            out.write(source, source.relative_to(top.parent))
-    sc.addPyFile(str(folder / f"{top.name}.zip"))
-    _SHIPPED.add(sc.applicationId)
-
-
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it back, so a lost executor costs only re-reads."""
     spark = df.sparkSession
