@@ -26,7 +26,8 @@ WINDOW = 64
 HIDDEN = 8
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 6
-EPOCHS, BATCH, RATE, SEED = 6, 256, 0.02, 7
+#: Steps of training, whatever the sample's size.
+STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 7
 #: Mean probability under which keep_identified() takes a text for no language that it knows.
 LEAST_SCORE = 0.35
 PAD = 256
@@ -141,24 +142,23 @@ class Network:
             total += self.probabilities(states, t) * real[t]
         return total.T
 
-    def train(self, rows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> None:
+    def train(self, rows: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> None:
         """Adam on the mean cross-entropy of all bytes; gradients flow back through every step of a window."""
         rng = np.random.default_rng(SEED)
         params = [self.table, self.u, self.v, self.c]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step, total = 0, epochs * -(-len(labels) // BATCH)
-        for _ in range(epochs):
-            order = rng.permutation(len(labels))
-            for a in range(0, len(order), BATCH):
-                pick = order[a : a + BATCH]
-                grads = self.gradients(rows[:, pick], labels[pick])
-                step += 1
-                rate = RATE * (1 - 0.9 * step / total)
-                for p, g, m, s in zip(params, grads, first, second, strict=True):
-                    m += 0.1 * (g - m)
-                    s += 0.01 * (g * g - s)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-                self._still()
+        order = np.zeros(0, np.int64)
+        for step in range(1, steps + 1):
+            if not len(order):
+                order = rng.permutation(len(labels))
+            pick, order = order[:BATCH], order[BATCH:]
+            grads = self.gradients(rows[:, pick], labels[pick])
+            rate = RATE * (1 - 0.9 * step / steps)
+            for p, g, m, s in zip(params, grads, first, second, strict=True):
+                m += 0.1 * (g - m)
+                s += 0.01 * (g * g - s)
+                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+            self._still()
 
     def gradients(self, rows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         steps, n = rows.shape
