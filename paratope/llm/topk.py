@@ -73,7 +73,8 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, list[list[int]]]) -> DataF
                 part = batch.filter(pa.array(dims == dim))
                 n, dim = part.num_rows, int(dim)
                 x = _matrix(part.column(2), n, np.int64) if dim else np.zeros((n, 0), np.int64)
-                p = np.array([[0] * dim, *pivots.get(dim, [])], np.float64).reshape(-1, dim)
+                own = pivots.get(dim, [])
+                p = np.array([[0] * dim, *own], np.float64).reshape(1 + len(own), dim)
                 d = _distances(x, p)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, d.shape[1]), pa.int32()), pa.array(d.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), lists], names=["vec_id", "dim", "v", "pd"])
@@ -144,6 +145,7 @@ def top_k(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     wanted = index.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     blocks = index.select("dim", (F.col("vec_id") % every == 0).alias("q")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m"))
     blocks = blocks.select("dim", F.ceil(F.col("n") / DATA_BLOCK).cast("int").alias("nd"), F.greatest(F.ceil(F.col("m") / QUERY_BLOCK), F.lit(1)).cast("int").alias("nq"))
+    blocks = F.broadcast(blocks)  # one row a vector length
     block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     zero = F.lit(0)
     data = index.join(blocks, "dim").select("*", block("nd").alias("db"), F.explode(F.sequence(zero, F.col("nq") - 1)).alias("qb"), F.lit(False).alias("is_query"))

@@ -88,13 +88,14 @@ def gram_scores(counts: DataFrame) -> DataFrame:
 
 
 def calibrate(scored: DataFrame) -> DataFrame:
-    """From (bucket, good, bad) of held-out examples: one row `cut`, the lowest bucket that is allowed; null without examples of both kinds."""
+    """From (bucket, good, bad) of held-out examples: one row `cut`, the lowest bucket that is allowed, half-way between two that were seen; null without examples of both kinds."""
     upward = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = scored.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     everything = Window.partitionBy()
-    rated = sums.withColumns({"lost": F.coalesce(F.sum("good").over(upward), F.lit(0)), "caught": F.coalesce(F.sum("bad").over(upward), F.lit(0)), "all_good": F.sum("good").over(everything), "all_bad": F.sum("bad").over(everything)})
+    half = F.floor((F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.col("bucket")) + F.col("bucket")) / 2).cast("long")
+    rated = sums.withColumns({"middle": half, "lost": F.coalesce(F.sum("good").over(upward), F.lit(0)), "caught": F.coalesce(F.sum("bad").over(upward), F.lit(0)), "all_good": F.sum("good").over(everything), "all_bad": F.sum("bad").over(everything)})
     gain = F.col("caught") * F.col("all_good") - F.col("lost") * F.col("all_bad")
-    return rated.filter("all_good > 0 AND all_bad > 0").agg(F.max(F.struct(gain.alias("gain"), (-F.abs("bucket")).alias("near"), F.col("bucket")))["bucket"].alias("cut"))
+    return rated.filter("all_good > 0 AND all_bad > 0").agg(F.max(F.struct(gain.alias("gain"), (-F.abs("middle")).alias("near"), F.col("middle")))["middle"].alias("cut"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -164,10 +165,10 @@ WITH r AS (
 ), cal AS (
   SELECT bucket, sum(good) AS good, sum(bad) AS bad FROM urls JOIN scores USING (norm) WHERE held_out AND good + bad > 0 GROUP BY bucket
 ), rated AS (
-  SELECT bucket, coalesce(sum(good) OVER w, 0) AS lost, coalesce(sum(bad) OVER w, 0) AS caught, sum(good) OVER () AS all_good, sum(bad) OVER () AS all_bad
+  SELECT CAST(floor((coalesce(lag(bucket) OVER (ORDER BY bucket), bucket) + bucket) / 2.0) AS BIGINT) AS middle, coalesce(sum(good) OVER w, 0) AS lost, coalesce(sum(bad) OVER w, 0) AS caught, sum(good) OVER () AS all_good, sum(bad) OVER () AS all_bad
   FROM cal WINDOW w AS (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), cut AS (
-  SELECT bucket AS cut FROM rated WHERE all_good > 0 AND all_bad > 0 ORDER BY caught * all_good - lost * all_bad DESC, abs(bucket), bucket DESC LIMIT 1
+  SELECT middle AS cut FROM rated WHERE all_good > 0 AND all_bad > 0 ORDER BY caught * all_good - lost * all_bad DESC, abs(middle), middle DESC LIMIT 1
 )
 SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN (SELECT cut FROM cut) IS NULL OR bucket >= (SELECT cut FROM cut) THEN 'allow' ELSE 'block' END) AS verdict
 FROM ruled JOIN scores USING (norm)
