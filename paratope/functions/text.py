@@ -21,7 +21,7 @@ def last_parts(items: Column, separator: str = "/") -> Column:
 
 
 def stripped(items: Column) -> Column:
-    return F.transform(items, F.trim)
+    return F.transform(items, lambda x: F.trim(x))  # F.trim itself would take the index for the characters to trim
 
 
 def index_of(items: Column, value: str) -> Column:
