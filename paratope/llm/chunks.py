@@ -14,24 +14,41 @@ _DOUBT = r"\s\x1c-\x1f\x85᠎​﻿"
 _RARE = r"\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
 #: For byte-level BPE after the usual word pattern: a token holds white space at its start only, so a space or line feed after anything else begins one; a single line feed before a word stands alone.
 BYTE_LEVEL = re.compile(rf"\n(?=[^{_DOUBT}])|[{_DOUBT}]*[^{_DOUBT}]+(?:[{_RARE}][{_DOUBT}]*[^{_DOUBT}]+)*(?:[{_RARE}][{_DOUBT}]*\Z)?|[{_DOUBT}]+")
-#: For piece vocabularies whose pieces have spaces in front only and no line feed among other characters.
-PIECES = re.compile(r"\n| *[^ \n]+| +")
+#: Where BYTE_LEVEL's simple half suffices: spaces and line feeds only, never two together nor at the end.
+_ODD = re.compile(rf"[{_RARE}]|[ \n][ \n]|[ \n]\Z")
+#: ... which then also parts a word from the marks behind it: after a Latin letter or digit no token goes on with such a mark.
+_MARKED = re.compile(r"\n| ?[^ \n.,;:!?|]+|[.,;:!?|][^ \n]*| (?=[.,;:!?|])")
+_UNSAFE_MARK = re.compile(r"[^0-9A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?|]")
+_PLAIN = re.compile(r"\n| ?[^ \n]+")
+def cut_byte_level(text: str) -> list[str]:
+    if _ODD.search(text):
+        return BYTE_LEVEL.findall(text)
+    return _PLAIN.findall(text) if _UNSAFE_MARK.search(text) else _MARKED.findall(text)
+
+
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
+def piece_pattern(pieces: list[str]) -> re.Pattern | None:
+    """For a piece vocabulary, cuts that no piece spans: before spaces (written as spaces here) and around line feeds; and before marks after a letter where no piece has them so. None where pieces span spaces or line feeds."""
+    long_ = [p for p in pieces if len(p) > 1]
+    if any("\n" in p or " " in p.lstrip(" ") for p in long_):
+        return None
+    behind = {m for p in long_ for m in re.findall(rf"(?<=[{LETTERS}])[^{LETTERS}]", p)}
+    marks = "".join(re.escape(m) for m in ".,;:!?|)" if m not in behind)
+    return re.compile(rf"\n| *[^ \n{marks}]*[{LETTERS}](?=[{marks}])| *[^ \n]+| +" if marks else r"\n| *[^ \n]+| +")
+
 
 LIMIT = 200_000
 GROUP_CHARS = 1_000_000
 
 
 class ChunkCache:
-    def __init__(self, pattern: re.Pattern | None, encode: Callable[[list[str]], list], limit: int = LIMIT):
-        self.pattern, self.encode, self.limit = pattern, encode, limit
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list], limit: int = LIMIT):
+        self.cut, self.encode, self.limit = cut, encode, limit
         self.known: dict = {}
         self.old: dict = {}
 
-    def cut(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return self.pattern.findall(text) if self.pattern else [text]
-
     def encoded(self, texts: list[str]) -> Iterator[list]:
         """For each text the codes of its chunks."""
         for group in grouped(texts):

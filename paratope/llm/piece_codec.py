@@ -21,7 +21,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paratope.llm.chunks import PIECES, ChunkCache
+from paratope.llm.chunks import ChunkCache, piece_pattern
 from paratope.llm.common import ship
 
 SPACE = "▁"
@@ -50,8 +50,8 @@ class PieceCodec:
         for i, p in enumerate(spec.pieces):
             if p.type == 6:
                 self.bytes[int(p.piece[3:5], 16)] = i
-        apart = all("\n" not in p and SPACE not in p.lstrip(SPACE) for p in self.ids if len(p) > 1)
-        self.cache = ChunkCache(PIECES if apart else None, self._checked)
+        pattern = piece_pattern([p.replace(SPACE, " ") for p in self.ids])
+        self.cache = ChunkCache(pattern.findall, self._checked) if pattern else None
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a normalised text."""
@@ -108,7 +108,7 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """For each text its ids, and the ids in decimal joined by commas."""
-        if self.cache.pattern:
+        if self.cache:
             ready = [" " + t.replace(SPACE, " ") if t else "" for t in texts]
             for codes in self.cache.encoded(ready):
                 yield list(chain.from_iterable(c[0] for c in codes)), ",".join([c[1] for c in codes])

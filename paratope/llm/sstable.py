@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -36,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paratope.llm.chunks import BYTE_LEVEL, ChunkCache
+from paratope.llm.chunks import ChunkCache, cut_byte_level
 from paratope.llm.common import shared_dir, ship
 
 END_ID = 2
@@ -183,6 +184,15 @@ class ShardReader:
         return found
 
 
+#: Chunks that a worker keeps in each half of its cache.
+CACHED = 350_000
+_SIMPLE = re.compile(r" ?[!-~À-ɏ]+")
+
+
+def _whole(text: str) -> list[str]:
+    return [text] if text else []
+
+
 class _ByteEncoder:
     """The library's ids, each distinct chunk of text encoded once."""
 
@@ -192,10 +202,25 @@ class _ByteEncoder:
         self.library = Tokenizer.from_str(model.decode())
         self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         own = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
-        self.cache = ChunkCache(BYTE_LEVEL if own else None, self._encode)
+        self.cache = ChunkCache(cut_byte_level if own else _whole, self._encode, CACHED)
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if own and len(feed) == 1 else None
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+        """Chunks without white space but a space in front go to the library as the lines of one text: a line feed between two such is a token of its own."""
+        joined = [c for c in chunks if _SIMPLE.fullmatch(c)] if self.feed is not None else []
+        out = dict(zip(joined, self._lines(joined), strict=True)) if joined else {}
+        rest = [c for c in chunks if c not in out]
+        out.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [out[c] for c in chunks]
+
+    def _lines(self, lines: list[str]) -> list[bytes]:
+        ids = np.asarray(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+        feeds = np.flatnonzero(ids == self.feed)
+        if len(feeds) != len(lines) - 1:
+            raise RuntimeError("the tokenizer joins lines")
+        data, ends = ids.tobytes(), [*(4 * feeds).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for codes in self.cache.encoded(texts):
