@@ -14,16 +14,16 @@ _DOUBT = r"\s\x1c-\x1f\x85᠎​﻿"
 _RARE = r"\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
 #: For byte-level BPE after the usual word pattern: a token holds white space at its start only, so a space or line feed after anything else begins one; a single line feed before a word stands alone.
 BYTE_LEVEL = re.compile(rf"\n(?=[^{_DOUBT}])|[{_DOUBT}]*[^{_DOUBT}]+(?:[{_RARE}][{_DOUBT}]*[^{_DOUBT}]+)*(?:[{_RARE}][{_DOUBT}]*\Z)?|[{_DOUBT}]+")
-#: Where BYTE_LEVEL's simple half suffices: spaces and line feeds only, never two together nor at the end.
-_ODD = re.compile(rf"[{_RARE}]|[ \n][ \n]|[ \n]\Z")
-#: ... which then also parts a word from the marks behind it: after a Latin letter or digit no token goes on with such a mark.
-_MARKED = re.compile(r"\n| ?[^ \n.,;:!?|]+|[.,;:!?|][^ \n]*| (?=[.,;:!?|])")
-_UNSAFE_MARK = re.compile(r"[^0-9A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?|]")
-_PLAIN = re.compile(r"\n| ?[^ \n]+")
+#: Texts of these characters only, without two of space and line feed together or one at the end, are cut the simple way: before spaces, around line feeds, and before a mark that follows a letter or digit, as no token goes on with it.
+_MARKS = ".,;:!?|"
+_SIMPLE = frozenset(" \n" + _MARKS + "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])))
+_MARKED = re.compile(rf"\n| ?[^ \n{_MARKS}]+| ?[{_MARKS}][^ \n]*")
+
+
 def cut_byte_level(text: str) -> list[str]:
-    if _ODD.search(text):
-        return BYTE_LEVEL.findall(text)
-    return _PLAIN.findall(text) if _UNSAFE_MARK.search(text) else _MARKED.findall(text)
+    if _SIMPLE.issuperset(text) and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith((" ", "\n"))):
+        return _MARKED.findall(text)
+    return BYTE_LEVEL.findall(text)
 
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -49,8 +49,8 @@ class ChunkCache:
         self.known: dict = {}
         self.old: dict = {}
 
-    def encoded(self, texts: list[str]) -> Iterator[list]:
-        """For each text the codes of its chunks."""
+    def encoded(self, texts: list[str], gather: Callable = list) -> Iterator:
+        """For each text the codes of its chunks, gathered."""
         for group in grouped(texts):
             cuts = [self.cut(t) for t in group]
             words = set().union(*cuts)
@@ -65,7 +65,7 @@ class ChunkCache:
                 known.update(zip(new, self.encode(new), strict=True))
             get = known.__getitem__
             for c in cuts:
-                yield list(map(get, c))
+                yield gather(map(get, c))
 
 
 def grouped(texts: list[str]) -> Iterator[list[str]]:

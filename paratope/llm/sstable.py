@@ -8,7 +8,7 @@ each shard's start follows. A shard can be streamed, or searched by identifier:
 the index, one block.
 
     shard  = block* index bloom footer
-    block  = u32 crc32(body), u32 length, zlib(entries)
+    block  = u32 crc32(body), u32 length(body), body = u32 length(entries), zstd(entries)
     entry  = varint shared, varint rest, varint len(value), key[shared:], value
     key    = 1 byte (0: null id), 8 bytes big-endian id with its sign flipped, 8 bytes hash of the text, 4 bytes count
     value  = ids as little-endian unsigned 16-bit integers, or 32-bit where the shard's vocabulary needs them
@@ -43,7 +43,7 @@ from paratope.llm.common import shared_dir, ship
 END_ID = 2
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
-MAGIC, VERSION = b"PSSTABLE", 1
+MAGIC, VERSION = b"PSSTABLE", 2
 _FOOTER = struct.Struct("<QQQQII8s")
 _WORKERS: dict[str, tuple] = {}
 
@@ -108,7 +108,7 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self.body:
-            body = zlib.compress(bytes(self.body), 1)
+            body = struct.pack("<I", len(self.body)) + pa.compress(bytes(self.body), codec="zstd", asbytes=True)
             self.index.append((self.last, self.at))
             self._put(struct.pack("<II", zlib.crc32(body), len(body)) + body)
             self.body = bytearray()
@@ -155,7 +155,7 @@ class ShardReader:
         packed = self._read(self.offsets[i] + 8, n)
         if zlib.crc32(packed) != crc:
             raise ValueError(f"block {i} is damaged")
-        body, at, key = zlib.decompress(packed), 0, b""
+        body, at, key = pa.decompress(packed[4:], struct.unpack_from("<I", packed)[0], codec="zstd", asbytes=True), 0, b""
         while at < len(body):
             shared, at = _read_varint(body, at)
             rest, at = _read_varint(body, at)
@@ -185,7 +185,7 @@ class ShardReader:
 
 
 #: Chunks that a worker keeps in each half of its cache.
-CACHED = 350_000
+CACHED = 500_000
 _SIMPLE = re.compile(r" ?[!-~À-ɏ]+")
 
 
@@ -223,8 +223,8 @@ class _ByteEncoder:
         return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for codes in self.cache.encoded(texts):
-            yield np.frombuffer(b"".join(codes), "<u4")
+        for codes in self.cache.encoded(texts, b"".join):
+            yield np.frombuffer(codes, "<u4")
 
 
 def _encoder(model: bytes) -> _ByteEncoder:
