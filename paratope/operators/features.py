@@ -139,11 +139,11 @@ def mhc_helices(residues: DataFrame, jobs: DataFrame) -> DataFrame:
 def helix_confidence(atoms: DataFrame, residues: DataFrame, jobs: DataFrame) -> DataFrame:
     """mhc_helices_mean_pLDDT; a job without exactly two helices raises."""
     helices = mhc_helices(residues, jobs)
-    counts = jobs.select("job_name").join(helices.groupBy("job_name").count(), "job_name", "left")
-    checked = counts.filter(F.when(F.coalesce("count", F.lit(0)) != 2, F.raise_error(F.concat(F.lit("two MHC helices are needed in "), "job_name"))).otherwise(F.lit(True))).select("job_name")
+    counts = jobs.select("job_name").join(helices.groupBy("job_name").agg(F.count(F.lit(1)).alias("n")), "job_name", "left")
     inside = (F.col("a.job_name") == F.col("h.job_name")) & F.col("a.resindex").between(F.col("h.first"), F.col("h.last"))
-    means = atoms.alias("a").join(helices.alias("h"), inside).groupBy(F.col("a.job_name").alias("job_name")).agg(F.avg("plddt").alias("mhc_helices_mean_pLDDT"))
-    return checked.join(means, "job_name")
+    means = atoms.alias("a").join(helices.alias("h"), inside).groupBy(F.col("a.job_name").alias("job_name")).agg(F.avg("plddt").alias("_mean"))
+    checked = F.when(F.col("n") == 2, F.col("_mean")).otherwise(F.raise_error(F.concat(F.lit("two MHC helices are needed in "), "job_name")))
+    return counts.join(means, "job_name", "left").select("job_name", checked.alias("mhc_helices_mean_pLDDT"))
 
 
 def best_nine(atoms: DataFrame, residues: DataFrame) -> DataFrame:

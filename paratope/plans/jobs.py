@@ -13,6 +13,7 @@ from paratope.operators.features import region_sequences
 from paratope.operators.negatives import negative_candidates, sample_to
 from paratope.operators.relational import corrected, demand, fold_join, list_of, only_one
 from paratope.schema import ANTIGEN_COLUMNS, ANTIGEN_HASHED, CDR_COLUMNS, CDR_REGIONS, TRIAD_COLUMNS, TRIAD_HASHED
+from paratope.session import settled
 
 IEDB_NAMES = {"Peptide": "peptide", "TCRa": "tcr_1_seq", "TCRb": "tcr_2_seq", "HLA": "mhc_1_name"}
 LISTS = ["references", "receptor_id"]
@@ -130,13 +131,13 @@ def clean_structures(summary: DataFrame, dates: DataFrame, fasta: DataFrame, num
 
 def generate_negatives(base: DataFrame, donors: list[DataFrame], depth: int, seed: str = "42") -> tuple[DataFrame, DataFrame]:
     """(base and its negatives, antigens still in need). Each donor table is asked for what the ones before it left open, for those antigens only; a job that was drawn before isn't drawn again."""
-    left, drawn = demand(base, depth), []
+    left, drawn = settled(demand(base, depth)), []
     for donor in donors:
         open_ = base.join(left.select(*ANTIGEN_COLUMNS), ANTIGEN_COLUMNS, "left_semi")
         candidates = negative_candidates(open_, donor)
         for earlier in drawn:
             candidates = candidates.join(earlier.select("job_name"), "job_name", "left_anti")
-        more, left = sample_to(left, candidates, seed)
+        more, left = map(settled, sample_to(left, settled(candidates), seed))
         drawn.append(more)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), drawn, base), left
 

@@ -33,8 +33,10 @@ def build_session(app: str = "paratope", cores: str = "8", **conf: str) -> Spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors, once a Spark application; operators with Python on the executors call it."""
+    """Sends this package's sources to the executors, once a Spark application; operators with Python on the executors call it. Arrow batches are kept small where nobody chose their size, as rows may hold long texts."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId in _SHIPPED:
         return
     top = Path(__file__).resolve().parent
@@ -45,3 +47,11 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(top.parent))
     sc.addPyFile(str(folder / f"{top.name}.zip"))
     _SHIPPED.add(sc.applicationId)
+
+
+def settled(df):
+    """df with its lineage cut where a checkpoint folder is set, else kept in memory and on disk: for what later steps read several times."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return df.checkpoint()
+    return df.persist()
