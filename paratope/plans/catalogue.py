@@ -515,3 +515,70 @@ def within_group_auc(spark, sf_dir):
 def leave_one_out_auc(spark, sf_dir):
     found = evaluation.left_out_auc(_scored_lines(spark, sf_dir), ["l_suppkey"], ["l_quantity", "l_discount"])
     return found.select("l_suppkey", F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@query(
+    "ordered_first",
+    "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS o_orderkey, first(o_orderstatus ORDER BY o_orderdate, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey",
+)
+def ordered_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    return relational.first_by(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
+
+
+@query("antigen_table", "SELECT DISTINCT p_name AS peptide, p_type AS mhc_1_seq, md5(p_name || p_type || 'light') AS job_name FROM part")
+def antigen_table(spark, sf_dir):
+    return keys.with_job_name(_antigens(table(spark, sf_dir, "part")), ["peptide", "mhc_1_seq", "mhc_2_seq"]).drop("mhc_2_seq")
+
+
+@query(
+    "region_strings",
+    """WITH e AS (SELECT user_id, event_id, substr(event_type, 1, 1) AS aa, event_id % 130 AS n FROM events)
+       SELECT user_id, string_agg(aa, '' ORDER BY event_id) FILTER (n BETWEEN 27 AND 38) AS cdr_1, string_agg(aa, '' ORDER BY event_id) FILTER (n BETWEEN 66 AND 103) AS fwr_3,
+         string_agg(aa, '' ORDER BY event_id) FILTER (n BETWEEN 81 AND 86) AS cdr_2_5 FROM e WHERE n BETWEEN 1 AND 129 GROUP BY user_id""",
+)
+def region_strings(spark, sf_dir):
+    from paratope.operators.features import region_sequences
+
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), F.substring("event_type", 1, 1).alias("aa"), (F.col("event_id") % 130).cast("int").alias("imgt_num"))
+    text_or_null = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return region_sequences(rows, ["user_id"]).select("user_id", *(text_or_null(c) for c in ("cdr_1", "fwr_3", "cdr_2_5")))
+
+
+_CELL = lambda i, j: f"embedding[{5 * i + j + 1}]"
+_LEAST = lambda pairs: "least(" + ", ".join(_CELL(i, j) for i, j in pairs) + ")"
+
+
+@query(
+    "chain_pair_minima",
+    f"""SELECT vec_id::VARCHAR AS job_name, {_LEAST([(0, 3), (0, 4)])} AS min_p_tcr_pae, {_LEAST([(3, 0), (4, 0)])} AS min_tcr_p_pae,
+        CASE WHEN label % 2 = 1 THEN {_LEAST([(1, 3), (1, 4), (2, 3), (2, 4)])} ELSE {_LEAST([(1, 3), (1, 4)])} END AS min_mhc_tcr_pae,
+        CASE WHEN label % 2 = 1 THEN {_LEAST([(3, 1), (4, 1), (3, 2), (4, 2)])} ELSE {_LEAST([(3, 1), (4, 1)])} END AS min_tcr_mhc_pae FROM embeddings""",
+)
+def chain_pair_minima(spark, sf_dir):
+    from paratope.operators.features import pair_minima
+
+    matrix = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.slice("embedding", i * 5 + 1, F.lit(5)))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("job_name"), F.when(F.col("label") % 2 == 1, "II").otherwise("I").alias("mhc_class"), matrix.alias("chain_pair_pae_min"))
+    return pair_minima(rows.select("job_name", "chain_pair_pae_min"), rows.select("job_name", "mhc_class"))
+
+
+@query("alignment_jobs", "SELECT DISTINCT * FROM (SELECT 'peptide' AS kind, p_name AS sequence FROM part UNION ALL SELECT 'mhc', p_type FROM part UNION ALL SELECT 'mhc', p_brand FROM part UNION ALL SELECT 'tcr', p_brand FROM part)")
+def alignment_jobs(spark, sf_dir):
+    from paratope.plans.jobs import alignment_jobs as build
+
+    part = table(spark, sf_dir, "part")
+    return build(part.select(F.col("p_name").alias("peptide"), F.col("p_type").alias("mhc_1_seq"), F.col("p_brand").alias("mhc_2_seq"), F.col("p_brand").alias("tcr_1_seq"), F.lit(None).cast("string").alias("tcr_2_seq")))
+
+
+@query("receptor_edges")
+def receptor_edges(spark, sf_dir):
+    """Receptors with loops spelled from the hashes of suppliers' names; edges within a wide reach."""
+    spelled = F.translate(F.concat(F.md5("s_name"), F.sha1("s_name")), "0123456789abcdef", "AAAACCCCDDDDEEEE")
+    loops, at = {}, 1
+    for c in CDR_COLUMNS:
+        size = 12 if c.endswith("cdr_3") else 5
+        loops[c] = F.substring(spelled, at, size)
+        at += size
+    receptors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("tcr_id"), *(F.lit(v).alias(c) for c, v in (("tcr_1_species", "human"), ("tcr_2_species", "human"), ("tcr_1_chain", "alpha"), ("tcr_2_chain", "beta"))), *(v.alias(c) for c, v in loops.items()))
+    return negatives.near_receptors(receptors, receptors, 140)
