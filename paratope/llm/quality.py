@@ -23,7 +23,7 @@ RULES: dict[str, str] = {
     "symbol_heavy": "100 * n_symbols > 30 * n_words",
     "short_words": "10 * word_chars < 25 * n_words",
     "long_words": "word_chars > 14 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines",
     "upper_case": "100 * n_upper > 50 * word_chars",
 }
 #: Policies by version: the rules that each applies.
