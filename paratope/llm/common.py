@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paratope.session import ship
 
-__all__ = ["SPACE", "WORD", "let", "lower_ascii", "materialize", "shared_dir", "ship", "table"]
+__all__ = ["SPACE", "WORD", "let", "lower_ascii", "materialize", "shared_dir", "ship", "table", "worker_cache"]
 
 #: Characters that separate words, as the inside of a regular expression's class.
 SPACE = r"\x20\x09-\x0D"
@@ -21,6 +22,22 @@ WORD = rf"[^{SPACE}]+"
 _OWN_DIR: list[str] = []
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. Workers are shared by all operators: those before give up theirs, and freed memory goes back to the system."""
+    if any(kept for other, kept in _CACHES.items() if other != name):
+        for other, kept in _CACHES.items():
+            if other != name:
+                kept.clear()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    return _CACHES.setdefault(name, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

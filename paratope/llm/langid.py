@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paratope.llm.common import ship
+from paratope.llm.common import ship, worker_cache
 
 UNDETERMINED = "und"
 WINDOW = 64
@@ -238,6 +238,7 @@ def predict(documents: DataFrame, net: Network | None, keys: tuple[str, ...] = (
     shared = spark.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid")
         own = shared.value
         for batch in batches:
             texts = [t.encode() if t else b"" for t in batch.column(len(keys)).to_pylist()]

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paratope.llm.chunks import grouped
-from paratope.llm.common import materialize, ship
+from paratope.llm.common import materialize, ship, worker_cache
 
 WORDS = 5
 #: Links need LEVEL[0] * intersection >= LEVEL[1] * union.
@@ -160,6 +160,7 @@ SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("near")
     for batch in batches:
         ids, texts, at = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
         for group in grouped(texts):
@@ -182,6 +183,7 @@ def sign(documents: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("near")
     for batch in batches:
         ids, texts, at = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
         for group in grouped(texts):

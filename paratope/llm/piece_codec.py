@@ -22,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from paratope.llm.chunks import ChunkCache, piece_pattern
-from paratope.llm.common import ship
+from paratope.llm.common import ship, worker_cache
 
 SPACE = "▁"
 #: Characters of the longest text that is also checked as a whole.
 WHOLE_CHECK = 20_000
-_WORKERS: dict[str, PieceCodec] = {}
 
 
 class PieceCodec:
@@ -125,11 +124,11 @@ class PieceCodec:
 
 def codec(model: bytes) -> PieceCodec:
     """This worker's codec of a model; it and its cache outlive tasks."""
-    name = hashlib.sha256(model).hexdigest()
-    if name not in _WORKERS:
-        _WORKERS.clear()
-        _WORKERS[name] = PieceCodec(model)
-    return _WORKERS[name]
+    name, kept = hashlib.sha256(model).hexdigest(), worker_cache("pieces")
+    if name not in kept:
+        kept.clear()
+        kept[name] = PieceCodec(model)
+    return kept[name]
 
 
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}

@@ -38,14 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paratope.llm.chunks import ChunkCache, cut_byte_level
-from paratope.llm.common import shared_dir, ship
+from paratope.llm.common import shared_dir, ship, worker_cache
 
 END_ID = 2
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
 MAGIC, VERSION = b"PSSTABLE", 2
 _FOOTER = struct.Struct("<QQQQII8s")
-_WORKERS: dict[str, tuple] = {}
 
 
 def _varint(n: int) -> bytes:
@@ -231,11 +230,11 @@ def _encoder(model: bytes) -> _ByteEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-    name = hashlib.sha256(model).hexdigest()
-    if name not in _WORKERS:
-        _WORKERS.clear()
-        _WORKERS[name] = _ByteEncoder(model)
-    return _WORKERS[name]
+    name, kept = hashlib.sha256(model).hexdigest(), worker_cache("bytes")
+    if name not in kept:
+        kept.clear()
+        kept[name] = _ByteEncoder(model)
+    return kept[name]
 
 
 def write_shards(documents: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> list[tuple[str, int, int]]:
