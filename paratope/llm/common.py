@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from paratope.session import ship
 
-__all__ = ["SPACE", "WORD", "let", "lower_ascii", "materialize", "shared_dir", "ship", "table", "worker_cache"]
+__all__ = ["SPACE", "WORD", "drop_tables", "let", "lower_ascii", "materialize", "shared_dir", "ship", "table", "worker_cache"]
 
 #: Characters that separate words, as the inside of a regular expression's class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 _OWN_DIR: list[str] = []
+_WRITTEN: list[str] = []
 
 
 _CACHES: dict[str, dict] = {}
@@ -58,9 +59,18 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables that materialize() has written in this process; call it when no result that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

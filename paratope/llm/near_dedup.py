@@ -331,8 +331,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents that near_duplicates keeps, with all their columns."""
-    gone = near_duplicates(documents).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The documents that near_duplicates keeps, with all their columns; rows that share a doc_id stay or go together, and stay if one of them is kept."""
+    gone = near_duplicates(documents).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_stays")).filter("NOT _stays")
     d = documents.alias("d")
     return d.join(gone.hint("shuffle_hash").alias("g"), F.col("d.doc_id").cast("long") == F.col("g._gone"), "left_anti").select("d.*")
 

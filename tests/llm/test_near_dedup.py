@@ -123,3 +123,21 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(500, 501)], "a long, b long")
     found = {r.id: r.root for r in near_dedup.components(links).collect()}
     assert all(found[i] == 1 for i in range(2, 201)) and found[501] == 500
+
+
+def test_rows_of_one_id_stay_together(spark):
+    rows = [(1, "a b c"), (2, "a b c"), (2, "other words"), (3, "a b c"), (None, "a b c")]
+    kept = near_dedup.drop_near_duplicates(documents(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "a b c"), (1, "a b c"), (2, "a b c"), (2, "other words")]
+
+
+def test_tables_can_be_dropped(spark):
+    from paratope.llm import common
+
+    df = common.materialize(spark.range(5), "test-drop")
+    path = df.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert os.path.exists(path)
+    common.drop_tables(spark)
+    assert not os.path.exists(path) and common._WRITTEN == []
