@@ -27,8 +27,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return near_dedup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates stays; five-word sets of a similarity of 0.8 or more link two."""
+    return near_dedup.drop_near_duplicates(docs, near_dedup.STAGE_LEVEL)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near-duplicate documents: MinHash bands, odd sketches and exact confirmation.
 
 1. One pass over the texts gives each document's set of distinct five-word shingles (64-bit hashes), its
-   size and a 128-bit hash of the set, BANDS * ROWS MinHash samples folded into band keys, and an odd
-   sketch: a parity bitmap in which every sample flips one bit.
+   size and a 128-bit hash of the set, MinHash samples folded into band keys of ROWS samples each, and an
+   odd sketch: a parity bitmap in which each of the first BANDS * ROWS samples flips one bit.
 2. Documents with equal sets form a class; one representative goes on.
 3. Representatives that share a band key form a bucket. Each member is paired with the bucket's hub
    (the least id under one of HUBS orders), never with all others.
@@ -14,7 +14,9 @@
    order of components, and two blocks of one and the same component aren't compared.
 6. Components by alternating large and small stars, each round a table in the shared folder.
 
-A pair at the threshold escapes all bands with probability (1 - 0.85^5)^30, 2e-8, and the sketch with less.
+The threshold is a parameter, `percent`: LEVEL (85) for op1_near_dedup, STAGE_LEVEL (80) for dropping documents.
+The bands follow from it, 30 at 85 and 45 at 80, so that a pair at the threshold escapes all of them with
+probability (1 - 0.85^5)^30 or (1 - 0.8^5)^45, 2e-8 both, and the sketch with less.
 
 Cases: null texts and texts without words have the empty set and are linked with nothing; fewer than five
 words are one shingle; a row without doc_id is linked with nothing, has no component and is kept; rows that
@@ -24,7 +26,9 @@ ignored; texts are whole, of any length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +41,14 @@ from paratope.llm.common import materialize, ship, worker_cache
 WORDS = 5
 #: Links need LEVEL[0] * intersection >= LEVEL[1] * union.
 LEVEL = (100, 85)
+#: The percentage at which the pipeline's stage and other callers of drop_near_duplicates link documents.
+STAGE_LEVEL = 80
 BANDS, ROWS = 30, 5
+#: The probability, at most, that a pair at the threshold shares no band key.
+ESCAPE = 2.5e-8
 SKETCH_BITS = 512
-#: Pairs whose estimated similarity is lower aren't confirmed: the threshold less six standard deviations of the estimate.
-LEAST_ESTIMATE = 0.64
+#: Pairs whose estimated similarity is below the threshold by so many standard deviations of the estimate aren't confirmed.
+DEVIATIONS = 7
 HUBS = 4
 SMALL_BUCKET = 32
 BLOCK = 400
@@ -57,12 +65,32 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(int(_BASE), -1, 2**64))
 _PLACE = _rng.integers(1, 2**63, WORDS, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _COUNT, _KEY1, _KEY2 = (_U(int(x)) for x in _rng.integers(1, 2**63, 3))
-_MULTIPLIERS = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_ADDENDS = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.int64).astype(np.uint32)
-_BAND = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _HUB_ORDERS = [int(x) for x in _rng.integers(0, 2**62, HUBS)]
 
 
+def bands_for(percent: int) -> int:
+    """The bands that a pair at the threshold escapes with probability ESCAPE at most."""
+    return math.ceil(math.log(ESCAPE) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+@cache
+def _band(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and addends of a band's samples, and the weights that fold them into its key."""
+    rng = np.random.default_rng([20240229, i])
+    multipliers = rng.integers(0, 2**31, ROWS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    return multipliers, rng.integers(0, 2**32, ROWS, dtype=np.int64).astype(np.uint32), rng.integers(1, 2**63, ROWS, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+
+
+def most_flips(percent: int) -> int:
+    """Odd sketches of a pair at the threshold differ in more bits with negligible probability: DEVIATIONS of the estimate 1 + bits / (4 k) * ln(1 - 2 x / bits)."""
+    k, level = BANDS * ROWS, percent / 100
+    flips = 2 * k * (1 - level)  # expected; some fall on one bit
+    same = math.exp(-4 * flips / SKETCH_BITS)
+    noise = math.sqrt(max(0.0, SKETCH_BITS / 4 * (1 - same) - flips * same)) / (2 * k * math.sqrt(same))
+    least = max(0.0, level - DEVIATIONS * math.hypot(math.sqrt(level * (1 - level) / k), noise))
+    return int(SKETCH_BITS / 2 * (1 - math.exp((least - 1) * 4 * k / SKETCH_BITS)))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -138,20 +166,23 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(2, n) set hashes, (BANDS, n) band keys and (words, n) odd sketches of sets that aren't empty."""
+def signatures(sets: list[np.ndarray], bands: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(2, n) set hashes, (bands, n) band keys and (words, n) odd sketches of sets that aren't empty."""
     flat = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
     both = np.stack([np.add.reduceat(_mix(flat ^ _KEY1), at), np.add.reduceat(_mix(flat ^ _KEY2), at)])
     small = (flat >> _U(32)).astype(np.uint32)
-    keys = np.zeros((BANDS, len(sets)), _U)
+    keys = np.zeros((bands, len(sets)), _U)
     bits = np.zeros((len(sets), SKETCH_BITS), np.uint8)
     row = np.arange(len(sets))
-    for i in range(BANDS * ROWS):
-        least = np.minimum.reduceat(small * _MULTIPLIERS[i] + _ADDENDS[i], at).astype(_U)
-        keys[i // ROWS] += _mix(least + _U(1)) * _BAND[i // ROWS, i % ROWS]
-        bits[row, (_mix(least + _U(i << 32)) % _U(SKETCH_BITS)).astype(np.int64)] ^= 1
-    keys = _mix(keys + np.arange(BANDS, dtype=_U)[:, None] * _BASE)
+    for i in range(max(bands, BANDS) * ROWS):
+        multipliers, addends, weights = _band(i // ROWS)
+        least = np.minimum.reduceat(small * multipliers[i % ROWS] + addends[i % ROWS], at).astype(_U)
+        if i < bands * ROWS:
+            keys[i // ROWS] += _mix(least + _U(1)) * weights[i % ROWS]
+        if i < BANDS * ROWS:
+            bits[row, (_mix(least + _U(i << 32)) % _U(SKETCH_BITS)).astype(np.int64)] ^= 1
+    keys = _mix(keys + np.arange(bands, dtype=_U)[:, None] * _BASE)
     sketch = np.packbits(bits, axis=1).view(np.int64)
     return both, keys, np.ascontiguousarray(sketch.T)
 
@@ -159,27 +190,30 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    worker_cache("near")
-    for batch in batches:
-        ids, texts, at = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
-        for group in grouped(texts):
-            sets = shingle_sets([t.encode() for t in group])
-            full = [i for i, s in enumerate(sets) if len(s)]
-            n = len(group)
-            h, keys, sketch = np.zeros((2, n), np.int64), np.zeros((BANDS, n), np.int64), np.zeros((len(SKETCH), n), np.int64)
-            if full:
-                a, b, c = signatures([sets[i] for i in full])
-                h[:, full], keys[:, full], sketch[:, full] = a.view(np.int64), b.view(np.int64), c
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(np.ascontiguousarray(keys.T).ravel()))
-            sizes = pa.array(np.array([len(s) for s in sets], np.int64))
-            yield pa.RecordBatch.from_arrays([ids.slice(at, n), sizes, pa.array(h[0]), pa.array(h[1]), bands, *(pa.array(s) for s in sketch)], names=["id", "n", "h1", "h2", "bands", *SKETCH])
-            at += n
-
-
-def sign(documents: DataFrame) -> DataFrame:
+def _signer(n_bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("near")
+        for batch in batches:
+            ids, texts, at = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
+            for group in grouped(texts):
+                sets = shingle_sets([t.encode() for t in group])
+                full = [i for i, s in enumerate(sets) if len(s)]
+                n = len(group)
+                h, keys, sketch = np.zeros((2, n), np.int64), np.zeros((n_bands, n), np.int64), np.zeros((len(SKETCH), n), np.int64)
+                if full:
+                    a, b, c = signatures([sets[i] for i in full], n_bands)
+                    h[:, full], keys[:, full], sketch[:, full] = a.view(np.int64), b.view(np.int64), c
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands), pa.int32()), pa.array(np.ascontiguousarray(keys.T).ravel()))
+                sizes = pa.array(np.array([len(s) for s in sets], np.int64))
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), sizes, pa.array(h[0]), pa.array(h[1]), bands, *(pa.array(s) for s in sketch)], names=["id", "n", "h1", "h2", "bands", *SKETCH])
+                at += n
+
+    return run
+
+
+def sign(documents: DataFrame, n_bands: int = BANDS) -> DataFrame:
     fields = "id long, n long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
-    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_sign, fields)
+    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_signer(n_bands), fields)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,20 +228,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(group)
 
 
-def similar_enough(a: str, b: str) -> Column:
+def similar_enough(a: str, b: str, percent: int) -> Column:
     """The pair's sizes and odd sketches allow a link."""
     flips = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}.{SKETCH[0]}").bitwiseXOR(F.col(f"{b}.{SKETCH[0]}"))))
-    most = int(SKETCH_BITS / 2 * (1 - np.exp((LEAST_ESTIMATE - 1) * 4 * BANDS * ROWS / SKETCH_BITS)))  # the estimate 1 + bits / (4 k) * ln(1 - 2 x / bits), solved for x
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (LEVEL[0] * low >= LEVEL[1] * high) & (flips <= most)
+    return (100 * low >= percent * high) & (flips <= most_flips(percent))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
     union = F.size("x") + F.size("y") - both
-    return pairs.join(x, "a").join(y, "b").filter(LEVEL[0] * both >= LEVEL[1] * union).select("a", "b").distinct()
+    return pairs.join(x, "a").join(y, "b").filter(100 * both >= percent * union).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,7 +260,7 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(table: pa.Table, percent: int = LEVEL[1]) -> pa.Table:
     """Within a pair of blocks: a spanning forest of the confirmed links between different components."""
     ids = table.column("id").to_numpy()
     side = table.column("side").to_numpy()
@@ -254,7 +287,7 @@ def _block_links(table: pa.Table) -> pa.Table:
         values = order[at[i] : at[i + 1]]
         holders = owner[by_value[_ranges(cuts[values], cuts[values + 1])]]
         common = np.bincount(holders, minlength=n)
-        near = np.flatnonzero(LEVEL[0] * common >= LEVEL[1] * (sizes + sizes[i] - common))
+        near = np.flatnonzero(100 * common >= percent * (sizes + sizes[i] - common))
         for j in near[near > i]:
             a, b = find(label[i]), find(label[j])
             if a != b and (side[i] != side[j] or side[i] == 2):
@@ -269,7 +302,7 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
 
 
-def _left_over(members: DataFrame, nodes: DataFrame, found: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
+def _left_over(members: DataFrame, nodes: DataFrame, found: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that share a bucket: (a, b)."""
     named = members.join(found, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi AND size > 2").select("key", "size")
@@ -278,8 +311,8 @@ def _left_over(members: DataFrame, nodes: DataFrame, found: DataFrame, tried: Da
         return open_.select(F.col("id").alias("a"), F.col("id").alias("b"))
     few = open_.filter(F.col("size") <= SMALL_BUCKET)
     pairs = few.alias("p").join(few.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    likely = pairs.join(tried, ["a", "b"], "left_anti").join(nodes.withColumnRenamed("id", "a").alias("p"), "a").join(nodes.withColumnRenamed("id", "b").alias("q"), "b").filter(similar_enough("p", "q")).select("a", "b")
-    links = confirmed(likely, sets)
+    likely = pairs.join(tried, ["a", "b"], "left_anti").join(nodes.withColumnRenamed("id", "a").alias("p"), "a").join(nodes.withColumnRenamed("id", "b").alias("q"), "b").filter(similar_enough("p", "q", percent)).select("a", "b")
+    links = confirmed(likely, sets, percent)
 
     many = open_.filter(F.col("size") > SMALL_BUCKET)
     place = F.row_number().over(Window.partitionBy("key").orderBy("root", "id")) - 1
@@ -292,13 +325,13 @@ def _left_over(members: DataFrame, nodes: DataFrame, found: DataFrame, tried: Da
     tasks = apart.select(F.col("p.key").alias("key"), F.col("p.block").alias("i"), F.col("q.block").alias("j"))
     sides = tasks.select("key", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))).alias("s"))
     dealt = sides.select("key", "i", "j", "s.block", "s.side").join(cut.select("key", "block", "id", "root"), ["key", "block"]).join(sets, "id")
-    return links.unionByName(dealt.select("key", "i", "j", "side", "id", "root", "shingles").groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long"))
+    return links.unionByName(dealt.select("key", "i", "j", "side", "id", "root", "shingles").groupBy("key", "i", "j").applyInArrow(lambda part: _block_links(part, percent), "a long, b long"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(documents: DataFrame, percent: int = LEVEL[1]) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept. Documents of a similarity of `percent` hundredths or more are linked."""
     ship(documents.sparkSession)
-    signed = materialize(sign(documents), "near-signed")
+    signed = materialize(sign(documents, bands_for(percent)), "near-signed")
     full = signed.filter("n > 0 AND id IS NOT NULL")
     classes = materialize(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "near-classes")
     reps = full.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "n", "id"]).dropDuplicates(["id", "h1", "h2"])
@@ -311,16 +344,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     hubs = hubs.select("key", F.col("least").bitwiseXOR(F.col("order")).alias("hub"))
     members = materialize(keyed.select("id", "key").join(hubs, "key"), "near-members")
     pairs = members.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    likely = pairs.join(nodes.withColumnRenamed("id", "a").alias("p"), "a").join(nodes.withColumnRenamed("id", "b").alias("q"), "b").filter(similar_enough("p", "q")).select("a", "b")
+    likely = pairs.join(nodes.withColumnRenamed("id", "a").alias("p"), "a").join(nodes.withColumnRenamed("id", "b").alias("q"), "b").filter(similar_enough("p", "q", percent)).select("a", "b")
     tried = materialize(likely, "near-pairs")
 
     wanted = members.select("id").distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("shuffle_hash"), "id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets, "id long, shingles array<long>"), "near-sets", "lz4")
 
-    links = materialize(confirmed(tried, sets), "near-links")
+    links = materialize(confirmed(tried, sets, percent), "near-links")
     found = components(links)
-    more = materialize(_left_over(members.select("key", "id"), nodes, found, tried, sets), "near-more")
+    more = materialize(_left_over(members.select("key", "id"), nodes, found, tried, sets, percent), "near-more")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     rows = signed.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
@@ -330,9 +363,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return final.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, percent: int = STAGE_LEVEL) -> DataFrame:
     """The documents that near_duplicates keeps, with all their columns; rows that share a doc_id stay or go together, and stay if one of them is kept."""
-    gone = near_duplicates(documents).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_stays")).filter("NOT _stays")
+    gone = near_duplicates(documents, percent).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_stays")).filter("NOT _stays")
     d = documents.alias("d")
     return d.join(gone.hint("shuffle_hash").alias("g"), F.col("d.doc_id").cast("long") == F.col("g._gone"), "left_anti").select("d.*")
 

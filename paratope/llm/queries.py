@@ -54,7 +54,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.LEVEL[1])
 
 
 QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_topk": op2_topk, "op3_language_id": op3_language_id, "op9_sstable": op9_sstable, "op10_piece_codec": op10_piece_codec, "op4_line_dedup": op4_line_dedup, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules}

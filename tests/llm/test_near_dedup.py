@@ -141,3 +141,35 @@ def test_tables_can_be_dropped(spark):
     assert os.path.exists(path)
     common.drop_tables(spark)
     assert not os.path.exists(path) and common._WRITTEN == []
+
+
+def kept_by_brute_force(rows, percent):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        least[r] = min(least.get(r, d), d)
+    return sorted(least.values())
+
+
+def test_the_stage_links_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = []
+    for family in range(60):
+        base = [f"f{family}x{i}" for i in range(100)]
+        rows += [(3 * family + copy, edited(rng, base, copy)) for copy in range(3)]
+    stage = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "unused").collect())
+    query = sorted(r.doc_id for r in near_dedup.near_duplicates(documents(spark, rows), 85).filter("kept").collect())
+    assert stage == kept_by_brute_force(rows, 80) and query == kept_by_brute_force(rows, 85) and len(stage) < len(query)
+
+
+def test_bands_follow_the_level():
+    for percent, bands in ((85, 30), (80, 45)):
+        assert near_dedup.bands_for(percent) == bands and (1 - (percent / 100) ** near_dedup.ROWS) ** bands < 2.5e-8
+    assert near_dedup.most_flips(80) > near_dedup.most_flips(85)
