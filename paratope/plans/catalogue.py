@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paratope.functions import hla, keys, text
-from paratope.functions.distance import complete_linkage, mahalanobis, superposed_rmsd
+from paratope.functions.distance import complete_linkage
 from paratope.operators import alleles, evaluation, negatives, relational
 from paratope.operators.features import REGIONS
 from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, TCR_COLUMNS
@@ -450,10 +450,25 @@ def lcs_allele_match(spark, sf_dir):
     return alleles.match_alleles(chains, reference.withColumns({"species": F.lit("human"), "status": F.when(F.col("ord") % 2 == 0, "Full").otherwise("Partial")}))
 
 
-def _in_groups(df: DataFrame, fn, schema: str, size: int = 200) -> DataFrame:
-    """Groups of embeddings: the label and a block of at most about `size` vectors, as an antigen's receptors are."""
-    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("label")) / size)
-    return df.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), blocks).alias("block")).groupBy("label", "block").applyInPandas(fn, schema)
+def _block_pairs(df: DataFrame, value: str, fn, schema: str, size: int = 200) -> DataFrame:
+    """All pairs a < b of each label's rows: blocks of `size` rows in the order of vec_id, each against itself and every other. fn(x, y) measures the row x against the rows y."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("label")) / size).cast("int")
+    placed = df.select("vec_id", "label", value, F.floor(place / size).cast("int").alias("block"), blocks.alias("blocks"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("vec_id", kind="stable")
+        ids, x = batch["vec_id"].to_numpy(), np.stack(batch[value].to_numpy()).astype(float)
+        of_i, of_j = np.flatnonzero(batch["block"] == batch["i"]), np.flatnonzero(batch["block"] == batch["j"])
+        rows = [(m, of_j[of_j > m]) for m in of_i]
+        return pd.DataFrame({
+            "a": np.concatenate([np.full(len(o), ids[m]) for m, o in rows]),
+            "b": np.concatenate([ids[o] for _, o in rows]),
+            "dist": np.concatenate([np.round(fn(x[m], x[o]), 6) for m, o in rows]),
+        }).set_axis(["a", "b", schema.split()[-2]], axis=1)
+
+    return dealt.groupBy("label", "i", "j").applyInPandas(run, schema)
 
 
 @query("complete_linkage")
@@ -461,35 +476,39 @@ def linkage(spark, sf_dir):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("vec_id")
         x = np.stack(batch["embedding"].to_numpy()).astype(float)
-        d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
-        return pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "block": batch["block"], "cluster": complete_linkage(d, 1.2)})
+        d = np.stack([np.sqrt(((x - row) ** 2).sum(-1)) for row in x])
+        return pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "cluster": complete_linkage(d, 1.2)})
 
-    return _in_groups(table(spark, sf_dir, "embeddings"), run, "vec_id long, label int, block long, cluster long")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").groupBy("label").applyInPandas(run, "vec_id long, label int, cluster long")
 
 
 @query("mahalanobis_pairs")
 def mahalanobis_pairs(spark, sf_dir):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("vec_id")
-        x = np.stack(batch["embedding"].to_numpy()).astype(float)[:, :6]
-        d = mahalanobis(x, np.linalg.pinv(np.cov(x, rowvar=False))) if len(x) > 1 else np.zeros((1, 1))
-        i, j = np.triu_indices(len(x), 1)
-        ids = batch["vec_id"].to_numpy()
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "dist": np.round(d[i, j], 6)})
+    def whiten(batch: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(batch["x"].to_numpy()).astype(float)
+        inverse = np.linalg.pinv(np.cov(x, rowvar=False)) if len(x) > 1 else np.zeros((x.shape[1],) * 2)
+        size, axes = np.linalg.eigh(inverse)
+        white = x @ (axes * np.sqrt(np.maximum(size, 0)))  # Euclidean distances of these are Mahalanobis distances
+        return pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "z": white.tolist()})
 
-    return _in_groups(table(spark, sf_dir, "embeddings"), run, "a long, b long, dist double")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 6).alias("x"))
+    white = rows.groupBy("label").applyInPandas(whiten, "vec_id long, label int, z array<double>")
+    return _block_pairs(white, "z", lambda x, y: np.sqrt(((y - x) ** 2).sum(-1)), "a long, b long, dist double")
+
+
+def _rmsd_to_many(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """superposed_rmsd of one vector's 21 points and those of each row of y: the first 12 are fitted, the others measured."""
+    p, q = x[:63].reshape(21, 3), y[:, :63].reshape(-1, 21, 3)
+    cp, cq = p[:12].mean(0), q[:, :12].mean(1, keepdims=True)
+    u, _, vt = np.linalg.svd((p[:12] - cp).T @ (q[:, :12] - cq))
+    sign = np.sign(np.linalg.det(u @ vt))
+    u[:, :, 2] *= np.where(sign == 0, 1.0, sign)[:, None]
+    return np.sqrt((((p[12:] - cp) @ (u @ vt) + cq - q[:, 12:]) ** 2).sum(-1).mean(-1))
 
 
 @query("kabsch_rmsd")
 def kabsch_rmsd(spark, sf_dir):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("vec_id")
-        x = np.stack(batch["embedding"].to_numpy()).astype(float)[:, :63].reshape(len(batch), 21, 3)
-        ids = batch["vec_id"].to_numpy()
-        rows = [(ids[i], ids[i + 1], round(superposed_rmsd(x[i][:12], x[i + 1][:12], x[i][12:], x[i + 1][12:]), 6)) for i in range(len(x) - 1)]
-        return pd.DataFrame(rows, columns=["a", "b", "rmsd"])
-
-    return _in_groups(table(spark, sf_dir, "embeddings"), run, "a long, b long, rmsd double")
+    return _block_pairs(table(spark, sf_dir, "embeddings"), "embedding", _rmsd_to_many, "a long, b long, rmsd double")
 
 
 @query("sample_strikeout")
