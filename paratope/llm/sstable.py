@@ -25,11 +25,13 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paratope.llm.chunks import ChunkCache, cut_byte_level
+from paratope.llm.chunks import ChunkCodes, byte_level_cuts
 from paratope.llm.common import shared_dir, ship, worker_cache
 
 END_ID = 2
@@ -183,13 +185,15 @@ class ShardReader:
         return found
 
 
-#: Chunks that a worker keeps in each half of its cache.
-CACHED = 500_000
-_SIMPLE = re.compile(r" ?[!-~À-ɏ]+")
+#: A chunk that the usual byte-level pattern leaves whole, so that it can go straight to the library's model.
+_ONE_TOKEN = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|\n")
 
 
-def _whole(text: str) -> list[str]:
-    return [text] if text else []
+def byte_letters() -> dict[int, str]:
+    """By code point, as Latin-1 has them, the letters in which byte-level vocabularies write bytes: visible ones as they are, the others in order from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class _ByteEncoder:
@@ -200,30 +204,40 @@ class _ByteEncoder:
 
         self.library = Tokenizer.from_str(model.decode())
         self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        own = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
-        self.cache = ChunkCache(cut_byte_level if own else _whole, self._encode, CACHED)
-        feed = self.library.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if own and len(feed) == 1 else None
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Chunks without white space but a space in front go to the library as the lines of one text: a line feed between two such is a token of its own."""
-        joined = [c for c in chunks if _SIMPLE.fullmatch(c)] if self.feed is not None else []
-        out = dict(zip(joined, self._lines(joined), strict=True)) if joined else {}
-        rest = [c for c in chunks if c not in out]
-        out.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return [out[c] for c in chunks]
-
-    def _lines(self, lines: list[str]) -> list[bytes]:
-        ids = np.asarray(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
-        feeds = np.flatnonzero(ids == self.feed)
-        if len(feeds) != len(lines) - 1:
-            raise RuntimeError("the tokenizer joins lines")
-        data, ends = ids.tobytes(), [*(4 * feeds).tolist(), 4 * len(ids)]
-        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for codes in self.cache.encoded(texts, b"".join):
-            yield np.frombuffer(codes, "<u4")
+        added = self.library.get_added_tokens_decoder().values()
+        spec = json.loads(model)
+        pattern = spec["pre_tokenizer"] or {}
+        plain = pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not pattern["add_prefix_space"] and not spec["normalizer"]
+        self.own = plain and spec["model"]["type"] == "BPE" and not spec["truncation"] and not any(t.lstrip or t.rstrip or t.single_word for t in added)
+        self.added = [t.content.encode() for t in added]
+        self.letters = byte_letters()
+        self.cache = ChunkCodes(self._cuts if self.own else lambda data, last: np.zeros(len(data), bool), self._codes)
+
+    def _cuts(self, data: np.ndarray, last: np.ndarray) -> np.ndarray:
+        cuts, raw = byte_level_cuts(data, last), data.tobytes()
+        for token in self.added:  # the library takes them out of a text first
+            at = raw.find(token)
+            while at >= 0:
+                cuts[at + 1 : at + len(token)] = False
+                at = raw.find(token, at + 1)
+        return cuts
+
+    def _codes(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list = [None] * len(chunks)
+        if self.own:
+            whole, tokenize, letters = _ONE_TOKEN.fullmatch, self.library.model.tokenize, self.letters
+            for i, c in enumerate(chunks):
+                if whole(c):
+                    ids[i] = [t.id for t in tokenize((c if c.isascii() else c.encode().decode("latin-1")).translate(letters))]
+        rest = [i for i, v in enumerate(ids) if v is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for ids, at in self.cache.encoded(texts):
+            yield from np.split(ids, at[1:-1])
 
 
 def _encoder(model: bytes) -> _ByteEncoder:
@@ -237,6 +251,14 @@ def _encoder(model: bytes) -> _ByteEncoder:
     return kept[name]
 
 
+def _drop_attempts(spark, folder: str) -> None:
+    """Deletes what attempts that died have left."""
+    left = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_attempt-*")
+    store = left.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.globStatus(left) or []:
+        store.delete(status.getPath(), False)
+
+
 def write_shards(documents: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> list[tuple[str, int, int]]:
     """Writes all documents' ids in ascending doc_id order; returns (file, start, ids) of each shard in order, a row a partition."""
     spark = documents.sparkSession
@@ -256,9 +278,8 @@ def write_shards(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
         with store.open_output_stream(part) as out:
             for batch in batches:
                 ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                texts = [t or "" for t in batch.column(2).to_pylist()]
                 writer = writer or ShardWriter(out, encoder.id_bytes)
-                for doc_id, th, tokens in zip(ids, hashes, encoder.encode(texts), strict=True):
+                for doc_id, th, tokens in zip(ids, hashes, encoder.encode(batch.column(2)), strict=True):
                     key = id_key(doc_id) + struct.pack(">Q", th + (1 << 63))
                     count = count + 1 if key == last else 0
                     last = key
@@ -275,6 +296,7 @@ def write_shards(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
     keyed = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     ranged = keyed.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
     shards = sorted(ranged.mapInArrow(run, "file string, first binary, n_ids long").collect(), key=lambda r: bytes(r["first"]))
+    _drop_attempts(spark, folder)
     starts = np.cumsum([0, *(r["n_ids"] for r in shards)]).tolist()
     return [(r["file"], starts[i], r["n_ids"]) for i, r in enumerate(shards)]
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -68,7 +69,7 @@ def test_encoding_documents(spark, docs, empty):
 def test_byte_encoder_equals_the_library():
     own, library = sstable._ByteEncoder(open(BYTES, "rb").read()), Tokenizer.from_file(BYTES)
     texts = ODD + fuzz(5000, 2)
-    assert [ids.tolist() for ids in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in own.encode(pa.array(texts))] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_shard_round_trip_and_lookup():
