@@ -7,7 +7,6 @@ encoded once a worker. Chunks of at most 16 bytes are looked up by these bytes t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -236,47 +235,6 @@ def byte_groups(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = j
 
 
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-
-
-def piece_pattern(pieces: list[str]) -> re.Pattern | None:
-    """For a piece vocabulary, cuts that no piece spans: before spaces (written as spaces here) and around line feeds; and before marks after a letter where no piece has them so. None where pieces span spaces or line feeds."""
-    long_ = [p for p in pieces if len(p) > 1]
-    if any("\n" in p or " " in p.lstrip(" ") for p in long_):
-        return None
-    behind = {m for p in long_ for m in re.findall(rf"(?<=[{LETTERS}])[^{LETTERS}]", p)}
-    marks = "".join(re.escape(m) for m in ".,;:!?|)" if m not in behind)
-    return re.compile(rf"\n| *[^ \n{marks}]*[{LETTERS}](?=[{marks}])| *[^ \n]+| +" if marks else r"\n| *[^ \n]+| +")
-
-
-LIMIT = 200_000
-
-
-class ChunkCache:
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list], limit: int = LIMIT):
-        self.cut, self.encode, self.limit = cut, encode, limit
-        self.known: dict = {}
-        self.old: dict = {}
-
-    def encoded(self, texts: list[str], gather: Callable = list) -> Iterator:
-        """For each text the codes of its chunks, gathered."""
-        for group in grouped(texts):
-            cuts = [self.cut(t) for t in group]
-            words = set().union(*cuts)
-            known = self.known
-            if missing := [w for w in words if w not in known]:
-                if len(known) + len(missing) > self.limit:
-                    self.old, self.known = known, {}
-                    known, missing = self.known, list(words)
-                old = self.old
-                known.update((w, old[w]) for w in missing if w in old)
-                new = [w for w in missing if w not in known]
-                known.update(zip(new, self.encode(new), strict=True))
-            get = known.__getitem__
-            for c in cuts:
-                yield gather(map(get, c))
-
-
 def grouped(texts: list[str]) -> Iterator[list[str]]:
     """Neighbouring texts up to GROUP_CHARS together; a longer text alone."""
     group, size = [], 0

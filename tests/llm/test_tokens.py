@@ -14,7 +14,7 @@ from paratope.llm import chunks, piece_codec, sstable
 from tests.llm.conftest import documents
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["  a  b ", "", " ", "   ", "a\n\n b\n", "▁x ▁▁ y", "\n", "x\n", "日本 語é \t\n x", "<s> <0x0A> </s>", " \n a", "a" * 500, "é" * 40, "a　b\xa0c\x1cd \x85 e", "don't 's 'S I'll\n\t we\r\n x", "a!\x1c ! y", "x, y. z!! (a) ..b ,c #,", "<|endoftext|> a<|endoftext|>", "\x00\x01"]
+ODD = ["  a  b ", "", " ", "   ", "a\n\n b\n", "▁x ▁▁ y", "\n", "x\n", "日本 語é \t\n x", "<s> <0x0A> </s>", " \n a", "a" * 500, "é" * 40, "a　b\xa0c\x1cd \x85 e", "don't 's 'S I'll\n\t we\r\n x", "a!\x1c ! y", "x, y. z!! (a) ..b ,c #,", "<|endoftext|> a<|endoftext|>", "x!<|endoftext|>'s 1<|endof", "Привет, мир! ÷a×b œuvre", "“q” — don’t…", "\x00\x01"]
 
 
 def fuzz(n, seed):
@@ -27,29 +27,71 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def encoded(own, texts):
+    return [ids[a:b].tolist() for ids, at in own.encode(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def test_agenda_equals_the_library():
     own = piece_codec.PieceCodec(open(PIECES, "rb").read())
     texts = ODD + fuzz(5000, 1)
-    assert [ids for ids, _ in own.encode(texts)] == own.library.encode(texts, num_threads=1)
+    wanted = own.library.encode(texts, num_threads=1)
+    assert encoded(own, texts) == wanted
+    assert encoded(own, texts) == wanted  # from the cache
     uncut = piece_codec.PieceCodec(open(PIECES, "rb").read())
-    uncut.cache = None
-    assert [ids for ids, _ in uncut.encode(texts[:500])] == own.library.encode(texts[:500], num_threads=1)
+    uncut.cache.cuts = lambda data, last: np.zeros(len(data), bool)
+    assert encoded(uncut, texts[:500]) == wanted[:500]
+    for ids, at in own.encode(pa.array(texts)):
+        assert [t.decode() for t in own.joined(ids, at)] == [",".join(map(str, w)) for w in wanted]
 
 
-def test_cache_keeps_its_bound():
-    cache = chunks.ChunkCache(lambda t: t.split(" "), lambda words: [len(w) for w in words], limit=50)
-    for i in range(100):
-        words = [f"w{i}x{j}" for j in range(20)] + ["often"]
-        assert list(cache.encoded([" ".join(words)])) == [[len(w) for w in words]]
-        assert len(cache.known) <= 71 and len(cache.old) <= 71
-    assert "often" in cache.known or "often" in cache.old
+def test_rows_of_agendas_equal_the_heap():
+    own = piece_codec.PieceCodec(open(PIECES, "rb").read())
+    rng = random.Random(5)
+    words = list(dict.fromkeys("".join(rng.choice("abcdeinorst▁é日́") for _ in range(rng.randrange(1, 30))) for _ in range(4000)))
+    ids, counts = own.agendas(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [own.chunk_ids(w) for w in words]
+
+
+def test_chunks_are_kept_within_bounds():
+    calls = []
+
+    def encode(words):
+        calls.extend(words)
+        return np.array([ord(c) for w in words for c in w], np.uint32), np.array([len(w) for w in words], np.int64)
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abc") * rng.randrange(1, 40) + str(rng.randrange(50)) for _ in range(rng.randrange(30))) for _ in range(400)] + ["", "\0", "a\0", "a", "a\0\0b"]
+    cache = chunks.ChunkCodes(chunks.byte_level_cuts, encode, bits=8)
+    for _ in range(2):
+        for t in (texts, texts[::-1]):
+            got = [ids[a:b] for ids, at in cache.encoded(pa.array(t)) for a, b in zip(at[:-1], at[1:], strict=True)]
+            assert ["".join(map(chr, g)) for g in got] == t
+    roomy = chunks.ChunkCodes(chunks.byte_level_cuts, encode)
+    calls.clear()
+    list(roomy.encoded(pa.array(texts))), list(roomy.encoded(pa.array([None, *texts]).slice(1)))
+    assert len(calls) == len(set(calls))
+
+
+def test_key_table_finds_what_was_inserted():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(1, 40, 5000).astype(np.uint64), rng.integers(0, 40, 5000).astype(np.uint64)
+    pairs = np.unique(np.c_[a, b], axis=0)
+    keys = chunks.KeyTable((2 * len(pairs)).bit_length() + 1)
+    for part in np.array_split(np.arange(len(pairs), dtype=np.int32), 3):
+        keys.insert(pairs[part, 0], pairs[part, 1], part)
+    assert keys.find(pairs[:, 0], pairs[:, 1]).tolist() == list(range(len(pairs)))
+    assert (keys.find(pairs[:, 0] + np.uint64(100), pairs[:, 1]) == -1).all()
+    with pytest.raises(ValueError, match="full"):
+        keys.insert(np.arange(1, keys.limit, dtype=np.uint64), np.full(keys.limit - 1, 99, np.uint64), np.arange(keys.limit - 1, dtype=np.int32))
 
 
 def test_a_wrong_agenda_is_found():
     own = piece_codec.PieceCodec(open(PIECES, "rb").read())
-    own.cost = {p: -c for p, c in own.cost.items()}
+    own.place[:-1] = own.place[:-1].max() - own.place[:-1]
+    with pytest.raises(RuntimeError, match="differ"):
+        encoded(own, ["unbelievable reconsideration of interdisciplinary information"])
     with pytest.raises(RuntimeError, match="differ"):
-        list(own.encode(["unbelievable reconsideration of interdisciplinary information"]))
+        own.check_whole("word " * 30_000, [1, 2])
 
 
 def test_encoding_documents(spark, docs, empty):
