@@ -49,20 +49,59 @@ def loop_distance(a: list[str], b: list[str], *, weight: int = 1, gap: int = 4,
             stop = max(ntrim, short - ctrim)
             out[at] = weight * _MATRIX[s[:, ntrim:stop], t[:, ntrim:stop]].sum(1)
             continue
-        if fixed_gap:
-            first = last = max(0, min(6, 3 + (short - 5) // 2, short))
-        else:
-            first, last = 5, short - 5
-            while first > last:
-                first -= 1
-                last += 1
-            first, last = max(0, first), min(short, last)
+        first, last = _gap_places(short, fixed_gap)
         ahead, behind = _MATRIX[s, t[:, :short]].astype(np.int64), _MATRIX[s, t[:, long_ - short :]].astype(np.int64)
         costs = [ahead[:, ntrim:g].sum(1) + behind[:, g : max(g, short - ctrim)].sum(1) for g in range(first, last + 1)]
         out[at] = weight * (np.min(costs, axis=0) + gap * (long_ - short))
     return out
 
 
+def loop_distances(a: list[str], b: list[str], *, weight: int = 1, gap: int = 4, ntrim: int = 0, ctrim: int = 0, fixed_gap: bool = True) -> np.ndarray:
+    """(len(a), len(b)): loop_distance of every loop of a and every one of b, by position over whole tables of residues."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    sides = []
+    for words in (a, b):
+        lengths: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            lengths.setdefault(len(w or ""), []).append(i)
+        sides.append({n: (np.array(at), _codes([words[i] or "" for i in at], n)) for n, at in lengths.items()})
+    for n, (rows, x) in sides[0].items():
+        for m, (cols, y) in sides[1].items():
+            short, long_ = min(n, m), max(n, m)
+            stop = short - ctrim
+            cell = lambda i, j, x=x, y=y: _MATRIX[x[:, i][:, None], y[:, j][None, :]].astype(np.int64)
+            d = np.zeros((len(rows), len(cols)), np.int64)
+            if short == long_:
+                for i in range(ntrim, stop):
+                    d += cell(i, i)
+            elif short:
+                shift = long_ - short
+                moved = (lambda i: cell(i, i + shift)) if n < m else (lambda i: cell(i + shift, i))  # noqa: B023
+                first, last = _gap_places(short, fixed_gap)
+                total = sum((cell(i, i) for i in range(ntrim, first)), d) + sum((moved(i) for i in range(first, stop)), d)
+                d = total
+                for g in range(first, last):  # the gap moves one residue on
+                    total = total + (cell(g, g) if g >= ntrim else 0) - (moved(g) if g < stop else 0)
+                    d = np.minimum(d, total)
+                d = d + gap * shift
+            else:
+                d = d + gap * long_
+            out[np.ix_(rows, cols)] = weight * d
+    return out
+
+
+def _gap_places(short: int, fixed: bool) -> tuple[int, int]:
+    """The first and last place of the gap in a loop of that length."""
+    if fixed:
+        place = max(0, min(6, 3 + (short - 5) // 2, short))
+        return place, place
+    first, last = 5, short - 5
+    while first > last:
+        first -= 1
+        last += 1
+    return max(0, first), min(short, last)
+
+
 #: (regions of a chain, options): loops count once, the third thrice with its ends trimmed.
 LOOPS = {"cdr_1": {}, "cdr_2": {}, "cdr_2_5": {}, "cdr_3": {"weight": 3, "ntrim": 3, "ctrim": 2, "fixed_gap": False}}
 
@@ -81,6 +120,21 @@ def receptor_distance(a: dict[str, list[str]], b: dict[str, list[str]], loops: d
     return total
 
 
+def receptor_distances(a: dict[str, list[str]], b: dict[str, list[str]], loops: dict[str, dict] = LOOPS) -> np.ndarray:
+    """receptor_distance of every receptor of a and every one of b; equal loops are measured once."""
+    total = np.zeros((len(next(iter(a.values()))), len(next(iter(b.values())))), np.int64)
+    for chain in (1, 2):
+        for region, options in loops.items():
+            (x, at), (y, to) = (_distinct(side[f"tcr_{chain}_{region}"]) for side in (a, b))
+            total += loop_distances(x, y, **options)[np.ix_(at, to)]
+    return total
+
+
+def _distinct(words: list[str]) -> tuple[list[str], np.ndarray]:
+    found = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return list(found), np.array([found[w] for w in words])
+
+
 def least_distance_by_length(difference: int, loops: dict[str, dict] = LOOPS) -> int:
     """A lower bound of a chain's distance from the difference of its third loops' lengths."""
     return loops["cdr_3"]["weight"] * MOST * difference

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paratope.functions.distance import LOOPS, least_distance_by_length, receptor_distance
+from paratope.functions.distance import LOOPS, least_distance_by_length, receptor_distance, receptor_distances
 from paratope.functions.keys import key_id, seeded_order, with_ids, with_job_name
 from paratope.operators.relational import demand
 from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, SOURCE_COLUMNS, TCR_KEY, TRIAD_COLUMNS, TRIAD_HASHED
-from paratope.session import ship
+from paratope.session import fitted, settled, ship
 
 REACH, EDITS = 120, 3
 SIDE = 512
@@ -32,11 +32,38 @@ def edit_sum(left: str, right: str, most: int) -> Column:
     return (parts[0] < 0) | (parts[1] < 0) | (parts[2] < 0) | (parts[0] + parts[1] + parts[2] > most)
 
 
-def far_antigens(focal: DataFrame, donor: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(antigen_id, source_id) of different antigens farther than `edits`; both sides are distinct antigens, far fewer than receptors."""
-    a = focal.select(*ANTIGEN_COLUMNS).distinct().withColumn("antigen_id", key_id(ANTIGEN_COLUMNS)).alias("a")
-    b = donor.select(*ANTIGEN_COLUMNS).distinct().withColumn("source_id", key_id(ANTIGEN_COLUMNS)).alias("b")
-    return a.join(b, (F.col("antigen_id") != F.col("source_id")) & edit_sum("a", "b", edits)).select("antigen_id", "source_id")
+def _segments(length: Column, most: int) -> list[tuple[int, Column, Column]]:
+    """The most + 1 even segments of a text of that length: (number, start from 0, size)."""
+    cut = lambda i: F.floor(length * i / (most + 1)).cast("int")
+    return [(i, cut(i), cut(i + 1) - cut(i)) for i in range(most + 1)]
+
+
+def close_texts(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(a, b, edits) of the texts of two one-column tables that are at most `most` edits apart.
+
+    A text cut into most + 1 segments shares one of them unchanged, and shifted by at most `most`, with any text
+    that near: texts meet by length, segment and its letters, not each with every other.
+    """
+    a, b = left.toDF("a").distinct().filter("a IS NOT NULL"), right.toDF("b").distinct().filter("b IS NOT NULL")
+    cut = lambda text, at, size: F.substring(text, at + 1, size)
+    keys = [F.struct(F.length("a").alias("n"), F.lit(i).alias("i"), cut(F.col("a"), at, size).alias("part")) for i, at, size in _segments(F.length("a"), most)]
+    sides = a.select("a", F.inline(F.array(*keys)))
+    lengths = b.select("b", F.explode(F.sequence(F.greatest(F.lit(0), F.length("b") - most), F.length("b") + most)).alias("n"))
+    shifted = [F.struct(F.lit(i).alias("i"), (at + shift).alias("at"), size.alias("size")) for i, at, size in _segments(F.col("n"), most) for shift in range(-most, most + 1)]
+    placed = lengths.select("b", "n", F.inline(F.array(*shifted))).filter("at >= 0 AND at + size <= length(b)")
+    met = sides.join(placed.select("b", "n", "i", cut(F.col("b"), F.col("at"), F.col("size")).alias("part")).distinct(), ["n", "i", "part"])
+    found = met.select("a", "b").distinct().withColumn("edits", F.levenshtein("a", "b", most))
+    return found.filter("edits >= 0")
+
+
+def close_antigens(focal: DataFrame, donor: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(antigen_id, source_id) of antigens at most `edits` apart, equal ones too: far antigens are all others."""
+    prepared = lambda df: df.select(*ANTIGEN_COLUMNS).distinct().withColumns({"_id": key_id(ANTIGEN_COLUMNS), "_p": F.coalesce("peptide", F.lit(""))})
+    a, b = prepared(focal).alias("a"), prepared(donor).alias("b")
+    peptides = close_texts(a.select("_p"), b.select("_p"), edits).alias("p")
+    pairs = peptides.join(a, F.col("p.a") == F.col("a._p")).join(b, F.col("p.b") == F.col("b._p"))
+    near = (F.col("a._id") == F.col("b._id")) | ~edit_sum("a", "b", edits)
+    return pairs.filter(near).select(F.col("a._id").alias("antigen_id"), F.col("b._id").alias("source_id"))
 
 
 def _edges(reach: int, loops: dict):
@@ -47,12 +74,9 @@ def _edges(reach: int, loops: dict):
         a, b = table.filter(pa.array(focal)), table.filter(pa.array(~focal))
         found = []
         if a.num_rows and b.num_rows:
-            left, right = ({c: t.column(c).to_pylist() for c in columns} for t in (a, b))
             ids_a, ids_b = a.column("tcr_id").to_pylist(), b.column("tcr_id").to_pylist()
-            n = b.num_rows
-            for i in range(a.num_rows):
-                d = receptor_distance({c: [left[c][i]] * n for c in columns}, right, loops)
-                found += [(ids_a[i], ids_b[j], int(d[j])) for j in np.flatnonzero(d <= reach)]
+            d = receptor_distances(*({c: t.column(c).to_pylist() for c in columns} for t in (a, b)), loops)
+            found = [(ids_a[i], ids_b[j], int(d[i, j])) for i, j in zip(*np.nonzero(d <= reach), strict=True)]
         names, kinds = ["a", "b", "dist"], [pa.string(), pa.string(), pa.int64()]
         cells = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, cells, kinds, strict=True)})
@@ -92,20 +116,23 @@ def negative_candidates(positive: DataFrame, donors: DataFrame, reach: int = REA
 
     near: (a, b) of receptors within reach, if it is known already.
     """
-    pos, neg = with_ids(positive.select(*TRIAD_COLUMNS, *CDR_COLUMNS)), with_ids(donors.select(*TRIAD_COLUMNS, *CDR_COLUMNS))
+    pos, neg = (settled(with_ids(df.select(*TRIAD_COLUMNS, *CDR_COLUMNS))) for df in (positive, donors))
     near = near if near is not None else near_receptors(pos, neg, reach)
     close = pos.select("antigen_id", F.col("tcr_id").alias("a")).distinct().join(near.select("a", "b"), "a").select("antigen_id", F.col("b").alias("tcr_id")).distinct()
     offers = neg.select(F.col("antigen_id").alias("source_id"), "tcr_id").distinct()
-    pairs = far_antigens(pos, neg, edits).join(offers, "source_id")
+    barred = close_antigens(pos, neg, edits)
     if strict_donor:
-        spoiled = pairs.join(close, ["antigen_id", "tcr_id"], "left_semi").select("antigen_id", "source_id").distinct()
-        pairs = pairs.join(spoiled, ["antigen_id", "source_id"], "left_anti")
-    kept = pairs.join(close, ["antigen_id", "tcr_id"], "left_anti")
+        barred = barred.unionByName(close.join(offers, "tcr_id").select("antigen_id", "source_id")).distinct()
     antigens = pos.select("antigen_id", *ANTIGEN_COLUMNS).dropDuplicates(["antigen_id"])
     receptors = neg.select("tcr_id", *TCR_KEY).dropDuplicates(["tcr_id"])
     sources = neg.select(F.col("antigen_id").alias("source_id"), *(F.col(c).alias(s) for c, s in zip(ANTIGEN_COLUMNS, SOURCE_COLUMNS, strict=True))).dropDuplicates(["source_id"])
-    joined = kept.join(antigens, "antigen_id").join(receptors, "tcr_id").join(sources, "source_id")
-    return with_job_name(joined.withColumn("cognate", F.lit(False)), TRIAD_HASHED).select(*TRIAD_COLUMNS, *CDR_COLUMNS, *SOURCE_COLUMNS)
+    antigens, receptors, sources, close, barred = map(fitted, (antigens, receptors, sources, close, barred))
+    tasks = 4 * positive.sparkSession.sparkContext.defaultParallelism
+    # every antigen is offered every donor receptor, from every antigen of its: what is barred is the exception
+    pairs = receptors.join(offers.select("tcr_id").distinct().repartition(tasks), "tcr_id").crossJoin(antigens).join(close, ["antigen_id", "tcr_id"], "left_anti")
+    named = with_job_name(pairs.withColumn("cognate", F.lit(False)), TRIAD_HASHED).repartition(tasks, "tcr_id")
+    kept = named.join(offers, "tcr_id").join(barred, ["antigen_id", "source_id"], "left_anti")
+    return kept.join(sources, "source_id").select(*TRIAD_COLUMNS, *CDR_COLUMNS, *SOURCE_COLUMNS)
 
 
 def strike_out(items: list[tuple[str, str]], want: int, seed: str) -> list[str]:

@@ -15,7 +15,7 @@ from paratope.functions import hla, keys, text
 from paratope.functions.distance import complete_linkage
 from paratope.operators import alleles, evaluation, negatives, relational
 from paratope.operators.features import REGIONS
-from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, TCR_COLUMNS
+from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, TCR_COLUMNS, TRIAD_COLUMNS
 from paratope.session import ship
 from paratope.sources import jobs as job_files
 from paratope.sources.tables import new_only
@@ -80,44 +80,75 @@ def edit_theta_join(spark, sf_dir):
     return a.join(b, differ & negatives.edit_sum("a", "b", 3)).select(F.col("a.peptide").alias("name_a"), F.col("a.mhc_1_seq").alias("type_a"), F.col("b.peptide").alias("name_b"), F.col("b.mhc_1_seq").alias("type_b"))
 
 
+def _loops(supplier: DataFrame) -> DataFrame:
+    """s_suppkey and the loops of a stand-in receptor, spelled from hashes of the supplier's name; third loops have 11 to 13 residues."""
+    spelled = F.translate(F.concat(F.md5("s_name"), F.sha1("s_name")), "0123456789abcdef", "AAAACCCCDDDDEEEE")
+    third = [11 + F.col("s_suppkey") % 3, 11 + F.floor(F.col("s_suppkey") / 3) % 3]
+    loops = {c: F.substring(spelled, at, third[at > 28].cast("int") if c.endswith("cdr_3") else F.lit(5)) for c, at in _LOOP_PLACES.items()}
+    return supplier.select("s_suppkey", *(v.alias(c) for c, v in loops.items()))
+
+
+_LOOP_PLACES = dict(zip(CDR_COLUMNS, (1, 6, 11, 16, 29, 34, 39, 44), strict=True))
+
+
+def _loop_cost(i: str, j: str) -> str:
+    """The cost of the short loop's residue i and the long one's residue j; of the letters A, C, D and E only D and E are alike."""
+    x, y = f"substr(s, ({i})::INT + 1, 1)", f"substr(t, ({j})::INT + 1, 1)"
+    return f"CASE WHEN {x} = {y} THEN 0 WHEN {x} IN ('D', 'E') AND {y} IN ('D', 'E') THEN 2 ELSE 4 END"
+
+
+_LOOP_ROWS = " UNION ALL ".join(
+    f"SELECT s_suppkey AS k, '{c}' AS c, {3 if c.endswith('cdr_3') else 0} AS f, {2 if c.endswith('cdr_3') else 0} AS e, substr(spelled, {at}, {('11 + s_suppkey % 3' if at < 28 else '11 + (s_suppkey // 3) % 3') if c.endswith('cdr_3') else 5}) AS w FROM sp" for c, at in _LOOP_PLACES.items()
+)
+#: dist(a, b, dist) of all suppliers' receptors: loops residue by residue; third loops thrice, their ends trimmed, around the best gap.
+_DIST = f"""sp AS (SELECT s_suppkey, translate(md5(s_name) || sha1(s_name), '0123456789abcdef', 'AAAACCCCDDDDEEEE') AS spelled FROM supplier),
+       lo AS ({_LOOP_ROWS}),
+       lp AS (SELECT x.k AS a, y.k AS b, x.f, x.e, CASE WHEN len(x.w) <= len(y.w) THEN x.w ELSE y.w END AS s, CASE WHEN len(x.w) <= len(y.w) THEN y.w ELSE x.w END AS t FROM lo x JOIN lo y ON x.c = y.c),
+       ld AS (SELECT a, b, f, len(t) - len(s) AS n, CASE WHEN len(s) = len(t) THEN list_sum(list_transform(range(f, len(s) - e), lambda i: {_loop_cost("i", "i")}))
+         ELSE list_min(list_transform(range(5, len(s) - 4), lambda g: coalesce(list_sum(list_transform(range(f, g), lambda i: {_loop_cost("i", "i")})), 0) + coalesce(list_sum(list_transform(range(g, len(s) - e), lambda i: {_loop_cost("i", "i + len(t) - len(s)")})), 0))) END AS d FROM lp),
+       dist AS (SELECT a, b, sum(CASE WHEN f > 0 THEN 3 * (d + 4 * n) ELSE d END)::BIGINT AS dist FROM ld GROUP BY a, b)"""
+
+
 def _stand_in_triads(spark, sf_dir, positive: bool) -> DataFrame:
     """Triads of suppliers (receptors) and the parts (antigens) of returned or other lines, one antigen a part name and type."""
     lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == ("R" if positive else "N")).select("l_partkey", "l_suppkey").distinct()
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     pairs = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("p_name", "p_type", "l_suppkey").distinct()
     given = {"peptide": F.col("p_name"), "mhc_1_seq": F.col("p_type"), "mhc_2_seq": F.lit("light"), "tcr_1_seq": F.col("l_suppkey").cast("string"), "tcr_2_seq": F.lit("b"), "cognate": F.lit(positive), "job_name": F.lit("")}
-    from paratope.schema import TRIAD_COLUMNS
-
-    return pairs.select(*(given.get(c, F.lit("x")).alias(c) for c in TRIAD_COLUMNS), *(F.lit("").alias(c) for c in CDR_COLUMNS))
+    receptors = _loops(table(spark, sf_dir, "supplier"))
+    return pairs.join(receptors, F.col("l_suppkey") == F.col("s_suppkey")).select(*(given.get(c, F.lit("x")).alias(c) for c in TRIAD_COLUMNS), *CDR_COLUMNS)
 
 
-@query(
-    "negative_candidates",
-    """WITH pairs AS (SELECT DISTINCT p_name, p_type, l_suppkey, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey),
+_CANDIDATES = f"""WITH {_DIST},
+       pairs AS (SELECT DISTINCT p_name, p_type, l_suppkey, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey),
        pos AS (SELECT DISTINCT p_name, p_type, l_suppkey FROM pairs WHERE l_returnflag = 'R'),
        neg AS (SELECT DISTINCT p_name, p_type, l_suppkey FROM pairs WHERE l_returnflag = 'N'),
        pa AS (SELECT DISTINCT p_name, p_type FROM pos), na AS (SELECT DISTINCT p_name, p_type FROM neg),
        far AS (SELECT pa.p_name, pa.p_type, na.p_name AS sn, na.p_type AS st FROM pa JOIN na
          ON (pa.p_name <> na.p_name OR pa.p_type <> na.p_type) AND levenshtein(pa.p_name, na.p_name) + levenshtein(pa.p_type, na.p_type) > 3),
-       near AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON abs(a.s_acctbal - b.s_acctbal) <= 0.5),
-       bad AS (SELECT DISTINCT p_name, p_type, b FROM pos JOIN near ON l_suppkey = a),
-       cand AS (SELECT far.p_name, far.p_type, neg.l_suppkey, sn, st FROM far JOIN neg ON neg.p_name = sn AND neg.p_type = st)
+       bad AS (SELECT DISTINCT p_name, p_type, b FROM pos JOIN dist ON l_suppkey = a WHERE dist <= 140),
+       cand AS (SELECT far.p_name, far.p_type, neg.l_suppkey, sn, st FROM far JOIN neg ON neg.p_name = sn AND neg.p_type = st),
+       spoiled AS (SELECT DISTINCT c.p_name, c.p_type, sn, st FROM cand c JOIN bad ON c.p_name = bad.p_name AND c.p_type = bad.p_type AND c.l_suppkey = bad.b)
        SELECT c.p_name, c.p_type, count(*) AS n_rows, count(DISTINCT c.l_suppkey) AS n_receptors FROM cand c
-       ANTI JOIN bad ON c.p_name = bad.p_name AND c.p_type = bad.p_type AND c.l_suppkey = bad.b GROUP BY c.p_name, c.p_type""",
-)
-def negative_candidates(spark, sf_dir):
-    """Receptors are near if their suppliers' balances are within half a unit; a balance meets its own and the neighbouring cells of that width."""
-    pos, neg = _stand_in_triads(spark, sf_dir, True), _stand_in_triads(spark, sf_dir, False)
-    balances = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("tcr_1_seq"), "s_acctbal")
-    known = keys.with_ids(neg.unionByName(pos)).select("tcr_id", "tcr_1_seq").distinct().join(balances, "tcr_1_seq")
-    cell = F.floor(F.col("s_acctbal") / 0.5)
-    a = known.select(F.col("tcr_id").alias("a"), F.col("s_acctbal").alias("x"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = known.select(F.col("tcr_id").alias("b"), F.col("s_acctbal").alias("y"), cell.alias("cell"))
-    near = a.join(b, "cell").filter(F.abs(F.col("x") - F.col("y")) <= 0.5).select("a", "b")
-    found = negatives.negative_candidates(pos, neg, near=near)
+       """
+
+
+def _candidates(spark, sf_dir, strict: bool) -> DataFrame:
+    found = negatives.negative_candidates(_stand_in_triads(spark, sf_dir, True), _stand_in_triads(spark, sf_dir, False), reach=140, strict_donor=strict)
     return found.groupBy(F.col("peptide").alias("p_name"), F.col("mhc_1_seq").alias("p_type")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("tcr_1_seq").alias("n_receptors"))
 
 
+@query("negative_candidates", _CANDIDATES + "ANTI JOIN bad ON c.p_name = bad.p_name AND c.p_type = bad.p_type AND c.l_suppkey = bad.b GROUP BY c.p_name, c.p_type")
+def negative_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir, False)
+
+
+@query("strict_donor_candidates", _CANDIDATES + "ANTI JOIN spoiled ON c.p_name = spoiled.p_name AND c.p_type = spoiled.p_type AND c.sn = spoiled.sn AND c.st = spoiled.st GROUP BY c.p_name, c.p_type")
+def strict_donor_candidates(spark, sf_dir):
+    """Donor antigens with any receptor near the focal antigen's give none."""
+    return _candidates(spark, sf_dir, True)
+
+
 @query("antigen_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def antigen_anti(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -590,14 +621,16 @@ def alignment_jobs(spark, sf_dir):
     return build(part.select(F.col("p_name").alias("peptide"), F.col("p_type").alias("mhc_1_seq"), F.col("p_brand").alias("mhc_2_seq"), F.col("p_brand").alias("tcr_1_seq"), F.lit(None).cast("string").alias("tcr_2_seq")))
 
 
-@query("receptor_edges")
+@query("receptor_edges", f"WITH {_DIST} SELECT a::VARCHAR AS a, b::VARCHAR AS b, dist FROM dist WHERE dist <= 140")
 def receptor_edges(spark, sf_dir):
-    """Receptors with loops spelled from the hashes of suppliers' names; edges within a wide reach."""
-    spelled = F.translate(F.concat(F.md5("s_name"), F.sha1("s_name")), "0123456789abcdef", "AAAACCCCDDDDEEEE")
-    loops, at = {}, 1
-    for c in CDR_COLUMNS:
-        size = 12 if c.endswith("cdr_3") else 5
-        loops[c] = F.substring(spelled, at, size)
-        at += size
-    receptors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("tcr_id"), *(F.lit(v).alias(c) for c, v in (("tcr_1_species", "human"), ("tcr_2_species", "human"), ("tcr_1_chain", "alpha"), ("tcr_2_chain", "beta"))), *(v.alias(c) for c, v in loops.items()))
+    kinds = {"tcr_1_species": "human", "tcr_2_species": "human", "tcr_1_chain": "alpha", "tcr_2_chain": "beta"}
+    receptors = _loops(table(spark, sf_dir, "supplier")).withColumnRenamed("s_suppkey", "tcr_id").withColumns({"tcr_id": F.col("tcr_id").cast("string"), **{c: F.lit(v) for c, v in kinds.items()}})
     return negatives.near_receptors(receptors, receptors, 140)
+
+
+@query("receptor_distances", f"WITH {_DIST} SELECT s_nationkey, a::VARCHAR AS a, b::VARCHAR AS b, dist FROM dist JOIN supplier x ON a = x.s_suppkey JOIN supplier y USING (s_nationkey) WHERE b = y.s_suppkey AND a::VARCHAR < b::VARCHAR")
+def receptor_distances(spark, sf_dir):
+    """All pairs within a nation."""
+    supplier = table(spark, sf_dir, "supplier")
+    receptors = _loops(supplier).join(supplier.select("s_suppkey", "s_nationkey"), "s_suppkey").withColumn("tcr_id", F.col("s_suppkey").cast("string"))
+    return negatives.all_distances(receptors, ["s_nationkey"])

@@ -55,3 +55,15 @@ def settled(df):
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return df.checkpoint()
     return df.persist()
+
+
+#: Rows that fitted() broadcasts at most; with rows of about 1 KB that is 200 MB, which an executor of a few GB holds.
+BROADCAST_ROWS = 200_000
+
+
+def fitted(df, most: int = BROADCAST_ROWS):
+    """df settled, with a broadcast hint where it holds at most `most` rows; beyond that joins shuffle it."""
+    from pyspark.sql import functions as F
+
+    df = settled(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

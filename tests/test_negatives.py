@@ -113,3 +113,29 @@ def test_matched_negatives_are_bounded(tables):
     for r in found:
         got[tuple(r[c] for c in ANTIGEN_COLUMNS)] += 1
     assert all(got[a] <= n for a, n in counts.items()) and found
+
+
+def test_distance_tables_equal_pairs():
+    import random
+
+    import numpy as np
+
+    from paratope.functions.distance import LOOPS, loop_distance, loop_distances
+
+    rng = random.Random(11)
+    words = [None, ""] + ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rng.randrange(1, 19))) for _ in range(60)]
+    for options in [*LOOPS.values(), {"ntrim": 3, "ctrim": 2}, {"weight": 2, "gap": 5, "fixed_gap": False}]:
+        pairs = np.array([loop_distance([a] * len(words), words, **options) for a in words])
+        assert (loop_distances(words, words, **options) == pairs).all()
+
+
+def test_close_texts_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(12)
+    words = ["", "a", "abc"] + ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(80)]
+    others = words[::2] + [w[:2] + rng.choice("abc") + w[3:] + rng.choice(["", "b"]) for w in words]
+    left, right = (spark.createDataFrame([(w,) for w in [None, *side, *side[:3]]], "w string") for side in (words, others))
+    for most in (0, 1, 3):
+        found = sorted((r.a, r.b, r.edits) for r in negatives.close_texts(left, right, most).collect())
+        assert found == sorted({(a, b, edits(a, b)) for a in words for b in others if edits(a, b) <= most})
