@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,16 +14,24 @@ from pyspark.sql import functions as F
 
 from paratope.session import ship
 
-__all__ = ["SPACE", "WORD", "drop_tables", "let", "lower_ascii", "materialize", "shared_dir", "ship", "table", "worker_cache"]
+__all__ = ["SPACE", "WORD", "drop_tables", "finished", "let", "lower_ascii", "materialize", "shared_dir", "ship", "table", "worker_cache", "written"]
 
 #: Characters that separate words, as the inside of a regular expression's class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 _OWN_DIR: list[str] = []
-_WRITTEN: list[str] = []
 
 
+class _Written(threading.local):
+    """Paths of the tables that this thread has written and not deleted, in order."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
+
 _CACHES: dict[str, dict] = {}
 
 
@@ -44,10 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one temporary folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one temporary folder of this process in a local session; on a cluster, where executors would write to disks of their own, an error."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="paratope-shared-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
@@ -59,15 +71,29 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes the tables that materialize() has written in this process; call it when no result that reads them is needed any more."""
+def written() -> int:
+    """How many tables of this thread stand; a mark for finished() and drop_tables()."""
+    return len(_WRITTEN.paths)
+
+
+def finished(df: DataFrame, label: str, since: int, codec: str = "zstd") -> DataFrame:
+    """df as a table; the tables written since the mark, which led to it, are deleted."""
+    out = materialize(df, label, codec)
+    path = _WRITTEN.paths.pop()
+    drop_tables(df.sparkSession, since)
+    _WRITTEN.paths.append(path)
+    return out
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that this thread has written since a mark; call it when no result that reads them is needed any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    while len(_WRITTEN.paths) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paratope.llm.chunks import grouped
-from paratope.llm.common import materialize, ship, worker_cache
+from paratope.llm.common import finished, materialize, ship, worker_cache, written
 
 WORDS = 5
 #: Links need LEVEL[0] * intersection >= LEVEL[1] * union.
@@ -245,6 +245,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the least id of each linked id's component, by alternating stars until nothing changes."""
+    mark = written()
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges, before = materialize(edges, "near-edges"), None
     while True:
@@ -253,7 +254,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = materialize(small, "near-edges")
+        edges = finished(small, "near-edges", mark)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -302,6 +303,16 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """members(key, id, root) with `block`: BLOCK neighbours of a bucket in the order of components. Ranges of (key, root, id) are numbered each on its own and then moved on by the counts before them, so that a large bucket spreads over many tasks."""
+    ranged = materialize(members.repartitionByRange("key", "root", "id").withColumn("part", F.spark_partition_id()), "near-ranges")
+    inner = F.row_number().over(Window.partitionBy("key", "part").orderBy("root", "id")) - 1
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = ranged.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).select("key", "part", F.coalesce(before, F.lit(0)).alias("start"))
+    placed = ranged.withColumn("inner", inner).join(starts, ["key", "part"])
+    return placed.withColumn("block", F.floor((F.col("start") + F.col("inner")) / BLOCK).cast("int")).drop("part", "inner", "start")
+
+
 def _left_over(members: DataFrame, nodes: DataFrame, found: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that share a bucket: (a, b)."""
     named = members.join(found, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
@@ -315,8 +326,7 @@ def _left_over(members: DataFrame, nodes: DataFrame, found: DataFrame, tried: Da
     links = confirmed(likely, sets, percent)
 
     many = open_.filter(F.col("size") > SMALL_BUCKET)
-    place = F.row_number().over(Window.partitionBy("key").orderBy("root", "id")) - 1
-    cut = materialize(many.withColumn("block", F.floor(place / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "near-blocks")
+    cut = materialize(_blocks(many), "near-blocks")
     if cut.isEmpty():
         return links
     spans = cut.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -331,6 +341,7 @@ def _left_over(members: DataFrame, nodes: DataFrame, found: DataFrame, tried: Da
 def near_duplicates(documents: DataFrame, percent: int = LEVEL[1]) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept. Documents of a similarity of `percent` hundredths or more are linked."""
     ship(documents.sparkSession)
+    mark = written()
     signed = materialize(sign(documents, bands_for(percent)), "near-signed")
     full = signed.filter("n > 0 AND id IS NOT NULL")
     classes = materialize(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "near-classes")
@@ -360,7 +371,7 @@ def near_duplicates(documents: DataFrame, percent: int = LEVEL[1]) -> DataFrame:
     rooted = rows.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "rep", "id")).otherwise(F.col("id"))
     final = rooted.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
-    return final.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return finished(final.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-result", mark)
 
 
 def drop_near_duplicates(documents: DataFrame, percent: int = STAGE_LEVEL) -> DataFrame:

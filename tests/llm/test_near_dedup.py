@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from paratope.llm import near_dedup
 from tests.llm.conftest import documents
@@ -140,7 +141,7 @@ def test_tables_can_be_dropped(spark):
 
     assert os.path.exists(path)
     common.drop_tables(spark)
-    assert not os.path.exists(path) and common._WRITTEN == []
+    assert not os.path.exists(path) and common._WRITTEN.paths == []
 
 
 def kept_by_brute_force(rows, percent):
@@ -173,3 +174,15 @@ def test_bands_follow_the_level():
     for percent, bands in ((85, 30), (80, 45)):
         assert near_dedup.bands_for(percent) == bands and (1 - (percent / 100) ** near_dedup.ROWS) ** bands < 2.5e-8
     assert near_dedup.most_flips(80) > near_dedup.most_flips(85)
+
+
+def test_a_bucket_of_many_ranges_is_cut_evenly(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 1000)
+    n = 100_000
+    members = spark.range(n).selectExpr("IF(id % 100 = 0, id % 7, -1) AS key", "id", "id DIV 50 AS root", "1 AS size")
+    placed = near_dedup._blocks(members).cache()
+    assert placed.count() == n and placed.select("id").distinct().count() == n
+    found = {(r.key, r.block): (r.n, r.lo, r.hi) for r in placed.groupBy("key", "block").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).collect()}
+    hot = [v for (k, _), v in sorted(found.items()) if k == -1]
+    assert [v[0] for v in hot] == [1000] * 99 and all(a[2] <= b[1] for a, b in zip(hot, hot[1:], strict=False))
+    assert sum(v[0] for v in found.values()) == n
