@@ -5,13 +5,18 @@ are computed once. For a query q and a candidate x the largest |d(q, p) - d(x, p
 below, so (|q|^2 + |x|^2 - bound^2) / 2 bounds the inner product from above. Candidates are evaluated in
 the order of that bound until it falls under the k-th score found: the result is exact.
 
-Queries and candidates meet in cells of a grid: at most QUERY_BLOCK queries (on average) against
-DATA_BLOCK vectors. A cell puts out k rows a query; a window over nd * k rows a query merges them.
+Vectors are dealt into clusters by their nearest pivot. A cluster's least and greatest distance to each
+pivot bound all its scores, so a query visits the cluster of the highest bound first, and then only those
+whose bound reaches its k-th score so far. Queries and candidates meet in cells: at most QUERY_BLOCK
+queries (on average) against DATA_BLOCK vectors of a cluster. A cell puts out k rows a query; a window
+over them merges them.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 vectors meet vectors of their own length only; rows that repeat a query's id aren't its candidates, other
 repeated rows are candidates each; queries that repeat id and vector count once; equal scores go to the
-smaller id; fewer candidates than k give fewer rows; an empty table gives an empty result; extra columns are ignored.
+smaller id; fewer candidates than k give fewer rows; an empty table gives an empty result; extra columns are
+ignored. Components whose integers don't fit into 64 bits raise, and so does a score among the best that
+doesn't; large ones below are multiplied in whole numbers of any size.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paratope.llm.common import materialize, ship
+from paratope.llm.common import finished, materialize, ship, written
 
 K = 5
 SCALE = 256
@@ -33,12 +38,16 @@ PIVOTS = 32
 LENGTHS = 16
 DATA_BLOCK, QUERY_BLOCK = 20_000, 1024
 CHUNK = 256
+#: Stands for scores of a cell that are too low for 64 bits.
+LOWEST = -(2**63)
 
 
 def integer_vector(embedding: Column) -> Column:
     """floor(SCALE * x) of each component; null if the vector or a component is null or not finite."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(embedding.isNotNull() & ~bad, F.transform(embedding, lambda x: F.floor(x.cast("double") * SCALE).cast("long")))
+    large = F.exists(embedding, lambda x: F.abs(x.cast("double") * SCALE) >= float(2**63))
+    error = F.raise_error(F.lit("a vector's component doesn't fit into 64 bits")).cast("array<bigint>")
+    return F.when(embedding.isNull() | bad, None).when(large, error).otherwise(F.transform(embedding, lambda x: F.floor(x.cast("double") * SCALE).cast("long")))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, n: int, kind) -> np.ndarray:
@@ -64,7 +73,7 @@ def choose_pivots(vectors: DataFrame) -> dict[int, list[list[int]]]:
 
 
 def pivot_table(vectors: DataFrame, pivots: dict[int, list[list[int]]]) -> DataFrame:
-    """vec_id, dim, v and `pd`, the distances to the pivots of its length and to the origin."""
+    """vec_id, dim, v, `pd`, the distances to the origin and to the pivots of its length, and `near`, the number of the nearest of these pivots (0 where there are none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,9 +86,10 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, list[list[int]]]) -> DataF
                 p = np.array([[0] * dim, *own], np.float64).reshape(1 + len(own), dim)
                 d = _distances(x, p)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, d.shape[1]), pa.int32()), pa.array(d.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), lists], names=["vec_id", "dim", "v", "pd"])
+                near = d[:, 1:].argmin(1) if own else np.zeros(n, np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), lists, pa.array(near, pa.int32())], names=["vec_id", "dim", "v", "pd", "near"])
 
-    return vectors.mapInArrow(run, "vec_id long, dim int, v array<long>, pd array<double>")
+    return vectors.mapInArrow(run, "vec_id long, dim int, v array<long>, pd array<double>, near int")
 
 
 def best_of(q: np.ndarray, q_id: int, q_pd: np.ndarray, x: np.ndarray, ids: np.ndarray, pd: np.ndarray, squares: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -100,7 +110,7 @@ def best_of(q: np.ndarray, q_id: int, q_pd: np.ndarray, x: np.ndarray, ids: np.n
         scores = np.concatenate([scores, x[head] @ q])
         found = np.concatenate([found, ids[head]])
         done += len(head)
-        best = np.lexsort((found, -scores))[:k]
+        best = sorted(range(len(found)), key=lambda i: (-scores[i], found[i]))[:k] if x.dtype == object else np.lexsort((found, -scores))[:k]
         scores, found = scores[best], found[best]
         if len(scores) == k and len(rest):
             rest = rest[upper[rest] >= scores[-1]]  # a bound equal to the k-th score may hide a smaller id
@@ -122,6 +132,8 @@ def _cell(k: int):
             most = float(max(np.abs(x.astype(np.float64)).max(initial=0), np.abs(q.astype(np.float64)).max(initial=0)))
             if dim * most * most < 2**53:  # products and sums are then exact in doubles, which multiply faster
                 x, q = x.astype(np.float64), q.astype(np.float64)
+            elif dim * most * most >= 2**62:
+                x, q = x.astype(object), q.astype(object)
             pd, q_pd = np.ascontiguousarray(_matrix(data.column("pd"), data.num_rows, np.float64).T), _matrix(queries.column("pd"), queries.num_rows, np.float64)
             ids, q_ids = data.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
             squares = (x.astype(np.float64) ** 2).sum(1)
@@ -129,31 +141,66 @@ def _cell(k: int):
                 scores, found, _ = best_of(q[i], int(q_ids[i]), q_pd[i], x, ids, pd, squares, k)
                 out["query_id"] += [int(q_ids[i])] * len(found)
                 out["vec_id"] += found.tolist()
-                out["score"] += [int(s) for s in scores]
+                out["score"] += [max(int(s), LOWEST) for s in scores]
+        if any(s >= 2**63 for s in out["score"]):  # then it, or one still higher, is among the best
+            raise OverflowError("a score among the best doesn't fit into 64 bits")
         qn = pa.array(out["query_id"], pa.int64())
         return pa.table({"query_id": qn, "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.int64())})
 
     return run
 
 
+def clusters(index: DataFrame) -> DataFrame:
+    """One row a vector length: an array of its clusters (near, n, lo, hi), at most PIVOTS, with the least and greatest distance to each pivot."""
+    ends = [F.array(*(f(F.get("pd", F.lit(i))) for i in range(PIVOTS))).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    one = index.groupBy("dim", "near").agg(F.count(F.lit(1)).alias("n"), *ends)
+    return one.groupBy("dim").agg(F.collect_list(F.struct("near", "n", "lo", "hi")).alias("clusters"))
+
+
+def _upper(cluster: Column) -> Column:
+    """The most that a query (pd) can score with a vector of the cluster; distances and products are given their rounding."""
+    at = lambda c, i: F.get(c, i)
+    norm, most = F.get("pd", F.lit(0)), F.get(cluster["hi"], F.lit(0))
+    apart = F.transform(F.sequence(F.lit(0), F.size("pd") - 1), lambda i: F.greatest(at(cluster["lo"], i) - at(F.col("pd"), i), at(F.col("pd"), i) - at(cluster["hi"], i)))
+    bound = F.greatest(F.array_max(apart) - 1e-6 * (1 + norm + most), F.lit(0.0))
+    return (norm * norm + most * most - bound * bound) / 2 + 1e-9 * (norm * norm + most * most) + 0.5
+
+
+def _meet(index: DataFrame, visits: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """The k best candidates (query_id, vec_id, score) of each visit (vec_id, dim, v, pd, near) of a query to a cluster."""
+    asked = visits.groupBy("dim", "near").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("nq"))
+    blocks = F.broadcast(sizes.join(asked, ["dim", "near"]).select("dim", "near", "nd", "nq"))  # one row a vector length and pivot
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = ["dim", "near", "db", "qb"]
+    data = index.join(blocks, ["dim", "near"]).withColumn("db", block("nd")).select("*", upto("nq").alias("qb"), F.lit(False).alias("is_query"))
+    queries = visits.join(blocks, ["dim", "near"]).withColumn("qb", block("nq")).select("*", upto("nd").alias("db"), F.lit(True).alias("is_query"))
+    columns = [*cell, "is_query", "vec_id", "v", "pd"]
+    return data.select(*columns).unionByName(queries.select(*columns)).groupBy(*cell).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
+
+
 def top_k(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose vec_id is divisible by `every`."""
     ship(embeddings.sparkSession)
+    mark = written()
     vectors = embeddings.select(F.col("vec_id").cast("long"), integer_vector(F.col("embedding")).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     vectors = materialize(vectors.select("vec_id", F.size("v").alias("dim"), "v"), "topk-vectors")
     index = materialize(pivot_table(vectors, choose_pivots(vectors)), "topk-pivots")
-    wanted = index.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    blocks = index.select("dim", (F.col("vec_id") % every == 0).alias("q")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m"))
-    blocks = blocks.select("dim", F.ceil(F.col("n") / DATA_BLOCK).cast("int").alias("nd"), F.greatest(F.ceil(F.col("m") / QUERY_BLOCK), F.lit(1)).cast("int").alias("nq"))
-    blocks = F.broadcast(blocks)  # one row a vector length
-    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
-    zero = F.lit(0)
-    data = index.join(blocks, "dim").select("*", block("nd").alias("db"), F.explode(F.sequence(zero, F.col("nq") - 1)).alias("qb"), F.lit(False).alias("is_query"))
-    asked = wanted.join(blocks, "dim").select("*", F.explode(F.sequence(zero, F.col("nd") - 1)).alias("db"), block("nq").alias("qb"), F.lit(True).alias("is_query"))
-    both = data.unionByName(asked).select("dim", "db", "qb", "is_query", "vec_id", "v", "pd")
-    found = both.groupBy("dim", "db", "qb").applyInArrow(_cell(k), "query_id long, vec_id long, score long")
+    known = F.broadcast(materialize(clusters(index), "topk-clusters"))  # one row a vector length
+    sizes = known.select("dim", F.inline("clusters")).select("dim", "near", F.ceil(F.col("n") / DATA_BLOCK).cast("int").alias("nd"))
+    wanted = index.filter(F.col("vec_id") % every == 0).drop("near").dropDuplicates(["vec_id", "v"])
+    rated = F.transform("clusters", lambda c: F.struct(_upper(c).alias("upper"), c["near"].alias("near")))
+    wanted = wanted.join(known, "dim").select("vec_id", "dim", "v", "pd", rated.alias("rated")).withColumn("first", F.array_max("rated")["near"])
+    wanted = materialize(wanted, "topk-queries")
+    found = materialize(_meet(index, wanted.withColumnRenamed("first", "near"), sizes, k), "topk-first")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    reached = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
+    others = F.filter("rated", lambda c: (c["near"] != F.col("first")) & (F.col("reached").isNull() | (c["upper"] >= F.col("reached"))))
+    later = wanted.join(reached, "vec_id", "left").select("vec_id", "dim", "v", "pd", F.explode(others).alias("c")).select("vec_id", "dim", "v", "pd", "c.near")
+    both = found.unionByName(_meet(index, materialize(later, "topk-visits"), sizes, k))
+    fits = F.when(F.col("score") > LOWEST, F.col("score")).otherwise(F.raise_error(F.lit("a score among the best doesn't fit into 64 bits")).cast("long"))
+    ranked = both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score"))
+    return finished(ranked, "topk-result", mark)
 
 
 ORACLE = f"""

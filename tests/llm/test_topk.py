@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from paratope.llm import topk
 
@@ -39,6 +40,30 @@ def test_large_numbers_stay_exact(spark):
     assert got(spark, rows, k=2) == brute(rows, 50, 2)
 
 
+def test_what_does_not_fit_raises(spark):
+    assert got(spark, [(0, [1e10, 0.0]), (1, [0.0, 1e10]), (2, [-1e10, 0.5]), (3, [0.0, -5.0])], k=2) == brute([(0, [1e10, 0.0]), (1, [0.0, 1e10]), (3, [0.0, -5.0])], 50, 2)
+    with pytest.raises(Exception, match="doesn't fit into 64 bits"):
+        got(spark, [(0, [1e10, 1.0]), (1, [1e10, 2.0])])
+    with pytest.raises(Exception, match="component doesn't fit"):
+        got(spark, [(0, [1e17, 1.0]), (1, [1.0, 2.0])])
+
+
+def test_far_clusters_are_not_visited(spark, monkeypatch):
+    visits = []
+    meet = topk._meet
+
+    def counted(index, asked, sizes, k):
+        visits.append(asked.count())
+        return meet(index, asked, sizes, k)
+
+    monkeypatch.setattr(topk, "_meet", counted)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8)) * 10
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 12] + rng.normal(size=8) / 50]) for i in range(1200)]
+    assert got(spark, rows) == brute(rows, 50, 5)
+    assert visits[0] == 24 and visits[1] < 24 * 11 / 2
+
+
 def test_empty(spark):
     assert got(spark, []) == set()
 
