@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paratope.llm.common import let, lower_ascii, materialize, ship
+from paratope.llm.common import finished, let, lower_ascii, materialize, ship, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -154,9 +154,11 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dropped_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(has_doc, doc, th, pos) of every line that goes."""
     ship(documents.sparkSession)
+    mark = written()
     order = ["h1", "h2", "has_doc", "doc", "th", "pos"]
-    ranged = line_hashes(documents, min_chars).select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    flags = materialize(ranged.mapInArrow(_stream_runs(min_docs), _FLAGS), "line-flags")
+    hashes = materialize(line_hashes(documents, min_chars).select(*order), "line-hashes", "lz4")  # the ranges' bounds are sampled from it, not from the texts
+    ranged = hashes.repartitionByRange(*order).sortWithinPartitions(*order)
+    flags = finished(ranged.mapInArrow(_stream_runs(min_docs), _FLAGS), "line-flags", mark)
     n_docs = F.size(F.array_distinct(F.flatten(F.collect_list("docs"))))
     decided = flags.filter(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.max(F.struct("has_doc", "doc")).alias("largest"), n_docs.alias("n")).filter(F.col("n") >= min_docs)
     at_edge = F.broadcast(decided.select("h1", "h2", "largest"))  # two rows for each partition of the line hashes, and one for each HOLD lines
@@ -198,7 +200,8 @@ def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    return apply_bitmaps(documents, keep_bitmaps(documents, min_chars, min_docs))
+    mark = written()
+    return apply_bitmaps(documents, finished(keep_bitmaps(documents, min_chars, min_docs), "line-bitmaps", mark))
 
 
 ORACLE = f"""
