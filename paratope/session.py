@@ -49,12 +49,41 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_OWN_DIR: list[str] = []
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def given_dir(spark: SparkSession) -> str | None:
+    """The folder that spark.checkpoint.dir names."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one temporary folder of this process in a local session; on a cluster, where executors would write to disks of their own, an error."""
+    if given := given_dir(spark):
+        return given.rstrip("/")
+    if not is_local(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="paratope-shared-"))
+        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
+    return "file://" + _OWN_DIR[0]
+
+
 def settled(df):
-    """df with its lineage cut where a checkpoint folder is set, else kept in memory and on disk: for what later steps read several times."""
+    """df with its lineage cut: by a checkpoint, or kept in memory and on disk in a local session without a checkpoint folder. For what later steps read several times."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return df.checkpoint()
-    return df.persist()
+    if not given_dir(spark) and is_local(spark):
+        return df.persist()
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
 
 
 #: Rows that fitted() broadcasts at most; with rows of about 1 KB that is 200 MB, which an executor of a few GB holds.
