@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paratope.session import ship
+from paratope.session import shared_dir, ship
 
 __all__ = ["SPACE", "WORD", "drop_tables", "finished", "let", "lower_ascii", "materialize", "shared_dir", "ship", "table", "worker_cache", "written"]
 
@@ -20,9 +17,6 @@ __all__ = ["SPACE", "WORD", "drop_tables", "finished", "let", "lower_ascii", "ma
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-_OWN_DIR: list[str] = []
-
-
 class _Written(threading.local):
     """Paths of the tables that this thread has written and not deleted, in order."""
 
@@ -52,20 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one temporary folder of this process in a local session; on a cluster, where executors would write to disks of their own, an error."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="paratope-shared-"))
-        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
-    return "file://" + _OWN_DIR[0]
-
-
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it back, so a lost executor costs only re-reads."""
     spark = df.sparkSession
