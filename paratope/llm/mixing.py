@@ -2,12 +2,13 @@
 
 Each source's target is its weight's share of all words, capped at max_epochs times the source, the
 excess reshared by weight. Blocks of `block_words` words go to the sources by highest quotients
-target / (2k - 1); each source's blocks go to its shards in the same way, by shard size. Inside a
-shard the documents stand in a seeded order on a ring of words; its quota of blocks is laid end to
-end from a seeded word on. Only (doc_id, source, size) leaves the scan; a hot source has many shards.
+target / (2k - 1); each source's blocks go to its shards in the same way, by shard size; the last
+block of a shard may be a part of one, so that small sources reach their targets too. Inside a shard
+the documents stand in a seeded order on a ring of words; its quota of blocks is laid end to end from a
+seeded word on. Only ids, sources and sizes leave the scan; a hot source has many shards, MOST_SHARDS at most.
 
 Cases: null text has size 0; null source is a source of its own, ordered last; rows that repeat a
-doc_id each count; a source without words has target 0; an empty table gives an empty result; extra
+doc_id each count; rows without doc_id are dealt by their texts; a source without words has target 0; an empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -16,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paratope.llm.common import WORD, materialize
+from paratope.llm.common import WORD, finished, materialize, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BLOCK_WORDS = 64
+BLOCK_WORDS = 16
 SHARD_DOCS = 4096
+#: A source's shards are ranked together; beyond so many they grow instead.
+MOST_SHARDS = 16384
 SEED = "mix-1"
 
 
@@ -73,28 +76,34 @@ def apportion(parties: DataFrame, group: list[str], order: str, votes: str, seat
 
 
 def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, shard, taken."""
+    """One row a document: doc_id, source, size, source_size, target, shard, taken, and `key`, the id's text or what stands for it."""
+    mark = written()
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(documents.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    sized = materialize(documents.select("doc_id", "source", size.alias("size"), document_key().alias("key")), "mix-sizes")
     sources = water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_epochs)
-    sources = sources.withColumn("seats", F.floor(F.col("total") / block_words + 0.5).cast("long")).withColumn("most", F.floor(F.col("source_size") * max_epochs / block_words).cast("long")).withColumn("one", F.lit(1))
+    sources = sources.withColumn("seats", F.floor(F.col("total") / block_words + 0.5).cast("long")).withColumn("most", F.ceil(F.col("source_size") * max_epochs / block_words).cast("long")).withColumn("one", F.lit(1))
     n_sources = F.count(F.lit(1)).over(Window.partitionBy("one"))
     sources = sources.withColumn("n_sources", n_sources)
-    quotas = apportion(sources, ["one"], "rank", "target", "seats", "most", F.col("n_sources")).withColumn("n_shards", F.ceil(F.col("n_docs") / shard_docs).cast("long"))
+    quotas = apportion(sources, ["one"], "rank", "target", "seats", "most", F.col("n_sources")).withColumn("n_shards", F.least(F.ceil(F.col("n_docs") / shard_docs), F.lit(MOST_SHARDS)).cast("long"))
     quotas = materialize(quotas.select("source", "source_size", "target", "quota", "n_shards"), "mix-quotas")
 
     placed = sized.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source"))).select("d.*", "source_size", "target", "quota", "n_shards")
-    placed = placed.withColumn("shard", _seeded("shard", seed, F.col("doc_id")) % F.col("n_shards"))
+    placed = placed.withColumn("shard", _seeded("shard", seed, F.col("key")) % F.col("n_shards"))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("source_quota"), F.first("n_shards").alias("n_shards"))
-    shards = shards.withColumn("most", F.floor(F.col("shard_size") * max_epochs / block_words).cast("long"))
+    shards = shards.withColumn("most", F.ceil(F.col("shard_size") * max_epochs / block_words).cast("long"))
     shards = apportion(shards, ["source"], "shard", "shard_size", "source_quota", "most", F.col("n_shards"))
-    shards = shards.select("source", "shard", "shard_size", (F.col("quota") * block_words).alias("take"), (_seeded("start", seed, F.col("source"), F.col("shard")) % F.greatest(F.col("shard_size"), F.lit(1))).alias("start"))
+    shards = shards.select("source", "shard", "shard_size", F.least(F.col("quota") * block_words, F.col("shard_size") * max_epochs).alias("take"), (_seeded("start", seed, F.col("source"), F.col("shard")) % F.greatest(F.col("shard_size"), F.lit(1))).alias("start"))
 
     ring = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = placed.withColumn("order", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N")))))
+    laid = placed.withColumn("order", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed), "key")))
     laid = laid.withColumn("off", F.coalesce(F.sum("size").over(ring), F.lit(0)))
     both = laid.alias("d").join(shards.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.shard") == F.col("s.shard"))).select("d.*", "shard_size", "take", "start")
-    return both.select("doc_id", "source", "size", "source_size", "target", "shard", taken_words().alias("taken"))
+    return finished(both.select("doc_id", "source", "size", "source_size", "target", "shard", taken_words().alias("taken"), "key"), "mix-result", mark)
+
+
+def document_key() -> Column:
+    """The text of doc_id; rows without one are told apart by their texts."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\\N"), F.md5(F.coalesce("text", F.lit("")))))
 
 
 def taken_words() -> Column:
@@ -109,16 +118,16 @@ def taken_words() -> Column:
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: every document's row as often as the words taken of it make whole copies, rounded."""
     mixed = mix_sources(documents, **options).filter("taken > 0 and size > 0")
-    copies = mixed.groupBy("doc_id").agg(F.max(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")).alias("_copies")).filter("_copies > 0")
-    joined = documents.alias("d").join(copies.hint("shuffle_hash").alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    repeated = joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return repeated.drop("_copy")
+    copies = mixed.groupBy("key").agg(F.max(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")).alias("_copies")).filter("_copies > 0")
+    rows = documents.select(document_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    repeated = rows.join(copies.hint("shuffle_hash"), "key").select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select("row.*")
 
 
 #: DuckDB's statement of op7's contract; `target` and `taken` are computed by the same formulas.
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, coalesce(doc_id::VARCHAR, '\\N' || md5(coalesce(text, ''))) AS key FROM documents
 ), src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source
 ), ranked AS (
@@ -134,7 +143,7 @@ WITH sized AS (
   SELECT level FROM levels2 WHERE level <= ratio ORDER BY ratio, rk LIMIT 1
 ), targets AS (
   SELECT w.*, least(weight * (SELECT level FROM lev), (source_size * {MAX_EPOCHS})::DOUBLE) AS target,
-    CAST(floor(total / {BLOCK_WORDS} + 0.5) AS BIGINT) AS seats, CAST(floor(source_size * {MAX_EPOCHS} / {BLOCK_WORDS}) AS BIGINT) AS most
+    CAST(floor(total / {BLOCK_WORDS} + 0.5) AS BIGINT) AS seats, CAST(ceil(source_size * {MAX_EPOCHS} / {BLOCK_WORDS}) AS BIGINT) AS most
   FROM weighted w
 ), quotients AS (
   SELECT rk, target / (2 * k - 1) AS q, k FROM targets, unnest(range(1, most + 1)) AS u(k) WHERE target > 0
@@ -143,23 +152,23 @@ WITH sized AS (
     SELECT rk, row_number() OVER (ORDER BY q DESC, rk, k) AS rn FROM quotients
   ) WHERE rn <= (SELECT max(seats) FROM targets) GROUP BY rk
 ), src_quota AS (
-  SELECT t.*, coalesce(quota, 0) AS quota, CAST(ceil(n_docs / {SHARD_DOCS}) AS BIGINT) AS n_shards FROM targets t LEFT JOIN won USING (rk)
+  SELECT t.*, coalesce(quota, 0) AS quota, CAST(least(ceil(n_docs / {SHARD_DOCS}), {MOST_SHARDS}) AS BIGINT) AS n_shards FROM targets t LEFT JOIN won USING (rk)
 ), placed AS (
   SELECT d.doc_id, d.source, d.size, s.rk, s.source_size, s.target, s.quota,
-    CAST('0x' || substr(md5('shard:{SEED}:' || coalesce(d.doc_id::VARCHAR, '\\N')), 1, 8) AS BIGINT) % s.n_shards AS shard,
-    md5('order:{SEED}:' || coalesce(d.doc_id::VARCHAR, '\\N')) AS ord
+    CAST('0x' || substr(md5('shard:{SEED}:' || d.key), 1, 8) AS BIGINT) % s.n_shards AS shard,
+    md5('order:{SEED}:' || d.key) AS ord
   FROM sized d JOIN src_quota s ON d.source IS NOT DISTINCT FROM s.source
 ), shards AS (
   SELECT rk, any_value(source) AS source, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(quota) AS source_quota FROM placed GROUP BY rk, shard
 ), shard_q AS (
   SELECT rk, shard, source_quota, shard_size::DOUBLE / (2 * k - 1) AS q, k
-  FROM shards, unnest(range(1, CAST(floor(shard_size * {MAX_EPOCHS} / {BLOCK_WORDS}) AS BIGINT) + 1)) AS u(k) WHERE shard_size > 0
+  FROM shards, unnest(range(1, CAST(ceil(shard_size * {MAX_EPOCHS} / {BLOCK_WORDS}) AS BIGINT) + 1)) AS u(k) WHERE shard_size > 0
 ), shard_won AS (
   SELECT rk, shard, count(*) AS quota FROM (
     SELECT rk, shard, source_quota, row_number() OVER (PARTITION BY rk ORDER BY q DESC, shard, k) AS rn FROM shard_q
   ) WHERE rn <= source_quota GROUP BY rk, shard
 ), ring AS (
-  SELECT s.rk, s.shard, greatest(s.shard_size, 1) AS z, coalesce(w.quota, 0) * {BLOCK_WORDS} AS take,
+  SELECT s.rk, s.shard, greatest(s.shard_size, 1) AS z, least(coalesce(w.quota, 0) * {BLOCK_WORDS}, s.shard_size * {MAX_EPOCHS}) AS take,
     CAST('0x' || substr(md5('start:{SEED}:' || coalesce(s.source, '\\N') || ':' || s.shard::VARCHAR), 1, 8) AS BIGINT) % greatest(s.shard_size, 1) AS start
   FROM shards s LEFT JOIN shard_won w ON s.rk = w.rk AND s.shard = w.shard
 ), laid AS (
