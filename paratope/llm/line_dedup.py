@@ -187,21 +187,23 @@ def _cut(text: pa.Array, keep: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """documents with `text` cut to its kept lines (a null text is then an empty one), and _n_lines and _n_dropped added."""
+def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, counts: bool = True) -> DataFrame:
+    """documents with `text` cut to its kept lines; a null text is then an empty one. counts: _n_lines and _n_dropped are added, in place of columns of these names."""
     ship(documents.sparkSession)
-    d = documents.withColumn("_th", F.xxhash64("text")).alias("d")
-    k = bitmaps.hint("shuffle_hash").alias("k")  # the small side is hashed, so texts needn't be sorted
-    same = (F.coalesce(F.col("d.doc_id"), F.lit(0)).cast("long") == F.col("k.doc")) & (F.col("d.doc_id").isNotNull() == F.col("k.has_doc")) & (F.col("d._th") == F.col("k.th"))
-    joined = d.join(k, same, "left").select("d.*", F.coalesce("k.n_dropped", F.lit(0)).cast("long").alias("_n_dropped"), F.col("k.keep").alias("_keep"))
-    text = F.coalesce(F.arrow_udf(_cut, "string")(F.when(F.col("_keep").isNotNull(), F.col("text")), F.col("_keep")), F.col("text"), F.lit(""))
-    n_lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")).cast("long") + 1
-    return joined.withColumn("_n_lines", n_lines).withColumn("text", text).drop("_th", "_keep")
-
-
-def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    d = rows.select("row", F.coalesce(F.col("row.doc_id"), F.lit(0)).cast("long").alias("doc"), F.col("row.doc_id").isNotNull().alias("has_doc"), F.xxhash64("row.text").alias("th"))
+    joined = d.join(bitmaps.hint("shuffle_hash"), ["has_doc", "doc", "th"], "left")  # the small side is hashed, so texts needn't be sorted
+    filled = F.coalesce(F.col("row.text"), F.lit(""))
+    text = F.coalesce(F.arrow_udf(_cut, "string")(F.when(F.col("keep").isNotNull(), F.col("row.text")), F.col("keep")), filled).alias("text")
+    own = [text if c == "text" else F.col(f"row.`{c}`") for c in documents.columns if not (counts and c in ("_n_lines", "_n_dropped"))]
+    if counts:
+        own += [(F.regexp_count(filled, F.lit("\n")).cast("long") + 1).alias("_n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped")]
+    return joined.select(*own)
+
+
+def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
     mark = written()
-    return apply_bitmaps(documents, finished(keep_bitmaps(documents, min_chars, min_docs), "line-bitmaps", mark))
+    return apply_bitmaps(documents, finished(keep_bitmaps(documents, min_chars, min_docs), "line-bitmaps", mark), counts)
 
 
 ORACLE = f"""
