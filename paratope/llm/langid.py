@@ -28,8 +28,9 @@ SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 6
 #: Steps of training, whatever the sample's size.
 STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 7
-#: Mean probability under which keep_identified() takes a text for no language that it knows.
-LEAST_SCORE = 0.35
+#: Mean of the bytes' highest probabilities under which keep_identified() takes a text for no language that it knows; it doesn't fall with the number of languages in a text.
+LEAST_CERTAINTY = 0.5
+HAS_LETTER = r"\p{L}"
 PAD = 256
 BLOCK = 4096
 GROUP_BYTES = 1 << 20
@@ -135,11 +136,14 @@ class Network:
         return p
 
     def label_sums(self, rows: np.ndarray) -> np.ndarray:
-        """(B, L): each window's probabilities, added up over its bytes."""
-        states, total = self.states(rows), np.zeros((len(self.langs), rows.shape[1]), np.float32)
+        """(B, L + 1): each window's probabilities, and the highest of each byte, added up over its bytes."""
+        states, total = self.states(rows), np.zeros((len(self.langs) + 1, rows.shape[1]), np.float32)
         real = rows != PAD
         for t in range(rows.shape[0]):
-            total += self.probabilities(states, t) * real[t]
+            p = self.probabilities(states, t)
+            p *= real[t]
+            total[:-1] += p
+            total[-1] += p.max(0)
         return total.T
 
     def train(self, rows: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> None:
@@ -195,8 +199,8 @@ class Network:
         return [g_table, g_u, g_v, g_c]
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, L): mean probabilities over all bytes of each text; empty texts give zeros."""
-        out = np.zeros((len(texts), len(self.langs)), np.float64)
+        """(texts, L + 1): mean probabilities over all bytes of each text, and the mean of the highest ones; empty texts give zeros."""
+        out = np.zeros((len(texts), len(self.langs) + 1), np.float64)
         joined = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
@@ -229,11 +233,11 @@ def fit(documents: DataFrame) -> Network | None:
 
 
 def predict(documents: DataFrame, net: Network | None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The key columns, lang_pred and score."""
+    """The key columns, lang_pred, score and certainty, the mean of the bytes' highest probabilities."""
     spark = documents.sparkSession
-    chosen = documents.select(*keys, F.when(F.regexp_like("text", F.lit(r"\p{L}")), F.col("text")).alias("text"))
+    chosen = documents.select(*keys, F.when(F.regexp_like("text", F.lit(HAS_LETTER)), F.col("text")).alias("text"))
     if net is None:
-        return chosen.select(*keys, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return chosen.select(*keys, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("certainty"))
     ship(spark)
     shared = spark.sparkContext.broadcast(net)  # of fixed size
 
@@ -242,7 +246,7 @@ def predict(documents: DataFrame, net: Network | None, keys: tuple[str, ...] = (
         own = shared.value
         for batch in batches:
             texts = [t.encode() if t else b"" for t in batch.column(len(keys)).to_pylist()]
-            langs, scores, a = [], [], 0
+            langs, scores, certainties, a = [], [], [], 0
             while a < len(texts):
                 b, size = a, 0
                 while b < len(texts) and (b == a or size + len(texts[b]) <= GROUP_BYTES):
@@ -250,14 +254,15 @@ def predict(documents: DataFrame, net: Network | None, keys: tuple[str, ...] = (
                     b += 1
                 p = own.pooled(texts[a:b])
                 for t, row in zip(texts[a:b], p, strict=True):
-                    best = int(row.argmax())
+                    best = int(row[:-1].argmax())
                     langs.append(own.langs[best] if t else UNDETERMINED)
                     scores.append(min(1.0, float(row[best])) if t else 0.0)
+                    certainties.append(float(row[-1]) if t else 0.0)
                 a = b
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keys, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(certainties, pa.float64())], names=[*keys, "lang_pred", "score", "certainty"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return chosen.mapInArrow(run, f"{fields}, lang_pred string, score double, certainty double")
 
 
 def identify(documents: DataFrame) -> DataFrame:
@@ -265,9 +270,11 @@ def identify(documents: DataFrame) -> DataFrame:
     return predict(documents, fit(documents)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language can be told: those that are not `und` and reach the least score; all their columns stay."""
-    carried = [c for c in documents.columns if c != "text"]
-    judged = predict(documents.withColumn("_text", F.col("text")), fit(documents), (*carried, "_text"))
-    kept = judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
-    return kept.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in documents.columns))
+def keep_identified(documents: DataFrame, least: float = LEAST_CERTAINTY) -> DataFrame:
+    """The documents whose language can be told: those with a letter whose bytes' labels reach the least certainty; all their columns stay. Where nothing is labelled, all with a letter stay."""
+    net = fit(documents)
+    if net is None:
+        return documents.filter(F.regexp_like("text", F.lit(HAS_LETTER)))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), "text")
+    judged = predict(rows, net, ("row",))
+    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("certainty") >= least)).select("row.*")

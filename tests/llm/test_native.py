@@ -139,3 +139,53 @@ def test_licences_and_inheritance(spark):
     assert found[1] == ("MIT", "own", None) and found[2] == ("CC-BY-NC-4.0", "inherited", "repo/a") and found[4] == ("MIT", "inherited", "repo")
     assert found[5] == (None, "none", None) and found[6][:2] == ("MIT", "own") and found[7][1] == "none"
     assert found[8][:2] == ("Apache-2.0", "own") and found[9] == ("MIT", "inherited", "repo") and found[10][1] == "none" and found[11][0] == "CC-BY-NC-4.0"
+
+
+MIT = """MIT License
+
+Copyright (c) 2019 Somebody Else
+
+""" + license_scan._MIT_GRANT + "\n\n" + license_scan._MIT_WARRANTY + "\n"
+
+
+def wrapped(text, mark="", width=70):
+    lines, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines.append(line)
+            line = ""
+        line += " " + word
+    return "\n".join(mark + line for line in [*lines, line])
+
+
+def test_licence_files_headers_and_tags(spark):
+    code = "\n\nimport os\n\ndef main(arguments):\n    return os.path.join(*arguments)\n" * 30
+    texts = {
+        "MIT": MIT, "MIT/1": MIT[: MIT.index("THE SOFTWARE IS PROVIDED")], "MIT/2": wrapped(MIT), "MIT/3": "// SPDX-License-Identifier: MIT" + code, "MIT/4": "/*\n" + wrapped(license_scan._MIT_GRANT, " * ") + "\n */" + code,
+        "Apache-2.0": "#!/bin/sh\n# Copyright 2020 The Authors\n#\n" + wrapped(license_scan._APACHE_HEADER, "# ") + code, "Apache-2.0/1": "Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS",
+        "GPL-3.0": "/* " + wrapped(license_scan._GPL_HEADER.format(v=3), " * ") + " */" + code, "GPL-3.0/1": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\nPreamble",
+        "GPL-2.0": wrapped(license_scan._GPL_HEADER.format(v=2), "; "), "BSD-3-Clause": "Copyright (c) 2001, X\nAll rights reserved.\n\n" + wrapped(" ".join([license_scan._BSD_GRANT, license_scan._BSD_THIRD, license_scan._BSD_WARRANTY])),
+        "BSD-2-Clause": "BSD 2-Clause License\n\n" + wrapped("Copyright (c) 2001, X All rights reserved. " + license_scan._BSD_GRANT + " " + license_scan._BSD_WARRANTY), "MPL-2.0": "/* " + wrapped(license_scan._MPL_HEADER, " * ", 75) + " */" + code, "ISC": "ISC License\n\nCopyright (c) 2010 Y\n\n" + wrapped(license_scan._ISC),
+        "Unlicense": wrapped(license_scan._UNLICENSE), "CC0-1.0": "SPDX-License-Identifier: CC0-1.0", "None": "SPDX-License-Identifier: Foo-9.9" + code, "None/1": "You need a license to drive; the copyright of this song is ours.\n\nNo permission is hereby granted." + code,
+    }
+    df = spark.createDataFrame([(n, f"f{i}", t) for i, (n, t) in enumerate(texts.items())], "id string, path string, text string")
+    found = {r.id: r.own_license for r in license_scan.scan_licenses(df).collect()}
+    assert {n: v for n, v in found.items() if str(v) != n.split("/")[0]} == {}
+
+
+def test_small_sources_and_rows_without_an_id_are_mixed(spark):
+    rows = [(None, f"text {i} of some words here", "en", "a") for i in range(3000)] + [(i, "w " * 20, "en", "b") for i in range(2)] + [(99, "only these twelve words stand in the whole of this small source", "en", "c")]
+    found = mixing.mix_sources(documents(spark, rows, extra=True), shard_docs=100).collect()
+    taken, target = {}, {}
+    for r in found:
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        assert r.taken <= 3 * r.size
+    assert target["b"] == 120 and target["c"] == 36 and all(0 < abs(taken[s] - target[s]) + 1 <= mixing.BLOCK_WORDS for s in "bc")
+    shards = {}
+    for r in found:
+        if r.doc_id is None:
+            shards[r.shard] = shards.get(r.shard, 0) + 1
+    assert len(shards) > 20 and max(shards.values()) < 300
+    mixed = mixing.mixed_documents(documents(spark, rows, extra=True), shard_docs=100)
+    words = {r.source: r.n for r in mixed.groupBy("source").agg({"text": "count"}).withColumnRenamed("count(text)", "n").collect()}
+    assert words["b"] == 6 and words["c"] == 3 and words["a"] * 6 == pytest.approx(taken["a"], rel=0.02)
