@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paratope.llm import langid, line_dedup, mixing, near_dedup, piece_codec
-from paratope.llm.common import materialize, table
+from paratope.llm.common import finished, table, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,9 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least 20 characters that three documents share stay in the last of them; n_chars follows."""
-    cut = line_dedup.dedup_lines(docs)
+    cut = line_dedup.dedup_lines(docs, counts=False)
     length = F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "bigint"))
-    return cut.withColumn("n_chars", length).select(*docs.columns)
+    return cut.withColumn("n_chars", length) if "n_chars" in docs.columns else cut
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's table is deleted when the next one's is written."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{i}")
+            docs = finished(docs, f"pipeline-{i}", mark)
     return docs
