@@ -60,3 +60,8 @@ def chain_ids(description: Column) -> Column:
     token = F.get(F.split(description, r"\|"), F.lit(1))
     listed = F.split(F.regexp_replace(token, "^Chains? ", ""), ",")
     return F.transform(listed, lambda c: F.when(F.contains(c, F.lit("[auth ")), F.regexp_extract(c, r"\[auth ([^\]]*)\]", 1)).otherwise(F.replace(c, F.lit(" "), F.lit(""))))
+
+
+def instant(stamp: Column) -> Column:
+    """The time of an ISO text with an offset (Z, +00:00 or +0000); a text without one is UTC where the session is."""
+    return F.to_timestamp(F.regexp_replace(stamp, r"([+-]\d\d)(\d\d)$", "$1:$2"))

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paratope.functions.distance import longest_common_substring
-from paratope.session import ship
+from paratope.functions.hla import two_fields
+from paratope.session import fitted, ship
 
 
 def _sizes(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -28,13 +29,45 @@ def match_alleles(chains: DataFrame, reference: DataFrame) -> DataFrame:
     """The reference allele with the longest substring in common, for each distinct (seq, chain, species).
 
     reference: chain, species, name, sequence, status, ord. Of equal sizes a Full one is preferred to a Partial
-    one, then the first by ord. The reference is a fixed table of a species' alleles, so it is joined by chain
-    and species, and a match keeps only the best row at once.
+    one, then the first by ord. The reference is a table of a species' alleles: it is broadcast where its size
+    allows that, and a match keeps only the best row at once.
     """
     ship(chains.sparkSession)
     asked = chains.select("seq", "chain", "species").filter("seq IS NOT NULL").distinct()
-    pairs = asked.join(F.broadcast(reference), ["chain", "species"])
+    pairs = asked.join(fitted(reference), ["chain", "species"])
     sized = pairs.withColumn("size", common_size("seq", "sequence"))
     full_first = F.when(F.col("status") == "Partial", 1).otherwise(0)
     best = F.min_by(F.struct("name", "sequence", "status", "size"), F.struct(-F.col("size"), full_first, F.col("ord")))
     return sized.groupBy("seq", "chain", "species").agg(best.alias("b")).select("seq", "chain", "species", "b.*").withColumn("proportion", F.col("size") / F.length("seq"))
+
+
+def with_status(names: DataFrame, statuses: DataFrame, name: str = "name") -> DataFrame:
+    """names with `status`, from (Allele, Partial); a name without exactly one row raises when it is read."""
+    counted = statuses.groupBy(F.col("Allele").alias(name)).agg(F.count(F.lit(1)).alias("_n"), F.first("Partial").alias("status"))
+    joined = names.join(counted, name, "left")
+    error = F.raise_error(F.concat(F.lit("exactly one status is needed for allele "), F.coalesce(F.col(name), F.lit("null"))))
+    return joined.filter(F.when(F.coalesce("_n", F.lit(0)) != 1, error).otherwise(F.lit(True))).drop("_n")
+
+
+def with_matches(df: DataFrame, reference: DataFrame, light: DataFrame) -> DataFrame:
+    """Adds each MHC chain's match: mhc_n_match_seq, mhc_n_name (two fields), mhc_n_match_size, mhc_n_match_proportion, mhc_n_status, mhc_1_name_maxres and mhc_2_maxres.
+
+    The species of the first chain chooses the alleles of both. A light chain is not matched: it has the
+    species' constant from light(species, name, sequence) and no size; a missing second chain has nulls.
+    """
+    kind = F.when(F.col("mhc_1_species") == "human", "human").otherwise("mouse")
+    rows = df.drop("mhc_1_name", "mhc_2_name").withColumn("_species", kind)
+    chains = rows.select(F.inline(F.array(*(F.struct(F.col(f"mhc_{n}_seq").alias("seq"), F.col(f"mhc_{n}_chain").alias("chain"), F.col("_species").alias("species")) for n in (1, 2)))))
+    found = match_alleles(chains.filter("chain <> 'light'"), reference)
+    constant = light.select(F.lit("light").alias("_chain"), F.col("species").alias("_kind"), F.col("name").alias("_light"), F.col("sequence").alias("_light_seq"))
+    for n in (1, 2):
+        rest = {"name": "_match", "sequence": "_match_seq", "status": "_match_status", "size": "_match_size", "proportion": "_match_part"}
+        m = found.select(F.col("seq").alias("_seq"), F.col("chain").alias("_of"), F.col("species").alias("_by"), *(F.col(k).alias(v) for k, v in rest.items()))
+        same = (F.col(f"mhc_{n}_seq") == F.col("_seq")) & (F.col(f"mhc_{n}_chain") == F.col("_of")) & (F.col("_species") == F.col("_by"))
+        rows = rows.join(m, same, "left").join(F.broadcast(constant), (F.col(f"mhc_{n}_chain") == F.col("_chain")) & (F.col("_species") == F.col("_kind")) & F.col(f"mhc_{n}_seq").isNotNull(), "left")
+        name = F.coalesce("_match", "_light")
+        rows = rows.withColumns({
+            f"mhc_{n}_match_seq": F.coalesce("_match_seq", "_light_seq"), f"mhc_{n}_name": two_fields(name), f"mhc_{n}_match_size": F.col("_match_size"), f"mhc_{n}_match_proportion": F.col("_match_part"),
+            f"mhc_{n}_status": F.when(F.col("_light").isNotNull(), "Full").otherwise(F.col("_match_status")), "mhc_1_name_maxres" if n == 1 else "mhc_2_maxres": name,
+        }).drop("_seq", "_of", "_by", "_chain", "_kind", "_light", "_light_seq", *rest.values())
+    return rows.drop("_species")

@@ -99,6 +99,17 @@ def pair_means(pae: DataFrame, residues: DataFrame, jobs: DataFrame) -> DataFram
     return reduce(lambda x, y: x.join(y, "job_name", "left"), pieces, plain)
 
 
+#: Scalars and small arrays of a summary document; the arrays are by chain or by pair of chains.
+SUMMARY_SCALARS = ("ptm", "iptm", "fraction_disordered", "has_clash", "ranking_score")
+_SUMMARY = ", ".join([*(f"{n} double" for n in SUMMARY_SCALARS), "chain_pair_pae_min array<array<double>>", "chain_pair_iptm array<array<double>>", "chain_ptm array<double>", "chain_iptm array<double>"])
+
+
+def summary_metrics(documents: DataFrame, document: str = "document") -> DataFrame:
+    """The other columns and the summary's scalars and arrays, from a JSON text; what it doesn't hold is null, and a text that isn't JSON raises."""
+    others = [c for c in documents.columns if c != document]
+    return documents.select(*others, F.from_json(document, _SUMMARY, {"mode": "FAILFAST"}).alias("_s")).select(*others, "_s.*")
+
+
 def pair_minima(summary: DataFrame, jobs: DataFrame) -> DataFrame:
     """min_{p_tcr,tcr_p,mhc_tcr,tcr_mhc}_pae from the chain-pair matrix (peptide, two MHC chains, two receptor chains)."""
     at = lambda i, j: F.get(F.get("chain_pair_pae_min", F.lit(i)), F.lit(j))
@@ -191,6 +202,12 @@ def species_checks(jobs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("job_name", *(F.coalesce(F.col(c) == F.col(f"{c}_species"), F.lit(False)).alias(f"{c}_species_correct") for c in TCR))
 
 
+def seed_ranks(seed_rank: DataFrame) -> DataFrame:
+    """Adds rank, from 0: the place of a job's seed by falling ranking_score; of equals the later seed comes first."""
+    order = Window.partitionBy("job_name").orderBy(F.desc("ranking_score"), F.desc("seed"))
+    return seed_rank.withColumn("rank", F.row_number().over(order) - 1)
+
+
 def per_seed(summary: DataFrame, seed_rank: DataFrame, seeds: int = 5) -> DataFrame:
     """{mhc_tcr,p_tcr}_{iptm,pae}_k for k = 1..seeds: the features of the best-ranked seed among the first k."""
     mean = lambda m, rows: reduce(lambda a, b: a + b, (F.get(F.get(m, F.lit(i)), F.lit(j)) for i in rows for j in (3, 4))) / (2 * len(rows))
@@ -207,6 +224,7 @@ def per_seed(summary: DataFrame, seed_rank: DataFrame, seeds: int = 5) -> DataFr
 #: What each feature table is made of: (builder, names of the tables it takes).
 TRIAD_FEATURES = {
     "mean_pae": (pair_means, ("pae", "residue", "jobs")),
+    "summary": (summary_metrics, ("summary_document",)),
     "min_pae": (pair_minima, ("summary", "jobs")),
     "peptide_plddt": (peptide_confidence, ("atom", "residue", "jobs")),
     "cdr_plddt": (loop_confidence, ("atom", "imgt")),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paratope.schema import ANTIGEN_COLUMNS
+from paratope.session import settled
 
 
 def with_enough(df: DataFrame, keys: list[str], positive: Column, least: int) -> DataFrame:
@@ -87,6 +88,24 @@ def list_of(column: str, distinct: bool = False) -> Column:
     return F.sort_array(F.array_distinct(flat) if distinct else flat)
 
 
+def first_seen(df: DataFrame, keys: list[str], value: str, order: str, name: str) -> DataFrame:
+    """keys and the list of distinct values in the order in which they come first; nulls go."""
+    firsts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("_at"))
+    return firsts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias(name))
+
+
+def relaxed_union(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all, columns by name: types widen to what holds both, and what a side lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def by_class(df: DataFrame, kind: Column, rules: dict) -> DataFrame:
+    """Columns replaced by each class's own expressions {class: {column: expression}}, in one pass; other classes stay as they are."""
+    columns = sorted({c for own in rules.values() for c in own})
+    chosen = {c: reduce(lambda acc, r, c=c: acc.when(kind == r[0], r[1][c]) if c in r[1] else acc, rules.items(), F.when(F.lit(False), F.col(c))).otherwise(F.col(c)) for c in columns}
+    return df.withColumns(chosen)
+
+
 def explode_together(df: DataFrame, columns: list[str]) -> DataFrame:
     """List columns of equal length, one row an element."""
     others = [c for c in df.columns if c not in columns]
@@ -120,6 +139,20 @@ def islands(df: DataFrame, group: list[str], position: str, gap: int = 10, least
     return runs.filter(F.col("last") - F.col("first") + 1 >= least)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "_i") -> DataFrame:
+    """Adds each row's place, from 1, in an order within its key. For a few large keys: ranges of (key, order) are numbered each on its own and moved on by the counts before them, so no task sees a whole key."""
+    at = [f"_order{i}" for i in range(len(order))]
+    ranged = df.withColumns(dict(zip(at, order, strict=True))).repartitionByRange(*keys, *at)
+    ranged = settled(ranged.withColumn("_part", F.spark_partition_id()))  # ranges are sampled, so they are cut once
+    inner = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*at))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").alias("s")
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_part"]))
+    joined = ranged.withColumn("_inner", inner).alias("r").join(starts, same)
+    return joined.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("_start") + F.col("_inner")).alias(name))
+
+
 def windows_of(df: DataFrame, group: list[str], order: str, size: int = 9) -> Window:
     return Window.partitionBy(*group).orderBy(order).rowsBetween(0, size - 1)
 

@@ -6,16 +6,13 @@ returned lines cognate pairs, events residues and seeds, embeddings geometry. Ea
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paratope.functions import hla, keys, text
-from paratope.functions.distance import complete_linkage
 from paratope.operators import alleles, evaluation, negatives, relational
 from paratope.operators.features import REGIONS
-from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, TCR_COLUMNS, TRIAD_COLUMNS
+from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, DOCKING_COLUMNS, TCR_COLUMNS, TRIAD_COLUMNS
 from paratope.session import ship
 from paratope.sources import jobs as job_files
 from paratope.sources.tables import new_only
@@ -262,9 +259,15 @@ def list_flatten_agg(spark, sf_dir):
     return rows.groupBy("o_custkey").agg(F.array_join(relational.list_of("p"), ",").alias("all_parts"), F.array_join(relational.list_of("p", distinct=True), ",").alias("parts"))
 
 
-@query("consistency_check", "SELECT o_orderkey, min(o_orderstatus) AS o_orderstatus, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY o_orderkey")
+@query(
+    "consistency_check",
+    """SELECT l_orderkey, min(CASE WHEN l_linenumber % 2 = 1 THEN o_orderstatus END) AS o_orderstatus, min(o_orderpriority) AS o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey""",
+)
 def consistency_check(spark, sf_dir):
-    return relational.only_one(table(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+    """An order's lines all tell its status, or nothing."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    told = lines.withColumn("o_orderstatus", F.when(F.col("l_linenumber") % 2 == 1, F.col("o_orderstatus")))
+    return relational.only_one(told, ["l_orderkey"], ["o_orderstatus", "o_orderpriority"])
 
 
 @query("multi_explode", "SELECT o_orderkey, unnest(['key', 'cust']) AS name, unnest([o_orderkey, o_custkey]) AS value FROM orders")
@@ -473,7 +476,15 @@ def job_document(spark, sf_dir):
     return rows.withColumn("a", job_files.alignment_of(F.col("document"))).select("p_partkey", "document", F.col("a.sequence").alias("first_sequence"), F.col("a.is_empty").alias("is_empty"))
 
 
-@query("lcs_allele_match")
+@query(
+    "lcs_allele_match",
+    """WITH asked AS (SELECT DISTINCT p_name AS seq, p_type AS chain FROM part),
+       ref AS (SELECT p_type AS chain, p_brand AS name, min(p_name) AS sequence, min(p_partkey) AS ord FROM part GROUP BY 1, 2),
+       pieces AS (SELECT DISTINCT seq, chain, substr(seq, i, n) AS piece FROM asked, unnest(range(1, length(seq) + 1)) AS a(i), unnest(range(1, length(seq) + 1)) AS b(n) WHERE i + n <= length(seq) + 1),
+       sized AS (SELECT p.seq, chain, name, sequence, ord, coalesce(max(length(piece)) FILTER (contains(sequence, piece)), 0) AS size FROM pieces p JOIN ref USING (chain) GROUP BY ALL),
+       best AS (SELECT *, row_number() OVER (PARTITION BY seq, chain ORDER BY size DESC, CASE WHEN ord % 2 = 0 THEN 0 ELSE 1 END, ord) AS rn FROM sized)
+       SELECT seq, chain, 'human' AS species, name, sequence, CASE WHEN ord % 2 = 0 THEN 'Full' ELSE 'Partial' END AS status, size, size::DOUBLE / length(seq) AS proportion FROM best WHERE rn = 1""",
+)
 def lcs_allele_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     chains = part.select(F.col("p_name").alias("seq"), F.col("p_type").alias("chain"), F.lit("human").alias("species"))
@@ -481,65 +492,35 @@ def lcs_allele_match(spark, sf_dir):
     return alleles.match_alleles(chains, reference.withColumns({"species": F.lit("human"), "status": F.when(F.col("ord") % 2 == 0, "Full").otherwise("Partial")}))
 
 
-def _block_pairs(df: DataFrame, value: str, fn, schema: str, size: int = 200) -> DataFrame:
-    """All pairs a < b of each label's rows: blocks of `size` rows in the order of vec_id, each against itself and every other. fn(x, y) measures the row x against the rows y."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("label")) / size).cast("int")
-    placed = df.select("vec_id", "label", value, F.floor(place / size).cast("int").alias("block"), blocks.alias("blocks"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("vec_id", kind="stable")
-        ids, x = batch["vec_id"].to_numpy(), np.stack(batch[value].to_numpy()).astype(float)
-        of_i, of_j = np.flatnonzero(batch["block"] == batch["i"]), np.flatnonzero(batch["block"] == batch["j"])
-        rows = [(m, of_j[of_j > m]) for m in of_i]
-        return pd.DataFrame({
-            "a": np.concatenate([np.full(len(o), ids[m]) for m, o in rows]),
-            "b": np.concatenate([ids[o] for _, o in rows]),
-            "dist": np.concatenate([np.round(fn(x[m], x[o]), 6) for m, o in rows]),
-        }).set_axis(["a", "b", schema.split()[-2]], axis=1)
-
-    return dealt.groupBy("label", "i", "j").applyInPandas(run, schema)
-
-
 @query("complete_linkage")
 def linkage(spark, sf_dir):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("vec_id")
-        x = np.stack(batch["embedding"].to_numpy()).astype(float)
-        d = np.stack([np.sqrt(((x - row) ** 2).sum(-1)) for row in x])
-        return pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "cluster": complete_linkage(d, 1.2)})
-
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").groupBy("label").applyInPandas(run, "vec_id long, label int, cluster long")
+    """Clusters of each label's embeddings by their distances."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    edges = evaluation.group_pairs(rows, ["label"], "vec_id", ["embedding"], evaluation.euclidean("embedding"))
+    return evaluation.clusters(edges, rows, ["label"], 1.2, "vec_id")
 
 
 @query("mahalanobis_pairs")
 def mahalanobis_pairs(spark, sf_dir):
-    def whiten(batch: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(batch["x"].to_numpy()).astype(float)
-        inverse = np.linalg.pinv(np.cov(x, rowvar=False)) if len(x) > 1 else np.zeros((x.shape[1],) * 2)
-        size, axes = np.linalg.eigh(inverse)
-        white = x @ (axes * np.sqrt(np.maximum(size, 0)))  # Euclidean distances of these are Mahalanobis distances
-        return pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "z": white.tolist()})
+    """The first components stand in for the docking columns, the second of them for the angle; every third row is a negative."""
+    docking = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(DOCKING_COLUMNS)]
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 3 != 0).alias("cognate"), *docking)
+    return evaluation.geometry_distances(rows, ["label"], DOCKING_COLUMNS, "vec_id").withColumn("dist", F.round("dist", 6))
 
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 6).alias("x"))
-    white = rows.groupBy("label").applyInPandas(whiten, "vec_id long, label int, z array<double>")
-    return _block_pairs(white, "z", lambda x, y: np.sqrt(((y - x) ** 2).sum(-1)), "a long, b long, dist double")
 
-
-def _rmsd_to_many(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """superposed_rmsd of one vector's 21 points and those of each row of y: the first 12 are fitted, the others measured."""
-    p, q = x[:63].reshape(21, 3), y[:, :63].reshape(-1, 21, 3)
-    cp, cq = p[:12].mean(0), q[:, :12].mean(1, keepdims=True)
-    u, _, vt = np.linalg.svd((p[:12] - cp).T @ (q[:, :12] - cq))
-    sign = np.sign(np.linalg.det(u @ vt))
-    u[:, :, 2] *= np.where(sign == 0, 1.0, sign)[:, None]
-    return np.sqrt((((p[12:] - cp) @ (u @ vt) + cq - q[:, 12:]) ** 2).sum(-1).mean(-1))
+def _stand_in_atoms(embeddings: DataFrame) -> DataFrame:
+    """21 atoms of each vector's first 63 components: twelve of the first MHC chain, nine of the peptide."""
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.slice("embedding", i * 3 + 1, F.lit(3))))
+    rows = embeddings.select(F.col("vec_id").alias("job_name"), at.alias("resindex", "p"))
+    xyz = [F.get("p", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")]
+    return rows.select("job_name", F.when(F.col("resindex") < 12, "mhc_1").otherwise("peptide").alias("role"), "resindex", F.lit("CA").alias("name"), *xyz)
 
 
 @query("kabsch_rmsd")
 def kabsch_rmsd(spark, sf_dir):
-    return _block_pairs(table(spark, sf_dir, "embeddings"), "embedding", _rmsd_to_many, "a long, b long, rmsd double")
+    embeddings = table(spark, sf_dir, "embeddings")
+    jobs = embeddings.select("label", F.col("vec_id").alias("job_name"))
+    return evaluation.rmsd_pairs(_stand_in_atoms(embeddings), jobs, ["label"]).select("label", "a", "b", F.round("dist", 6).alias("rmsd"))
 
 
 @query("sample_strikeout")
@@ -567,6 +548,27 @@ def leave_one_out_auc(spark, sf_dir):
     return found.select("l_suppkey", F.round("roc_auc", 6).alias("roc_auc"))
 
 
+@query("leave_one_out_balanced")
+def leave_one_out_balanced(spark, sf_dir):
+    """Fits on as many negative rows as positive ones, by groups of five suppliers."""
+    line = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("fold"), (F.col("l_returnflag") == "R").alias("cognate"), "l_quantity", "l_discount", line.alias("line"))
+    found = evaluation.left_out_auc(rows, ["fold"], ["l_quantity", "l_discount"], balanced_ratio=True, row_key="line")
+    return found.select("fold", F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@query(
+    "mean_auc",
+    """WITH s AS (SELECT l_suppkey, l_quantity AS s, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY 1, 2),
+       b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY l_suppkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s),
+       a AS (SELECT l_suppkey, sum(p * (below + n / 2.0::DOUBLE)) / (sum(p) * sum(n)) AS roc_auc FROM b GROUP BY l_suppkey)
+       SELECT round(avg(roc_auc), 6) AS mean_auc, count(roc_auc) AS n_groups FROM a""",
+)
+def mean_auc(spark, sf_dir):
+    found = evaluation.group_auc(table(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_returnflag") == "R", F.col("l_quantity"))
+    return evaluation.mean_auc(found).select(F.round("mean_auc", 6).alias("mean_auc"), "n_groups")
+
+
 @query(
     "ordered_first",
     "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS o_orderkey, first(o_orderstatus ORDER BY o_orderdate, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey",

@@ -154,6 +154,22 @@ def inference_inputs(triads: DataFrame, seeds: list[int]) -> DataFrame:
     return triads.select("job_name", job_document(F.col("job_name"), chains, F.array(*map(F.lit, seeds))).alias("document"))
 
 
+#: The kind of alignment that each chain of a triad has.
+ALIGNED = {"peptide": "peptide", "mhc_1_seq": "mhc", "mhc_2_seq": "mhc", "tcr_1_seq": "tcr", "tcr_2_seq": "tcr"}
+
+
+def composed_inputs(triads: DataFrame, alignments: DataFrame, seeds: list[int]) -> DataFrame:
+    """job_name and the job's JSON with stored alignments (kind, sequence, document): each chain has its alignment's protein under its own letter; a chain without exactly one alignment raises."""
+    from paratope.sources.jobs import exactly_one, job_of_chains, protein_of
+
+    entries = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(k).alias("kind"), F.col(c).alias("sequence")) for i, (c, k) in enumerate(ALIGNED.items())))
+    chains = triads.select("job_name", F.inline(F.filter(entries, lambda e: e["sequence"].isNotNull())))
+    stored = exactly_one(alignments.select("kind", "sequence", "document"), ["kind", "sequence"], chains)
+    named = chains.join(stored.select("kind", "sequence", protein_of(F.col("document")).alias("protein")), ["kind", "sequence"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "protein"))), lambda x: x["protein"])
+    return named.groupBy("job_name").agg(ordered.alias("chains")).select("job_name", job_of_chains(F.col("job_name"), F.col("chains"), F.array(*map(F.lit, seeds))).alias("document"))
+
+
 def alignment_jobs(triads: DataFrame) -> DataFrame:
     """(kind, sequence) of every distinct chain that needs an alignment."""
     kinds = {"peptide": ["peptide"], "mhc": ["mhc_1_seq", "mhc_2_seq"], "tcr": ["tcr_1_seq", "tcr_2_seq"]}

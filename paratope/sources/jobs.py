@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paratope.functions.text import chain_letter
+from paratope.operators.relational import numbered
 
 DIALECT, VERSION = "alphafold3", 1
 
@@ -25,6 +26,20 @@ def job_document(name: Column, sequences: Column, seeds: Column) -> Column:
     return F.to_json(F.struct(name.alias("name"), seeds.alias("modelSeeds"), chains.alias("sequences"), F.lit(DIALECT).alias("dialect"), F.lit(VERSION).alias("version")))
 
 
+_PROTEIN = "struct<id:string,sequence:string,unpairedMsa:string,pairedMsa:string,templates:array<struct<mmcif:string,queryIndices:array<int>,templateIndices:array<int>>>>"
+
+
+def protein_of(document: Column) -> Column:
+    """The protein of a stored alignment document."""
+    return F.get(F.from_json(document, f"struct<sequences:array<struct<protein:{_PROTEIN}>>>")["sequences"], F.lit(0))["protein"]
+
+
+def job_of_chains(name: Column, proteins: Column, seeds: Column) -> Column:
+    """The JSON of a job whose chains are a list of proteins, lettered from A."""
+    lettered = F.transform(proteins, lambda p, i: F.struct(F.struct(chain_letter(i).alias("id"), *(p[c].alias(c) for c in ("sequence", "unpairedMsa", "pairedMsa", "templates"))).alias("protein")))
+    return F.to_json(F.struct(name.alias("name"), seeds.alias("modelSeeds"), lettered.alias("sequences"), F.lit(DIALECT).alias("dialect"), F.lit(VERSION).alias("version")))
+
+
 _DOCUMENT = "struct<sequences:array<struct<protein:struct<id:string,sequence:string,unpairedMsa:string,pairedMsa:string>>>>"
 
 
@@ -47,10 +62,14 @@ def upsert(registry: DataFrame, fresh: DataFrame, keys: list[str], newest: str)
     return both.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn", "_fresh")
 
 
-def exactly_one(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df; a key with several rows raises when it is read."""
+def exactly_one(df: DataFrame, keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """df; a key with several rows raises when it is read, and so does a key of `wanted` without a row. With `wanted`, rows of other keys go."""
+    error = lambda text: F.raise_error(F.concat(F.lit(f"a key has {text}: "), F.concat_ws(", ", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys))))
+    if wanted is not None:
+        df = wanted.select(*keys).distinct().join(df.withColumn("_there", F.lit(1)), keys, "left")
+        df = df.filter(F.when(F.col("_there").isNull(), error("no row")).otherwise(F.lit(True))).drop("_there")
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn("_n", n).filter(F.when(F.col("_n") > 1, F.raise_error(F.lit("a key has several rows"))).otherwise(F.lit(True))).drop("_n")
+    return df.withColumn("_n", n).filter(F.when(F.col("_n") > 1, error("several rows")).otherwise(F.lit(True))).drop("_n")
 
 
 def missing(wanted: DataFrame, registry: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,11 +77,5 @@ def missing(wanted: DataFrame, registry: DataFrame, keys: list[str]) -> DataFram
 
 
 def batches(df: DataFrame, order: list[str], size: int = 50) -> DataFrame:
-    """Adds `batch`: rows numbered in order, `size` together. Numbering is by range partitions and their counts, so no task sees all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    counts = ranged.groupBy("_p").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_p", before.alias("_before"))  # one row a partition
-    numbered = ranged.withColumn("_i", inner).join(F.broadcast(starts), "_p")
-    return numbered.withColumn("batch", F.floor((F.col("_before") + F.col("_i") - 1) / size).cast("long")).drop("_p", "_i", "_before")
+    """Adds `batch`: rows numbered in order, `size` together; no task sees all rows."""
+    return numbered(df, [], [F.col(c) for c in order]).withColumn("batch", F.floor((F.col("_i") - 1) / size).cast("long")).drop("_i")

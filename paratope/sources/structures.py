@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,27 +27,53 @@ def structure_files(spark: SparkSession, glob: str) -> DataFrame:
     return raw.select(name.alias("pdb"), suffix.alias("suffix"), "path", "content").filter("pdb <> ''").withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
 
 
+_TOKEN = re.compile(r"'((?:[^']|'(?=\S))*)'|\"((?:[^\"]|\"(?=\S))*)\"|(\S+)")
+#: What a row of an atom table is made of, by the names that mmCIF files give it; the first one present counts.
+_CIF_COLUMNS = [("auth_asym_id", "label_asym_id"), ("auth_seq_id", "label_seq_id"), ("label_atom_id", "auth_atom_id"), ("label_comp_id", "auth_comp_id"), ("Cartn_x",), ("Cartn_y",), ("Cartn_z",), ("B_iso_or_equiv",)]
+
+
+def _pdb_rows(lines: list[str]) -> Iterator[tuple]:
+    """(chain, residue, atom, residue name, x, y, z, confidence) of a .pdb file's first model."""
+    for line in lines:
+        if line.startswith(("ATOM  ", "HETATM")):
+            yield line[21].strip(), (line[21], line[22:27]), line[12:16].strip(), line[17:20].strip(), *(float(line[i : i + 8]) for i in (30, 38, 46)), float(line[60:66] or 0)
+        elif line.startswith("ENDMDL"):
+            return
+
+
+def _cif_rows(lines: list[str]) -> Iterator[tuple]:
+    """The same of an mmCIF file's atom_site loop; other models than the first go."""
+    names: list[str] = []
+    for line in lines:
+        if line.startswith("_atom_site."):
+            names.append(line.split(".", 1)[1].split()[0])
+        elif names and line.startswith(("ATOM", "HETATM")):
+            row = dict(zip(names, (next(v for v in m.groups() if v is not None) for m in _TOKEN.finditer(line)), strict=False))
+            if row.get("pdbx_PDB_model_num", "1") != "1":
+                continue
+            chain, number, atom, residue, x, y, z, conf = (next((row[c] for c in some if row.get(c, ".") not in ".?"), "0") for some in _CIF_COLUMNS)
+            yield chain, (chain, number, row.get("pdbx_PDB_ins_code")), atom, residue, float(x), float(y), float(z), float(conf)
+        elif names and line.startswith(("#", "loop_", "data_")):
+            return
+
+
 def _atoms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["job_name", "segid", "resindex", "name", "resname", "x", "y", "z", "plddt"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
     for b in batches:
-        out: list[tuple] = []
         for pdb, content in zip(b.column("pdb").to_pylist(), b.column("content").to_pylist(), strict=True):
-            resindex, last = -1, None
-            for line in content.decode("ascii", "replace").splitlines():
-                if line.startswith(("ATOM  ", "HETATM")):
-                    residue = (line[21], line[22:27])
-                    resindex += residue != last
-                    last = residue
-                    out.append((pdb, line[21].strip(), resindex, line[12:16].strip(), line[17:20].strip(), *(float(line[i : i + 8]) for i in (30, 38, 46)), float(line[60:66] or 0)))
-                elif line.startswith("ENDMDL"):
-                    break
-        names = ["job_name", "segid", "resindex", "name", "resname", "x", "y", "z", "plddt"]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
-        columns = zip(*out, strict=True) if out else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            out, resindex, last = [], -1, None
+            lines = (content or b"").decode("ascii", "replace").splitlines()
+            for segid, residue, *rest in (_cif_rows if lines and lines[0].startswith("data_") else _pdb_rows)(lines):
+                resindex += residue != last
+                last = residue
+                out.append((pdb, segid, resindex, *rest))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
 def read_atoms(files: DataFrame) -> DataFrame:
-    """The atom table of `.pdb` contents (pdb, content)."""
+    """The atom table of `.pdb` and mmCIF contents (pdb, content), a file at a time."""
     ship(files.sparkSession)
     return files.select("pdb", "content").mapInArrow(_atoms, "job_name string, segid string, resindex int, name string, resname string, x double, y double, z double, plddt double")
 

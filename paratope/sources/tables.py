@@ -50,3 +50,9 @@ def docking_features(spark: SparkSession, jobs: DataFrame, glob: str, key: str =
 def new_only(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in `done` yet."""
     return candidates.join(done.select(key), key, "left_anti")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from paratope.sources.tables import new_only
+from paratope.sources.tables import exists, new_only
 
 
 def process_new(spark: SparkSession, source: str, schema: T.StructType, target: str, key: str, work: Callable[[DataFrame], DataFrame], checkpoint: str, files_per_batch: int = 50) -> StreamingQuery:
@@ -16,11 +16,8 @@ def process_new(spark: SparkSession, source: str, schema: T.StructType, target:
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates([key])
-        try:
+        if exists(batch.sparkSession, target):  # of the target only the keys are read
             fresh = new_only(fresh, batch.sparkSession.read.parquet(target), key)
-        except Exception as missing:  # the first batch finds no target
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
         work(fresh).write.mode("append").parquet(target)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)

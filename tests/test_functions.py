@@ -142,3 +142,34 @@ def test_mahalanobis():
     inverse = np.linalg.inv(np.cov(x, rowvar=False))
     d = distance.mahalanobis(x, inverse)
     assert d[2, 7] == pytest.approx(math.sqrt((x[2] - x[7]) @ inverse @ (x[2] - x[7]))) and np.allclose(d, d.T)
+
+
+def test_matches_of_both_chains(spark):
+    from paratope.operators import alleles
+
+    reference = spark.createDataFrame(
+        [("heavy", "human", "A*01:01:01", "MAAAACDEFG", "Partial", 0), ("heavy", "human", "A*02:01:03", "MAAAACDEFH", "Full", 1), ("beta", "human", "DRB1*01:01:01", "GGGHIKL", "Full", 2), ("heavy", "mouse", "H2-Kb", "CDEFGHIKL", "Full", 3)],
+        "chain string, species string, name string, sequence string, status string, ord int",
+    )
+    light = spark.createDataFrame([("human", "B2M", "LIGHTSEQ"), ("mouse", "B2M", "MOUSELIGHT")], "species string, name string, sequence string")
+    rows = [("j1", "human", "I", "heavy", "xAAACDEFx", "light", "anything"), ("j2", "human", "I", "heavy", "ACDEFG", "light", None), ("j3", "human", "II", "heavy", "MAAA", "beta", "GGHI"), ("j4", "mouse", "I", "heavy", "CDEFG", "light", "x")]
+    df = spark.createDataFrame(rows, "j string, mhc_1_species string, mhc_class string, mhc_1_chain string, mhc_1_seq string, mhc_2_chain string, mhc_2_seq string")
+    found = {r.j: r for r in alleles.with_matches(df, reference, light).collect()}
+    assert (found["j1"].mhc_1_name, found["j1"].mhc_1_match_size, found["j1"].mhc_1_status, found["j1"].mhc_1_name_maxres) == ("A*02:01", 7, "Full", "A*02:01:03")
+    assert found["j1"].mhc_1_match_proportion == 7 / 9 and (found["j1"].mhc_2_name, found["j1"].mhc_2_match_seq, found["j1"].mhc_2_match_size, found["j1"].mhc_2_status) == ("B2M", "LIGHTSEQ", None, "Full")
+    assert (found["j2"].mhc_1_name, found["j2"].mhc_2_name, found["j2"].mhc_2_match_seq, found["j2"].mhc_2_status) == ("A*01:01", None, None, None)
+    assert (found["j3"].mhc_2_name, found["j3"].mhc_2_match_proportion, found["j3"].mhc_2_maxres) == ("DRB1*01:01", 1.0, "DRB1*01:01:01")
+    assert (found["j4"].mhc_1_name, found["j4"].mhc_2_match_seq) == ("H2-Kb", "MOUSELIGHT") and len(found) == 4
+
+
+def test_a_status_must_be_there_once(spark):
+    import pytest
+
+    from paratope.operators import alleles
+
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    one = spark.createDataFrame([("a", "Full"), ("b", "Partial"), ("c", "Full")], "Allele string, Partial string")
+    assert {r.name: r.status for r in alleles.with_status(names, one).collect()} == {"a": "Full", "b": "Partial"}
+    for statuses in (one.filter("Allele <> 'b'"), one.unionByName(one)):
+        with pytest.raises(Exception, match="exactly one status"):
+            alleles.with_status(names, statuses).collect()

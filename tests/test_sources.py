@@ -39,6 +39,9 @@ def test_registry(spark):
     with pytest.raises(Exception, match="several rows"):
         jobs.exactly_one(old.union(old), ["k"]).collect()
     assert [r.k for r in jobs.missing(fresh, old, ["k"]).collect()] == ["s3"]
+    assert [r.path for r in jobs.exactly_one(old, ["k"], fresh.filter("k = 's2'").union(fresh.filter("k = 's2'"))).collect()] == ["p2"]
+    with pytest.raises(Exception, match="no row: s3"):
+        jobs.exactly_one(old, ["k"], fresh).collect()
     names = spark.createDataFrame([("peptide", "AB"), ("tcr", "AB")], "kind string, s string").select(jobs.registry_name(F.col("kind"), F.col("s")).alias("n")).collect()
     assert names[0].n == "AB" and len(names[1].n) == 64
 
