@@ -117,6 +117,13 @@ def mouse_domain(name: Column, which: Column, seq: Column) -> Column:
     return rules
 
 
+def with_mouse_sequence(df: DataFrame, chains: DataFrame, name: str, which: str, out: str, top_only: bool = True) -> DataFrame:
+    """Adds the sequence of a mouse chain by its name and kind, from (name, chain, sequence); unknown ones give null."""
+    known = chains.select(F.col("name").alias("_name"), F.col("chain").alias("_chain"), F.col("sequence").alias("_seq"))
+    joined = df.join(F.broadcast(known), (F.col(name) == F.col("_name")) & (F.col(which) == F.col("_chain")), "left")  # one row a chain of a fixed table
+    return joined.withColumn(out, mouse_domain(F.col(name), F.col(which), F.col("_seq")) if top_only else F.col("_seq")).drop("_name", "_chain", "_seq")
+
+
 def with_sequence(df: DataFrame, alleles: DataFrame, name: str, out: str, top_only: bool = True) -> DataFrame:
     """Adds the chain's sequence from a table (name, sequence); names without one give null. A name resolved to fewer fields than the table's takes the first full name it begins, and names that end in N aren't expressed."""
     usable = alleles.filter(~F.col("name").endswith("N")).select(F.col("name").alias("_full"), "sequence")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,17 @@ def allele_proteins(spark: SparkSession, path: str) -> DataFrame:
     return read_fasta(spark, path).select(name.alias("name"), "sequence").filter(~F.col("name").endswith("N"))
 
 
+def allele_reference(spark: SparkSession, files: dict[str, list[str]], statuses: DataFrame, species: str = "human") -> DataFrame:
+    """The alleles of FASTA files by chain as a reference of matching: chain, species, name, sequence, status, ord (the files' and records' order). statuses(Allele, Partial) has one row an allele."""
+    from paratope.operators.alleles import with_status
+
+    parts = []
+    for i, (chain, path) in enumerate((c, p) for c, paths in files.items() for p in paths):
+        named = read_fasta(spark, path).select(F.get(F.split("description", r"\s+"), F.lit(1)).alias("name"), "sequence", "at").filter(~F.col("name").endswith("N"))
+        parts.append(named.select(F.lit(chain).alias("chain"), F.lit(species).alias("species"), "name", "sequence", F.struct(F.lit(i).alias("file"), "at").alias("ord")))
+    return with_status(reduce(lambda a, b: a.unionByName(b), parts), statuses).select("chain", "species", "name", "sequence", "status", "ord")
+
+
 def fasta_text(sequences: Column) -> Column:
     """A FASTA text of a list of sequences with headers 1, 2, ..."""
     return F.concat(F.array_join(F.transform(sequences, lambda s, i: F.concat(F.lit(">"), (i + 1).cast("string"), F.lit("\n"), s)), "\n"), F.lit("\n"))

@@ -73,3 +73,42 @@ def test_new_files_are_worked_on_once(spark, tmp_path):
     spark.createDataFrame([(2, "again"), (3, "c")], schema).write.mode("append").parquet(source)
     run()
     assert sorted((r.k, r.done) for r in spark.read.parquet(target).collect()) == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_files_are_copied_once(spark, tmp_path):
+    import gzip
+
+    from paratope.sources import files
+
+    for name, content in (("a/x.json", b"one"), ("a/b/y.json", b"two!"), ("a/b/z.txt", b"no")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    run = lambda **o: sorted(tuple(r) for r in files.copy_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), "*.json", **o).collect())
+    assert run() == [("a/b/y.json", 4, True), ("a/x.json", 3, True)] and run() == [("a/b/y.json", 4, False), ("a/x.json", 3, False)]
+    assert (tmp_path / "out/a/x.json").read_bytes() == b"one" and not (tmp_path / "out/a/b/z.txt").exists()
+    assert all(r[2] for r in run(codec="gzip")) and gzip.decompress((tmp_path / "out/a/x.json.gz").read_bytes()) == b"one"
+
+
+def test_ranking_scores(spark, tmp_path):
+    from paratope.sources import files
+
+    h5py = pytest.importorskip("h5py")
+    with h5py.File(tmp_path / "j.h5", "w") as f:
+        f["ranking_scores/seed"], f["ranking_scores/ranking_score"] = [1, 2], [0.5, 0.25]
+    assert sorted(tuple(r) for r in files.ranking_scores(spark, str(tmp_path / "*.h5")).collect()) == [("j", 1, 0.5), ("j", 2, 0.25)]
+
+
+def test_references_of_matching(spark, tmp_path):
+    from paratope.functions import hla, sequences
+
+    (tmp_path / "a.fasta").write_text(">HLA:1 A*01:01 3 bp\nMAV\n>HLA:2 A*02:01N 3 bp\nMAA\n>HLA:3 A*03:01 3 bp\nMAC\n")
+    (tmp_path / "b.fasta").write_text(">HLA:4 DRB1*01:01 3 bp\nGGG\n")
+    statuses = spark.createDataFrame([("A*01:01", "Full"), ("A*03:01", "Partial"), ("DRB1*01:01", "Full")], "Allele string, Partial string")
+    rows = fasta.allele_reference(spark, {"heavy": [str(tmp_path / "a.fasta")], "beta": [str(tmp_path / "b.fasta")]}, statuses).orderBy("ord").collect()
+    assert [(r.chain, r.name, r.status) for r in rows] == [("heavy", "A*01:01", "Full"), ("heavy", "A*03:01", "Partial"), ("beta", "DRB1*01:01", "Full")]
+    df = spark.createDataFrame([("H2-Kb", "heavy"), ("B2M", "light"), ("H2-Kb", "beta")], "n string, c string")
+    found = {(r.n, r.c): (r.s, r.top) for r in hla.with_mouse_sequence(hla.with_mouse_sequence(df, sequences.mouse_chains(spark), "n", "c", "s", top_only=False), sequences.mouse_chains(spark), "n", "c", "top").collect()}
+    assert found["H2-Kb", "beta"] == (None, None) and found["H2-Kb", "heavy"][1] == found["H2-Kb", "heavy"][0][21:305] and found["B2M", "light"][0] == found["B2M", "light"][1]
+    known = hla.with_sequence(spark.createDataFrame([("DRA*01:02",), ("B2M",)], "n string"), sequences.human_constants(spark), "n", "s").collect()
+    assert {r.n: len(r.s) for r in known} == {"DRA*01:02": 190, "B2M": len(sequences.HUMAN["B2M"])}
+    assert {r.species for r in sequences.light_chains(spark).collect()} == {"human", "mouse"} and len(sequences.MOUSE) == 12
