@@ -66,8 +66,8 @@ def symbols(url: Column) -> Column:
 
 
 def _grams(norm: Column) -> Column:
-    padded = F.concat(F.lit("^" * ORDER), norm, F.lit("$"))
-    return let(padded, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - ORDER), lambda i: s.substr(i, F.lit(ORDER + 1))))
+    padded = F.split(F.concat(F.lit("^" * ORDER), norm, F.lit("$")), "")  # single characters are found by place, so a long URL takes no longer a character
+    return let(padded, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - ORDER - 1), lambda i: F.concat(*(F.get(s, i + j) for j in range(ORDER + 1)))))
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:

@@ -189,3 +189,13 @@ def test_small_sources_and_rows_without_an_id_are_mixed(spark):
     mixed = mixing.mixed_documents(documents(spark, rows, extra=True), shard_docs=100)
     words = {r.source: r.n for r in mixed.groupBy("source").agg({"text": "count"}).withColumnRenamed("count(text)", "n").collect()}
     assert words["b"] == 6 and words["c"] == 3 and words["a"] * 6 == pytest.approx(taken["a"], rel=0.02)
+
+
+def test_long_and_repeated_urls(spark):
+    rows = [(i, None) for i in range(2000)] + [(5000 + i, "http://a.net/es/" + "x" * 50_000) for i in range(3)] + [(6000 + i, "http://b.org/same") for i in range(2000)] + [(9000, "http://c.org/" + "ab/" * 30_000), (9001, ""), (9001, "://"), (None, "http://com/x")]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' AS norm", "1 AS bucket")
+    found = url_filter.judge_urls(df).collect()
+    assert len(found) == len(rows) and {r.verdict for r in found} <= {"allow", "block"}
+    by_id = {r.page_id: r for r in found}
+    assert (by_id[5000].rule, by_id[5000].verdict) == ("net/es/", "block") and by_id[None].rule == "com/" and (by_id[0].host, by_id[0].path, by_id[0].rule) == ("", "", None)
+    assert len({r.verdict for r in found if r.page_id and 6000 <= r.page_id < 8000}) == 1 and len(by_id[9000].path) == 90_001
