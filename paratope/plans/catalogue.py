@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paratope.functions import hla, keys, text
+from paratope.functions.keys import key_id
 from paratope.operators import alleles, evaluation, negatives, relational
 from paratope.operators.features import REGIONS
 from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, DOCKING_COLUMNS, TCR_COLUMNS, TRIAD_COLUMNS
@@ -77,6 +78,21 @@ def edit_theta_join(spark, sf_dir):
     return a.join(b, differ & negatives.edit_sum("a", "b", 3)).select(F.col("a.peptide").alias("name_a"), F.col("a.mhc_1_seq").alias("type_a"), F.col("b.peptide").alias("name_b"), F.col("b.mhc_1_seq").alias("type_b"))
 
 
+@query(
+    "close_antigens",
+    """WITH a AS (SELECT DISTINCT p_name, p_type FROM part) SELECT x.p_name AS name_a, x.p_type AS type_a, y.p_name AS name_b, y.p_type AS type_b FROM a x JOIN a y ON levenshtein(x.p_name, y.p_name) + levenshtein(x.p_type, y.p_type) <= 3""",
+)
+def close_antigens(spark, sf_dir):
+    """What the pairs above leave out, found by shared segments."""
+    part = table(spark, sf_dir, "part")
+    given = {"peptide": F.col("p_name"), "mhc_1_seq": F.col("p_type"), "mhc_2_seq": F.lit("light")}
+    antigens = part.select(*(given.get(c, F.lit("x")).alias(c) for c in ANTIGEN_COLUMNS)).distinct()
+    named = antigens.select(key_id(ANTIGEN_COLUMNS).alias("id"), "peptide", "mhc_1_seq")
+    side = lambda n, key: named.select(F.col("id").alias(key), F.col("peptide").alias(f"name_{n}"), F.col("mhc_1_seq").alias(f"type_{n}"))
+    pairs = negatives.close_antigens(antigens, antigens)
+    return pairs.join(side("a", "antigen_id"), "antigen_id").join(side("b", "source_id"), "source_id").drop("antigen_id", "source_id")
+
+
 def _loops(supplier: DataFrame) -> DataFrame:
     """s_suppkey and the loops of a stand-in receptor, spelled from hashes of the supplier's name; third loops have 11 to 13 residues."""
     spelled = F.translate(F.concat(F.md5("s_name"), F.sha1("s_name")), "0123456789abcdef", "AAAACCCCDDDDEEEE")
