@@ -17,7 +17,7 @@ the index, one block.
     footer = u64 at of index, u64 at of bloom, u64 documents, u64 ids, u32 bytes an id, u32 version, 8 bytes magic
 
 Cases: null and empty texts hold the end id only; rows that repeat a doc_id are kept each, ordered by
-their text's hash; a null doc_id comes first; an empty table writes no shard and gives an empty result;
+their text's hash, and rows equal in both stand in one shard, whose task streams them; a null doc_id comes first; an empty table writes no shard and gives an empty result;
 extra columns are ignored; texts are whole, of any length.
 """
 

@@ -175,3 +175,9 @@ def test_repeated_and_missing_ids_are_kept(spark):
     assert sorted(((r.doc_id or 0), r.n_tokens) for r in found) == [(0, 1), (0, 2), (1, 2), (1, 2), (1, 4)]
     order = sorted(found, key=lambda r: r.start)
     assert order[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(order, order[1:], strict=False)) and order[0].doc_id is None
+
+
+def test_many_equal_rows_are_streamed_into_one_shard(spark):
+    found, shards = round_trip(spark, documents(spark, [(7, "the same words again")] * 3000 + [(i, "x") for i in range(5)]))
+    same = sorted((r.start, r.n_tokens) for r in found if r.doc_id == 7)
+    assert len(same) == 3000 and all(a + n == b for (a, n), (b, _) in zip(same, same[1:], strict=False)) and sum(s[2] for s in shards) == sum(r.n_tokens for r in found)
