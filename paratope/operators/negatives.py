@@ -111,10 +111,11 @@ def near_receptors(focal: DataFrame, donor: DataFrame, reach: int = REACH, loops
     return rows.groupBy(*cell).applyInArrow(_edges(reach, loops), "a string, b string, dist long")
 
 
-def negative_candidates(positive: DataFrame, donors: DataFrame, reach: int = REACH, edits: int = EDITS, strict_donor: bool = False, near: DataFrame | None = None) -> DataFrame:
+def negative_candidates(positive: DataFrame, donors: DataFrame, reach: int = REACH, edits: int = EDITS, strict_donor: bool = False, near: DataFrame | None = None, with_sources: bool = True) -> DataFrame:
     """Candidate triads of every antigen with each source antigen they come from: triad and CDR columns and source_ columns.
 
-    near: (a, b) of receptors within reach, if it is known already.
+    near: (a, b) of receptors within reach, if it is known already. Without sources each triad comes once, and
+    its sources are only counted: a receptor is a candidate if fewer of its antigens are barred than it has.
     """
     pos, neg = (settled(with_ids(df.select(*TRIAD_COLUMNS, *CDR_COLUMNS))) for df in (positive, donors))
     near = near if near is not None else near_receptors(pos, neg, reach)
@@ -131,6 +132,11 @@ def negative_candidates(positive: DataFrame, donors: DataFrame, reach: int = REA
     # every antigen is offered every donor receptor, from every antigen of its: what is barred is the exception
     pairs = receptors.join(offers.select("tcr_id").distinct().repartition(tasks), "tcr_id").crossJoin(antigens).join(close, ["antigen_id", "tcr_id"], "left_anti")
     named = with_job_name(pairs.withColumn("cognate", F.lit(False)), TRIAD_HASHED).repartition(tasks, "tcr_id")
+    if not with_sources:
+        held = offers.groupBy("tcr_id").agg(F.count(F.lit(1)).alias("_held"))
+        lost = offers.join(barred, "source_id").groupBy("antigen_id", "tcr_id").agg(F.count(F.lit(1)).alias("_lost"))
+        left = named.join(held, "tcr_id").join(lost, ["antigen_id", "tcr_id"], "left").filter(F.col("_held") > F.coalesce("_lost", F.lit(0)))
+        return left.select(*TRIAD_COLUMNS, *CDR_COLUMNS)
     kept = named.join(offers, "tcr_id").join(barred, ["antigen_id", "source_id"], "left_anti")
     return kept.join(sources, "source_id").select(*TRIAD_COLUMNS, *CDR_COLUMNS, *SOURCE_COLUMNS)
 
@@ -187,7 +193,7 @@ def sample_to(needed: DataFrame, candidates: DataFrame, seed: str = "42", keys:
 
 def matched_negatives(triads: DataFrame, per_positive: int, reach: int = REACH, edits: int = EDITS, seed: str = "42") -> DataFrame:
     """For each triad up to per_positive receptors of other antigens, drawn in a seeded order from the candidates; bounded, unlike rejection sampling."""
-    candidates = negative_candidates(triads, triads, reach, edits).dropDuplicates(["job_name"])
+    candidates = negative_candidates(triads, triads, reach, edits, with_sources=False).dropDuplicates(["job_name"])
     counts = demand(triads, per_positive)
     ordered = candidates.join(counts, ANTIGEN_COLUMNS).withColumn("_o", seeded_order(seed, "job_name"))
     rank = F.row_number().over(Window.partitionBy(*ANTIGEN_COLUMNS).orderBy("_o"))

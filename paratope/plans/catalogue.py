@@ -162,6 +162,25 @@ def strict_donor_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir, True)
 
 
+@query(
+    "matched_negatives",
+    f"""WITH {_DIST},
+       pos AS (SELECT DISTINCT p_name, p_type, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
+       pa AS (SELECT DISTINCT p_name, p_type FROM pos),
+       far AS (SELECT x.p_name, x.p_type, y.p_name AS sn, y.p_type AS st FROM pa x JOIN pa y ON levenshtein(x.p_name, y.p_name) + levenshtein(x.p_type, y.p_type) > 3),
+       bad AS (SELECT DISTINCT p_name, p_type, b FROM pos JOIN dist ON l_suppkey = a WHERE dist <= 140),
+       cand AS (SELECT DISTINCT far.p_name, far.p_type, o.l_suppkey FROM far JOIN pos o ON o.p_name = sn AND o.p_type = st),
+       open AS (SELECT c.* FROM cand c ANTI JOIN bad ON c.p_name = bad.p_name AND c.p_type = bad.p_type AND c.l_suppkey = bad.b),
+       need AS (SELECT p_name, p_type, count(*) AS n FROM pos GROUP BY ALL),
+       ranked AS (SELECT o.*, n, row_number() OVER (PARTITION BY p_name, p_type ORDER BY md5('42|' || md5(p_name || p_type || 'light' || l_suppkey || 'b'))) AS rn FROM open o JOIN need USING (p_name, p_type))
+       SELECT p_name, p_type, l_suppkey::VARCHAR AS receptor FROM ranked WHERE rn <= n""",
+)
+def matched_negatives(spark, sf_dir):
+    """As many receptors of other antigens as an antigen has of its own, where there are so many."""
+    found = negatives.matched_negatives(_stand_in_triads(spark, sf_dir, True), 1, reach=140)
+    return found.select(F.col("peptide").alias("p_name"), F.col("mhc_1_seq").alias("p_type"), F.col("tcr_1_seq").alias("receptor"))
+
+
 @query("antigen_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def antigen_anti(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))

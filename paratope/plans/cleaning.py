@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +12,7 @@ from paratope.functions import hla, keys, text
 from paratope.operators import alleles, evaluation, features, negatives, relational
 from paratope.plans import jobs as plans
 from paratope.plans.catalogue import _DIST, _loops, query, table
+from paratope.schema import DOCKING_COLUMNS
 from paratope.session import shared_dir
 from paratope.sources import fasta, structures, tables
 from paratope.sources import jobs as job_files
@@ -299,3 +301,47 @@ def composed_jobs(spark, sf_dir):
     peptide = supplier.limit(1).select(F.lit("peptide").alias("kind"), F.lit("PEP").alias("sequence"), stored("peptide", F.lit("PEP"), "").alias("document"))
     return plans.composed_inputs(triads, mhc.unionByName(peptide), [1, 2])
 
+
+
+@query(
+    "docking_files",
+    "SELECT n_name AS job_name, " + ", ".join(f"CASE WHEN n_nationkey < 5 THEN n_nationkey + {i} + 0.5::DOUBLE END AS {c}" for i, c in enumerate(DOCKING_COLUMNS)) + " FROM nation",
+)
+def docking_files(spark, sf_dir):
+    """Geometry from one file a job; five jobs have one, the others get nulls."""
+    path = _scratch(spark, "docking")
+    store, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store.create_dir(folder, recursive=True)
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("job_name"), "n_nationkey")
+    for row in nation.filter("n_nationkey < 5").collect():
+        with store.open_output_stream(f"{folder}/{row.job_name}.tsv") as out:
+            out.write(("\t".join(DOCKING_COLUMNS) + "\n" + "\t".join(str(row.n_nationkey + i + 0.5) for i in range(len(DOCKING_COLUMNS))) + "\n").encode())
+    return tables.docking_features(spark, nation.select("job_name"), f"{path}/*.tsv")
+
+
+_CHOICE = """WITH asked AS (SELECT DISTINCT p_name AS seq, 'heavy' AS chain FROM part UNION ALL SELECT DISTINCT p_type, 'beta' FROM part),
+       ref AS (SELECT 'heavy' AS chain, p_brand || ':01:02' AS name, min(p_name) AS sequence, min(p_partkey) AS ord FROM part GROUP BY p_brand UNION ALL SELECT 'beta', p_type || ':05', 'XX' || p_type, min(p_partkey) FROM part GROUP BY p_type),
+       pieces AS (SELECT DISTINCT seq, chain, substr(seq, i, n) AS piece FROM asked, unnest(range(1, length(seq) + 1)) AS a(i), unnest(range(1, length(seq) + 1)) AS b(n) WHERE i + n <= length(seq) + 1),
+       sized AS (SELECT seq, chain, name, sequence, ord, coalesce(max(length(piece)) FILTER (contains(sequence, piece)), 0) AS size FROM pieces JOIN ref USING (chain) GROUP BY ALL),
+       best AS (SELECT *, CASE WHEN ord % 2 = 0 THEN 'Full' ELSE 'Partial' END AS status, array_to_string(string_split(name, ':')[1:2], ':') AS short FROM sized QUALIFY row_number() OVER (PARTITION BY seq, chain ORDER BY size DESC, CASE WHEN ord % 2 = 0 THEN 0 ELSE 1 END, ord) = 1)"""
+
+
+@query(
+    "allele_choice",
+    _CHOICE
+    + """ SELECT p_partkey, h.short AS mhc_1_name, h.name AS mhc_1_name_maxres, h.size AS mhc_1_match_size, round(h.size::DOUBLE / length(p_name), 6) AS mhc_1_match_proportion, h.status AS mhc_1_status,
+       CASE p_size % 3 WHEN 0 THEN 'B2M' WHEN 2 THEN b.short END AS mhc_2_name, CASE p_size % 3 WHEN 0 THEN 'LIGHT' WHEN 2 THEN b.sequence END AS mhc_2_match_seq, CASE WHEN p_size % 3 = 2 THEN b.size END AS mhc_2_match_size, CASE p_size % 3 WHEN 0 THEN 'Full' WHEN 2 THEN b.status END AS mhc_2_status
+       FROM part JOIN best h ON h.seq = p_name AND h.chain = 'heavy' JOIN best b ON b.seq = p_type AND b.chain = 'beta'""",
+)
+def allele_choice(spark, sf_dir):
+    """Both chains' alleles: a heavy chain each, beside a light chain, none or a beta chain."""
+    part = table(spark, sf_dir, "part")
+    kind = F.col("p_size") % 3
+    second = F.when(kind == 0, F.col("p_brand")).when(kind == 2, F.col("p_type"))
+    rows = part.select("p_partkey", F.lit("human").alias("mhc_1_species"), F.lit("heavy").alias("mhc_1_chain"), F.col("p_name").alias("mhc_1_seq"), F.when(kind == 2, "beta").otherwise("light").alias("mhc_2_chain"), second.alias("mhc_2_seq"))
+    heavy = part.groupBy("p_brand").agg(F.min("p_name").alias("sequence"), F.min("p_partkey").alias("ord")).select(F.lit("heavy").alias("chain"), F.concat("p_brand", F.lit(":01:02")).alias("name"), "sequence", "ord")
+    beta = part.groupBy("p_type").agg(F.min("p_partkey").alias("ord")).select(F.lit("beta").alias("chain"), F.concat("p_type", F.lit(":05")).alias("name"), F.concat(F.lit("XX"), "p_type").alias("sequence"), "ord")
+    reference = heavy.unionByName(beta).withColumns({"species": F.lit("human"), "status": F.when(F.col("ord") % 2 == 0, "Full").otherwise("Partial")})
+    light = spark.createDataFrame([("human", "B2M", "LIGHT")], "species string, name string, sequence string")
+    found = alleles.with_matches(rows, reference, light)
+    return found.select("p_partkey", "mhc_1_name", "mhc_1_name_maxres", "mhc_1_match_size", F.round("mhc_1_match_proportion", 6).alias("mhc_1_match_proportion"), "mhc_1_status", "mhc_2_name", "mhc_2_match_seq", "mhc_2_match_size", "mhc_2_status")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paratope.operators import features
-from paratope.plans.catalogue import query, table
+from paratope.plans.catalogue import ORACLES, query, table
 
 MHC_SIZE, TCR_SIZE = 44, 16
 _SIZES = [("peptide", None), ("mhc_1", MHC_SIZE), ("mhc_2", MHC_SIZE), ("tcr_1", TCR_SIZE), ("tcr_2", TCR_SIZE)]
@@ -197,3 +197,15 @@ def summary_metrics(spark, sf_dir):
     document = F.to_json(F.struct(*(v.alias(n) for n, v in scalars.items()), grid.alias("chain_pair_pae_min"), grid.alias("chain_pair_iptm"), chains.alias("chain_ptm"), chains.alias("chain_iptm")))
     found = features.summary_metrics(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("job_name"), document.alias("document")))
     return found.select("job_name", *features.SUMMARY_SCALARS, F.size("chain_iptm").alias("n_chains"), F.get(F.get("chain_pair_iptm", F.lit(1)), F.lit(1)).alias("chain_pair_last"), F.get("chain_ptm", F.lit(1)).alias("last_chain_ptm"))
+
+
+_EXTRACTED = {"peptide_plddt": "peptide_mean_pLDDT", "helix_plddt": "mhc_helices_mean_pLDDT", "mean_pae": "mean_mhc_tcr_pae", "contact_map": "tcr_mhc_contacts", "cdr_plddt": "tcr_1_cdr_3_mean_pLDDT"}
+
+
+@query("extract_features", f"SELECT job_name, {', '.join(_EXTRACTED.values())} FROM " + " JOIN ".join(f"({ORACLES[n]}) AS {n}{' USING (job_name)' if i else ''}" for i, n in enumerate(_EXTRACTED)))
+def extract_features(spark, sf_dir):
+    """All features whose tables are there, one row a job."""
+    tables = complexes(spark, sf_dir)
+    found = features.extract(tables)
+    rounded = [F.col(c) if c == "tcr_mhc_contacts" else F.round(c, 6).alias(c) for c in _EXTRACTED.values()]
+    return found.select("job_name", *rounded)

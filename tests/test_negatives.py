@@ -57,6 +57,9 @@ def test_candidates_equal_brute_force(tables, strict):
     assert got == brute(pos.collect(), neg.collect(), REACH, strict) and (got or strict)
     assert len(got) < len(brute(pos.collect(), neg.collect(), -1))
     assert not any(r.cognate for r in found)
+    bare = negatives.negative_candidates(pos, neg, reach=REACH, strict_donor=strict, with_sources=False).collect()
+    once = [(tuple(r[c] for c in ANTIGEN_COLUMNS), tuple(r[c] for c in TCR_KEY)) for r in bare]
+    assert len(once) == len(set(once)) and set(once) == {(a, t) for a, _, t in got}
 
 
 def test_near_receptors_equal_all_distances(tables, monkeypatch):
