@@ -11,10 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paratope.functions.helices import helical
 from paratope.operators.relational import geometric_mean, islands
+from paratope.session import ship
 
 PEPTIDE, MHC, TCR = ("peptide",), ("mhc_1", "mhc_2"), ("tcr_1", "tcr_2")
 #: IMGT numbers of the receptor regions; cdr_2_5 lies inside fwr_3.
@@ -140,6 +144,24 @@ def loop_confidence(atoms: DataFrame, numbered: DataFrame) -> DataFrame:
     return rows.withColumn("_f", F.concat("role", F.lit("_"), "region", F.lit("_mean_pLDDT"))).groupBy("job_name").pivot("_f", names).agg(F.avg("plddt"))
 
 
+def helix_flags(atoms: DataFrame) -> DataFrame:
+    """(job_name, role, resindex, is_helix) of every residue, from the backbone atoms (N, CA, C, O) of each job's chains; residues without all four are no helix and part nothing."""
+    ship(atoms.sparkSession)
+    names = ["N", "CA", "C", "O"]
+    residues = atoms.groupBy("job_name", "role", "resindex").agg(*(F.max(F.when(F.col("name") == n, F.array("x", "y", "z"))).alias(f"_{n}") for n in names))
+
+    def flag(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("resindex", kind="stable", ignore_index=True)
+        points = batch[[f"_{n}" for n in names]]
+        whole = points.notna().all(axis=1).to_numpy()
+        inside = np.zeros(len(batch), bool)
+        if whole.any():
+            inside[whole] = helical(np.array([[list(p) for p in row] for row in points[whole].to_numpy()], float))
+        return batch[["job_name", "role", "resindex"]].assign(is_helix=inside)
+
+    return residues.groupBy("job_name", "role").applyInPandas(flag, "job_name string, role string, resindex int, is_helix boolean")
+
+
 def mhc_helices(residues: DataFrame, jobs: DataFrame) -> DataFrame:
     """job_name, helix (from 0), first, last of each MHC helix: runs of helical residues with gaps up to ten filled, fifteen long at least."""
     used = residues.join(jobs.select("job_name", "mhc_class"), "job_name").filter(_used_mhc(F.col("role")) & F.col("is_helix"))
