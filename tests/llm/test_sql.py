@@ -12,4 +12,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_each_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
