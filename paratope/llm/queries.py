@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paratope.llm import centroids, langid, license_scan, line_dedup, mixing, near_dedup, piece_codec, quality, runs, sstable, topk, url_filter
+from paratope.llm import centroids, langid, license_scan, line_dedup, mixing, near_dedup, piece_codec, quality, runs, sstable, topk, url_filter, word_codec
 from paratope.llm.common import table
 
 
@@ -67,5 +67,9 @@ def op13_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.repeat_runs(documents, outputs=("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_topk": op2_topk, "op3_language_id": op3_language_id, "op9_sstable": op9_sstable, "op10_piece_codec": op10_piece_codec, "op4_line_dedup": op4_line_dedup, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules, "op11_elkan_clusters": op11_elkan_clusters, "op13_repeat_runs": op13_repeat_runs}
+def op12_word_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_topk": op2_topk, "op3_language_id": op3_language_id, "op9_sstable": op9_sstable, "op10_piece_codec": op10_piece_codec, "op4_line_dedup": op4_line_dedup, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_mix_sources": op7_mix_sources, "op8_quality_rules": op8_quality_rules, "op11_elkan_clusters": op11_elkan_clusters, "op12_word_codec": op12_word_codec, "op13_repeat_runs": op13_repeat_runs}
 ORACLES = {"op1_near_dedup": near_dedup.ORACLE, "op2_topk": topk.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_url_filter": url_filter.ORACLE, "op7_mix_sources": mixing.ORACLE, "op8_quality_rules": quality.ORACLE, "op11_elkan_clusters": centroids.ORACLE}
