@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paratope.llm.chunks import byte_groups
-from paratope.llm.common import WORD, ship
+from paratope.llm.common import WORD, let, ship
 
 #: Words of the shortest run.
 LEAST = 12
@@ -455,10 +455,15 @@ def repeat_runs(documents: DataFrame, keys: tuple[str, ...] = ("doc_id",), outpu
 def planted(text: Column, doc_id: Column) -> Column:
     """The text of every tenth document, by a checksum of its id, made periodic from some word on; other texts as they are, and those without an id."""
     h = F.crc32(doc_id.cast("string"))
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     g = F.floor(h / 10)
-    n = F.size(words)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    periodic = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int"))))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(periodic, " ")).otherwise(text)
+
+    def periodic(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        # a and p are taken once, not for each word
+        spread = let(F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")), lambda v: F.transform(words, lambda w, i: F.when(i < v["a"], w).otherwise(F.get(words, v["a"] + F.pmod(i - v["a"], v["p"])))))
+        return F.when(n > 0, F.array_join(spread, " "))
+
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    return F.when(F.pmod(h, F.lit(10)) == 0, F.coalesce(let(words, periodic), text)).otherwise(text)
