@@ -309,17 +309,24 @@ def frequent_words(documents: DataFrame, spec: str, most: int = WORDS) -> list[s
     return rows["word"].tolist()
 
 
+#: Files that an application has, by their content's hash.
+_SENT: set[tuple[str, str]] = set()
+
+
 def shipped_lexicon(documents: DataFrame, spec: str, most: int = WORDS) -> str:
     """Compiles the lexicon of the corpus's frequent words and sends it to the executors; the file's name there."""
     own = WordCodec(spec)
     words = sorted({w.encode() for w in frequent_words(documents, spec, most)})
     data = compile_lexicon(words, own.many_ids(words))
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:32]}.bin"
+    name, application = f"lexicon-{hashlib.sha256(data).hexdigest()[:32]}.bin", documents.sparkSession.sparkContext.applicationId
+    if (application, name) in _SENT:
+        return name
     folder = tempfile.mkdtemp(prefix="paratope-lexicon-")  # of the driver, which serves it to the executors
     path = os.path.join(folder, name)
     with open(path, "wb") as f:
         f.write(data)
     documents.sparkSession.sparkContext.addFile(path)
+    _SENT.add((application, name))
     return name
 
 

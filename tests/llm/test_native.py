@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paratope.llm import license_scan, mixing, quality, url_filter
 from tests.llm.conftest import documents
@@ -199,3 +200,37 @@ def test_long_and_repeated_urls(spark):
     by_id = {r.page_id: r for r in found}
     assert (by_id[5000].rule, by_id[5000].verdict) == ("net/es/", "block") and by_id[None].rule == "com/" and (by_id[0].host, by_id[0].path, by_id[0].rule) == ("", "", None)
     assert len({r.verdict for r in found if r.page_id and 6000 <= r.page_id < 8000}) == 1 and len(by_id[9000].path) == 90_001
+
+
+def test_copies_follow_rows_where_an_id_comes_in_two_sources(spark):
+    rows = [(i, f"{s} " + "word " * 19, "en", s) for i in range(500) for s in "ac"] + [(i, "b " * 20, "en", "b") for i in range(1000, 1500)]
+    mixed = {r.source: (r.target, r.words) for r in mixing.mix_sources(documents(spark, rows)).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("words")).collect()}
+    out = mixing.mixed_documents(documents(spark, rows, extra=True))
+    words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    for source, (target, taken) in mixed.items():
+        assert abs(taken - target) <= mixing.BLOCK_WORDS
+        assert abs(words[source] - target) <= 20  # a document
+
+
+def test_equal_rows_share_their_copies(spark):
+    rows = [(7, "same text of five words", "en", "a")] * 40 + [(i, f"text {i} of five words", "en", s) for i in range(100, 160) for s in "ab"]
+    copies = sum(r.copies for r in mixing.mix_sources(documents(spark, rows)).filter("doc_id = 7").collect())
+    assert mixing.mixed_documents(documents(spark, rows)).filter("doc_id = 7").count() == copies > 0
+
+
+def test_many_shards_in_groups_reach_the_targets(spark):
+    rows = [(i, "w " * (i % 37), "en", "abc"[i % 7 % 3]) for i in range(3000)]
+    found = mixing.mix_sources(documents(spark, rows), shard_docs=20, group_shards=8).collect()
+    for source in "abc":
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= mixing.BLOCK_WORDS
+        assert all(r.taken <= 3 * r.size for r in own) and len({r.shard for r in own}) > 16
+
+
+def test_blocks_are_drawn_over_the_whole_shard(spark):
+    rows = [(i, "w " * 64, "en", "a") for i in range(400)] + [(i, "w " * 64, "en", "b") for i in range(400, 800)]
+    by_source = {}
+    for r in mixing.mix_sources(documents(spark, rows)).collect():
+        by_source.setdefault(r.source, []).append(r.taken)
+    # 1.43 and 0.57 rounds: an arc of the shard would take all documents but its two ends whole or not at all
+    assert sum(64 < t < 128 for t in by_source["a"]) > 100 and sum(0 < t < 64 for t in by_source["b"]) > 100

@@ -1,6 +1,7 @@
 """The whole pipeline against plain versions of its stages, and its cases."""
 
 import hashlib
+import re
 
 import duckdb
 import public_tokenizers
@@ -24,7 +25,7 @@ def fixture(docs):
         rows.append((10_000 + d, " ".join(words) if i % 2 else t, lang, source))
     shared = "This line of more than twenty characters stands in many documents."
     rows += [(20_000 + d, f"{shared}\n{t}\n  {shared.upper()} ", lang, None) for d, t, lang, source in short[30:40]]
-    return [*rows, (30_000, None, "en", "web"), (30_001, "", "en", "web"), (30_002, "12 34 !?", None, "web"), rows[3], (rows[5][0], "Other words under a number that is taken already, and enough of them to be told.", "en", rows[5][3])]
+    return [*rows, (30_000, None, "en", "web"), (30_001, "", "en", "web"), (30_002, "12 34 !?", None, "web"), rows[3], (rows[5][0], "Other words under a number that is taken already, and enough of them to be told.", "en", rows[5][3]), (rows[6][0], "The same number again with words of its own, kept by another source of texts than the first.", "en", "elsewhere")]
 
 
 def lines_dropped(rows):
@@ -39,14 +40,24 @@ def lines_dropped(rows):
     return [(d, "\n".join(line for line in (t or "").split("\n") if not gone(d, line)), *rest) for d, t, *rest in rows]
 
 
+WORDS = re.compile(r"[^\x20\x09-\x0D]")
+
+
 def copies(spark, rows):
+    """By row: equal rows share the copies of all of them; rows are told apart by id, text and source."""
     con = duckdb.connect()
-    con.register("documents", documents(spark, rows).toPandas())
-    taken = {}
-    for d, size, _, _, n in con.sql(mixing.ORACLE).fetchall():
-        if n > 0 and size > 0:
-            taken[d] = max(taken.get(d, 0), (2 * n + size) // (2 * size))
-    return [r for r in rows for _ in range(taken.get(r[0], 0))]
+    con.register("documents", documents(spark, rows).withColumn("n", F.monotonically_increasing_id()).toPandas())
+    statement = mixing.ORACLE.replace("SELECT doc_id, source, CAST(coalesce(len(", "SELECT n, doc_id, source, CAST(coalesce(len(", 1).replace("SELECT d.doc_id, d.source,", "SELECT d.n, d.doc_id, d.source,", 1)
+    head, tail = statement[: statement.rindex("SELECT doc_id, size")], statement[statement.rindex("FROM met") :]
+    taken = dict(con.sql(f"{head} SELECT n, CAST(take // z + (size > 0 AND 2 * off + size < 2 * rest)::INTEGER AS BIGINT) {tail}").fetchall())
+    order = [n for (n,) in con.sql("SELECT n FROM documents ORDER BY n").fetchall()]
+    equal = {}
+    for n, row in zip(order, rows, strict=True):
+        equal.setdefault(tuple(row), []).append(taken[n])
+    out = []
+    for row, marks in equal.items():
+        out += [row] * (sum(marks) if WORDS.search(row[1] or "") else 0)
+    return out
 
 
 def test_run_equals_plain_stages(spark, docs, tmp_path):
