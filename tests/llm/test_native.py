@@ -167,7 +167,7 @@ def test_licence_files_headers_and_tags(spark):
         "GPL-3.0": "/* " + wrapped(license_scan._GPL_HEADER.format(v=3), " * ") + " */" + code, "GPL-3.0/1": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\nPreamble",
         "GPL-2.0": wrapped(license_scan._GPL_HEADER.format(v=2), "; "), "BSD-3-Clause": "Copyright (c) 2001, X\nAll rights reserved.\n\n" + wrapped(" ".join([license_scan._BSD_GRANT, license_scan._BSD_THIRD, license_scan._BSD_WARRANTY])),
         "BSD-2-Clause": "BSD 2-Clause License\n\n" + wrapped("Copyright (c) 2001, X All rights reserved. " + license_scan._BSD_GRANT + " " + license_scan._BSD_WARRANTY), "MPL-2.0": "/* " + wrapped(license_scan._MPL_HEADER, " * ", 75) + " */" + code, "ISC": "ISC License\n\nCopyright (c) 2010 Y\n\n" + wrapped(license_scan._ISC),
-        "Unlicense": wrapped(license_scan._UNLICENSE), "CC0-1.0": "SPDX-License-Identifier: CC0-1.0", "None": "SPDX-License-Identifier: Foo-9.9" + code, "None/1": "You need a license to drive; the copyright of this song is ours.\n\nNo permission is hereby granted." + code,
+        "Unlicense": wrapped(license_scan._UNLICENSE), "CC0-1.0": "SPDX-License-Identifier: CC0-1.0", "Foo-9.9": "SPDX-License-Identifier: Foo-9.9" + code, "None": "You need a license to drive; the copyright of this song is ours.\n\nNo permission is hereby granted." + code,
     }
     df = spark.createDataFrame([(n, f"f{i}", t) for i, (n, t) in enumerate(texts.items())], "id string, path string, text string")
     found = {r.id: r.own_license for r in license_scan.scan_licenses(df).collect()}
