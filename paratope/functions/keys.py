@@ -37,5 +37,10 @@ def seeded_order(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns)))
 
 
+def seeded_number(seed: str, *columns: str) -> Column:
+    """32 bits of that order's MD5 as a number."""
+    return F.conv(F.substring(seeded_order(seed, *columns), 1, 8), 16, 10).cast("long")
+
+
 def epoch_days(date: Column) -> Column:
     return F.unix_date(date)

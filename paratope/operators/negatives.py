@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paratope.functions.distance import LOOPS, least_distance_by_length, receptor_distance, receptor_distances
-from paratope.functions.keys import key_id, seeded_order, with_ids, with_job_name
-from paratope.operators.relational import demand
+from paratope.functions.keys import key_id, with_ids, with_job_name
+from paratope.operators.draws import Pool, rejection_sample, strike_out_sample
 from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, SOURCE_COLUMNS, TCR_KEY, TRIAD_COLUMNS, TRIAD_HASHED
 from paratope.session import fitted, settled, ship
 
@@ -111,12 +111,8 @@ def near_receptors(focal: DataFrame, donor: DataFrame, reach: int = REACH, loops
     return rows.groupBy(*cell).applyInArrow(_edges(reach, loops), "a string, b string, dist long")
 
 
-def negative_candidates(positive: DataFrame, donors: DataFrame, reach: int = REACH, edits: int = EDITS, strict_donor: bool = False, near: DataFrame | None = None, with_sources: bool = True) -> DataFrame:
-    """Candidate triads of every antigen with each source antigen they come from: triad and CDR columns and source_ columns.
-
-    near: (a, b) of receptors within reach, if it is known already. Without sources each triad comes once, and
-    its sources are only counted: a receptor is a candidate if fewer of its antigens are barred than it has.
-    """
+def exceptions(positive: DataFrame, donors: DataFrame, reach: int, edits: int, strict_donor: bool = False, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(positive, donors, both with ids; offers(source_id, tcr_id) of the donors; close(antigen_id, tcr_id) and barred(antigen_id, source_id), the pairs that are no candidates)."""
     pos, neg = (settled(with_ids(df.select(*TRIAD_COLUMNS, *CDR_COLUMNS))) for df in (positive, donors))
     near = near if near is not None else near_receptors(pos, neg, reach)
     close = pos.select("antigen_id", F.col("tcr_id").alias("a")).distinct().join(near.select("a", "b"), "a").select("antigen_id", F.col("b").alias("tcr_id")).distinct()
@@ -124,6 +120,24 @@ def negative_candidates(positive: DataFrame, donors: DataFrame, reach: int = REA
     barred = close_antigens(pos, neg, edits)
     if strict_donor:
         barred = barred.unionByName(close.join(offers, "tcr_id").select("antigen_id", "source_id")).distinct()
+    return pos, neg, offers, close, barred
+
+
+def as_triads(pairs: DataFrame, pos: DataFrame, neg: DataFrame) -> DataFrame:
+    """Triads that aren't cognate, of (antigen_id, tcr_id)."""
+    antigens = pos.select("antigen_id", *ANTIGEN_COLUMNS).dropDuplicates(["antigen_id"])
+    receptors = neg.select("tcr_id", *TCR_KEY).dropDuplicates(["tcr_id"])
+    named = pairs.join(antigens, "antigen_id").join(receptors, "tcr_id").withColumn("cognate", F.lit(False))
+    return with_job_name(named, TRIAD_HASHED).select(*TRIAD_COLUMNS, *CDR_COLUMNS)
+
+
+def negative_candidates(positive: DataFrame, donors: DataFrame, reach: int = REACH, edits: int = EDITS, strict_donor: bool = False, near: DataFrame | None = None, with_sources: bool = True) -> DataFrame:
+    """Candidate triads of every antigen with each source antigen they come from: triad and CDR columns and source_ columns.
+
+    near: (a, b) of receptors within reach, if it is known already. Without sources each triad comes once, and
+    its sources are only counted: a receptor is a candidate if fewer of its antigens are barred than it has.
+    """
+    pos, neg, offers, close, barred = exceptions(positive, donors, reach, edits, strict_donor, near)
     antigens = pos.select("antigen_id", *ANTIGEN_COLUMNS).dropDuplicates(["antigen_id"])
     receptors = neg.select("tcr_id", *TCR_KEY).dropDuplicates(["tcr_id"])
     sources = neg.select(F.col("antigen_id").alias("source_id"), *(F.col(c).alias(s) for c, s in zip(ANTIGEN_COLUMNS, SOURCE_COLUMNS, strict=True))).dropDuplicates(["source_id"])
@@ -192,12 +206,24 @@ def sample_to(needed: DataFrame, candidates: DataFrame, seed: str = "42", keys:
 
 
 def matched_negatives(triads: DataFrame, per_positive: int, reach: int = REACH, edits: int = EDITS, seed: str = "42") -> DataFrame:
-    """For each triad up to per_positive receptors of other antigens, drawn in a seeded order from the candidates; bounded, unlike rejection sampling."""
-    candidates = negative_candidates(triads, triads, reach, edits, with_sources=False).dropDuplicates(["job_name"])
-    counts = demand(triads, per_positive)
-    ordered = candidates.join(counts, ANTIGEN_COLUMNS).withColumn("_o", seeded_order(seed, "job_name"))
-    rank = F.row_number().over(Window.partitionBy(*ANTIGEN_COLUMNS).orderBy("_o"))
-    return ordered.withColumn("_rn", rank).filter(F.col("_rn") <= F.col("needed_negs")).select(*TRIAD_COLUMNS, *CDR_COLUMNS)
+    """For each triad per_positive receptors of other antigens by rejection sampling, or all candidates where they don't suffice."""
+    pos, neg, offers, close, barred = exceptions(triads, triads, reach, edits)
+    needs = settled(pos.groupBy("antigen_id").agg((F.count(F.lit(1)) * per_positive).alias("need")))
+    return as_triads(rejection_sample(needs, Pool.of(offers), fitted(close), fitted(barred), seed), pos, neg)
+
+
+def drawn_negatives(needed: DataFrame, base: DataFrame, donor: DataFrame, barred_jobs: DataFrame | None = None, reach: int = REACH, edits: int = EDITS, seed: str = "42", near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(negatives, shortfall) of sample_to over the candidates of a donor table, which aren't listed: each antigen's needed_negs by draws.
+
+    base: the antigens' positive triads. barred_jobs: triads whose pairs aren't drawn again.
+    """
+    pos, neg, offers, close, barred = exceptions(base, donor, reach, edits, near=near)
+    if barred_jobs is not None:
+        close = close.unionByName(with_ids(barred_jobs).select("antigen_id", "tcr_id")).distinct()
+    needs = settled(needed.select(key_id(ANTIGEN_COLUMNS).alias("antigen_id"), F.col("needed_negs").alias("need")))
+    pairs, left = strike_out_sample(needs, Pool.of(offers), fitted(close), fitted(barred), seed)
+    short = needed.withColumn("antigen_id", key_id(ANTIGEN_COLUMNS)).drop("needed_negs").join(left.withColumnRenamed("need", "needed_negs"), "antigen_id")
+    return as_triads(pairs, pos, neg), short.select(*needed.columns)
 
 
 def all_distances(receptors: DataFrame, group: list[str], loops: dict = LOOPS) -> DataFrame:

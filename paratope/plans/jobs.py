@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paratope.functions import hla, text
 from paratope.functions.keys import with_job_name
 from paratope.operators.features import region_sequences
-from paratope.operators.negatives import negative_candidates, sample_to
+from paratope.operators.negatives import drawn_negatives
 from paratope.operators.relational import corrected, demand, fold_join, list_of, only_one
 from paratope.schema import ANTIGEN_COLUMNS, ANTIGEN_HASHED, CDR_COLUMNS, CDR_REGIONS, TRIAD_COLUMNS, TRIAD_HASHED
 from paratope.session import settled
@@ -134,10 +134,8 @@ def generate_negatives(base: DataFrame, donors: list[DataFrame], depth: int, see
     left, drawn = settled(demand(base, depth)), []
     for donor in donors:
         open_ = base.join(left.select(*ANTIGEN_COLUMNS), ANTIGEN_COLUMNS, "left_semi")
-        candidates = negative_candidates(open_, donor)
-        for earlier in drawn:
-            candidates = candidates.join(earlier.select("job_name"), "job_name", "left_anti")
-        more, left = map(settled, sample_to(left, settled(candidates), seed))
+        earlier = reduce(lambda a, b: a.unionByName(b), drawn) if drawn else None
+        more, left = map(settled, drawn_negatives(left, open_, donor, earlier, seed=seed))
         drawn.append(more)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), drawn, base), left
 

@@ -108,14 +108,99 @@ def test_whole_generation(tables):
     assert {r.job_name for r in out.collect()} == {r.job_name for r in rows}
 
 
-def test_matched_negatives_are_bounded(tables):
+def weights(pos, neg, reach):
+    """For each antigen its candidates and their chances in one draw: an even donor, then an even receptor of it."""
+    donors, own = defaultdict(set), defaultdict(set)
+    for r in neg:
+        donors[tuple(r[c] for c in ANTIGEN_COLUMNS)].add(tuple(r[c] for c in TCR_KEY))
+    for antigen, source, tcr in brute(pos, neg, reach):
+        own[antigen].add((source, tcr))
+    chances = {a: defaultdict(float) for a in own}
+    for a, pairs in own.items():
+        for source, tcr in pairs:
+            chances[a][tcr] += 1 / len(donors[source])
+    return {a: dict(c) for a, c in chances.items()}
+
+
+def test_matched_negatives_follow_the_law_of_rejection(tables):
+    """Each antigen's first draw over many seeds, by chi-square; and needs are met or all candidates taken."""
     pos, _ = tables
-    found = negatives.matched_negatives(pos, 1).collect()
-    counts = {tuple(r[c] for c in ANTIGEN_COLUMNS): r.needed_negs for r in relational.demand(pos, 1).collect()}
-    got = defaultdict(int)
-    for r in found:
-        got[tuple(r[c] for c in ANTIGEN_COLUMNS)] += 1
-    assert all(got[a] <= n for a, n in counts.items()) and found
+    rows = pos.collect()
+    chances = weights(rows, rows, REACH)
+    need = {tuple(r[c] for c in ANTIGEN_COLUMNS): r.needed_negs for r in relational.demand(pos, 1).collect()}
+    got = defaultdict(set)
+    for r in negatives.matched_negatives(pos, 1, reach=REACH).collect():
+        pair = (tuple(r[c] for c in ANTIGEN_COLUMNS), tuple(r[c] for c in TCR_KEY))
+        assert pair[1] not in got[pair[0]] and pair[1] in chances[pair[0]] and not r.cognate
+        got[pair[0]].add(pair[1])
+    assert {a: len(t) for a, t in got.items()} == {a: min(n, len(chances.get(a, ()))) for a, n in need.items() if a in chances}
+
+
+def test_draws_have_the_chances_of_their_donors(spark):
+    """Two donors, one with a single receptor: it comes in half of the first draws; late candidates follow the same law."""
+    from paratope.operators import draws
+
+    offers = spark.createDataFrame([("a", "only"), *(("b", f"b{i}") for i in range(30)), ("c", "only2"), ("c", "near")], "source_id string, tcr_id string")
+    needs = spark.createDataFrame([(f"antigen{i}", 1) for i in range(600)], "antigen_id string, need long")
+    close = needs.select("antigen_id", draws.F.lit("near").alias("tcr_id"))
+    barred = needs.select("antigen_id", draws.F.lit("x").alias("source_id"))
+    pool = draws.Pool.of(offers)
+    first = [r.tcr_id for r in draws.rejection_sample(needs, pool, close, barred, "1").collect()]
+    # chances 1/3, 1/3 and 1/6 of what is open: two fifths, two fifths, one fifth
+    assert len(first) == 600 and 200 < first.count("only") < 280 and 80 < first.count("only2") < 160 and "near" not in first
+    struck = draws.strike_out_sample(needs, pool, close, barred, "1")[0].collect()
+    assert 160 < sum(r.tcr_id == "only" for r in struck) < 240 and 160 < sum(r.tcr_id == "only2" for r in struck) < 240
+
+
+def test_late_draws_follow_the_same_law(spark, monkeypatch):
+    from paratope.operators import draws
+
+    monkeypatch.setattr(draws, "draws_for", lambda need: (need * 0).cast("long"))
+    offers = spark.createDataFrame([("a", "only"), *(("b", f"b{i}") for i in range(30))], "source_id string, tcr_id string")
+    needs = spark.createDataFrame([(f"antigen{i}", 1) for i in range(500)], "antigen_id string, need long")
+    none = needs.limit(0)
+    close, barred = none.select("antigen_id", draws.F.lit("").alias("tcr_id")), none.select("antigen_id", draws.F.lit("").alias("source_id"))
+    found = [r.tcr_id for r in draws.rejection_sample(needs, draws.Pool.of(offers), close, barred, "1").collect()]
+    assert len(found) == 500 and 210 < found.count("only") < 290
+
+
+def test_turns_are_taken_in_order(spark):
+    """Proposals all at once give what taking turns gives."""
+    import random
+
+    from paratope.operators import draws
+
+    rng = random.Random(4)
+    rows = [(a, r, j, f"t{rng.randrange(12)}") for a in "xyz" for r in range(15) for j in range(4) if rng.random() < 0.9]
+    wanted = {}
+    for a in "xyz":
+        struck = set()
+        for r in range(15):
+            for t in [t for b, q, _, t in sorted(rows) if (b, q) == (a, r)]:
+                if t not in struck:
+                    struck.add(t)
+                    wanted[a, r] = t
+                    break
+    found = draws.settled_draws(spark.createDataFrame(rows, "antigen_id string, r long, j int, tcr_id string")).collect()
+    assert {(x.antigen_id, x.r): x.tcr_id for x in found} == wanted
+
+
+def test_drawn_negatives_meet_their_demand_without_a_cross_join(tables):
+    pos, neg = tables
+    chances = weights(pos.collect(), neg.collect(), 120)
+    for depth in (1, 50):
+        needed = relational.demand(pos, depth)
+        out, left = negatives.drawn_negatives(needed, pos, neg)
+        got, short = defaultdict(list), {tuple(r[c] for c in ANTIGEN_COLUMNS): r.needed_negs for r in left.collect()}
+        for r in out.collect():
+            got[tuple(r[c] for c in ANTIGEN_COLUMNS)].append(tuple(r[c] for c in TCR_KEY))
+        for r in needed.collect():
+            antigen = tuple(r[c] for c in ANTIGEN_COLUMNS)
+            open_ = chances.get(antigen, {})
+            assert len(got[antigen]) == len(set(got[antigen])) == min(r.needed_negs, len(open_)) and set(got[antigen]) <= set(open_)
+            assert short.get(antigen, 0) == max(0, r.needed_negs - len(open_))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Cross" not in plan and "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_distance_tables_equal_pairs():
