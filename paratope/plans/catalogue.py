@@ -162,25 +162,62 @@ def strict_donor_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir, True)
 
 
+#: Ids of antigens and receptors as key_id makes them, and the exceptions among them.
+_IDS = f"""WITH {_DIST},
+       tid AS (SELECT k, md5(concat_ws(chr(31), 'x', 'x', k::VARCHAR, 'x', 'x', 'b', {", ".join(f"max(w) FILTER (c = '{c}')" for c in CDR_COLUMNS)})) AS t FROM lo GROUP BY k),
+       aid AS (SELECT DISTINCT p_name, p_type, md5(concat_ws(chr(31), p_name, 'x', 'x', 'x', 'x', p_type, 'x', 'x', 'x', 'light')) AS a FROM part),
+       trio AS (SELECT DISTINCT a, t, l_returnflag AS flag FROM lineitem JOIN part ON l_partkey = p_partkey JOIN aid USING (p_name, p_type) JOIN tid ON l_suppkey = k),
+       pos AS (SELECT a, t FROM trio WHERE flag = 'R'),
+       near AS (SELECT x.t AS t, y.t AS u FROM dist JOIN tid x ON a = x.k JOIN tid y ON b = y.k WHERE dist <= 140),
+       bad AS (SELECT DISTINCT a, u AS t FROM pos JOIN near USING (t)),
+       barred AS (SELECT x.a, y.a AS s FROM aid x JOIN aid y ON levenshtein(x.p_name, y.p_name) + levenshtein(x.p_type, y.p_type) <= 3)"""
+
+
 @query(
     "matched_negatives",
-    f"""WITH {_DIST},
-       pos AS (SELECT DISTINCT p_name, p_type, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
-       pa AS (SELECT DISTINCT p_name, p_type FROM pos),
-       far AS (SELECT x.p_name, x.p_type, y.p_name AS sn, y.p_type AS st FROM pa x JOIN pa y ON levenshtein(x.p_name, y.p_name) + levenshtein(x.p_type, y.p_type) > 3),
-       bad AS (SELECT DISTINCT p_name, p_type, b FROM pos JOIN dist ON l_suppkey = a WHERE dist <= 140),
-       cand AS (SELECT DISTINCT far.p_name, far.p_type, o.l_suppkey FROM far JOIN pos o ON o.p_name = sn AND o.p_type = st),
-       open AS (SELECT c.* FROM cand c ANTI JOIN bad ON c.p_name = bad.p_name AND c.p_type = bad.p_type AND c.l_suppkey = bad.b),
-       need AS (SELECT p_name, p_type, count(*) AS n FROM pos GROUP BY ALL),
-       ranked AS (SELECT o.*, n, row_number() OVER (PARTITION BY p_name, p_type ORDER BY md5('42|' || md5(p_name || p_type || 'light' || l_suppkey || 'b'))) AS rn FROM open o JOIN need USING (p_name, p_type))
-       SELECT p_name, p_type, l_suppkey::VARCHAR AS receptor FROM ranked WHERE rn <= n""",
+    _IDS
+    + """, heads AS (SELECT a AS s, count(*) AS n, row_number() OVER (ORDER BY a) - 1 AS sno FROM pos GROUP BY a),
+       offers AS (SELECT p.a AS s, p.t, n, row_number() OVER (PARTITION BY p.a ORDER BY p.t) - 1 AS tno FROM pos p JOIN heads ON p.a = s),
+       need AS (SELECT a, count(*) AS need FROM pos GROUP BY a),
+       draws AS (SELECT a, r, ('0x' || substr(md5('42|source|' || a || '|' || r), 1, 8))::BIGINT % (SELECT count(*) FROM heads) AS sno, ('0x' || substr(md5('42|receptor|' || a || '|' || r || '|0'), 1, 8))::BIGINT AS h FROM need, unnest(range(0, 21 * (4 * need + 16))) AS u(r)),
+       hits AS (SELECT a, t, min(r) AS r FROM draws JOIN heads USING (sno) JOIN offers o ON o.s = heads.s AND o.tno = h % heads.n ANTI JOIN barred ON draws.a = barred.a AND heads.s = barred.s ANTI JOIN bad ON draws.a = bad.a AND o.t = bad.t GROUP BY a, t),
+       ranked AS (SELECT a, t, row_number() OVER (PARTITION BY a ORDER BY r) AS rn, count(*) OVER (PARTITION BY a) AS have FROM hits),
+       short AS (SELECT a, need - coalesce(max(have), 0) AS rest FROM need LEFT JOIN ranked USING (a) GROUP BY a, need HAVING coalesce(max(have), 0) < need),
+       left_over AS (SELECT short.a, o.t, rest, sum(1000000000000 // n) AS w FROM short CROSS JOIN offers o ANTI JOIN barred ON short.a = barred.a AND o.s = barred.s ANTI JOIN bad ON short.a = bad.a AND o.t = bad.t ANTI JOIN hits ON short.a = hits.a AND o.t = hits.t GROUP BY ALL),
+       late AS (SELECT a, t, rest, row_number() OVER (PARTITION BY a ORDER BY -ln((('0x' || substr(md5('42|rest|' || a || '|' || t), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / w::DOUBLE, t) AS rn FROM left_over),
+       chosen AS (SELECT a, t FROM ranked JOIN need USING (a) WHERE rn <= need UNION ALL SELECT a, t FROM late WHERE rn <= rest)
+       SELECT p_name, p_type, k::VARCHAR AS receptor FROM chosen JOIN aid USING (a) JOIN tid USING (t)""",
 )
 def matched_negatives(spark, sf_dir):
-    """As many receptors of other antigens as an antigen has of its own, where there are so many."""
+    """As many receptors of other antigens as an antigen has of its own, drawn one by one; the statement makes the same draws."""
     found = negatives.matched_negatives(_stand_in_triads(spark, sf_dir, True), 1, reach=140)
     return found.select(F.col("peptide").alias("p_name"), F.col("mhc_1_seq").alias("p_type"), F.col("tcr_1_seq").alias("receptor"))
 
 
+@query(
+    "drawn_negatives",
+    _IDS
+    + """, offers AS (SELECT a AS s, t FROM trio WHERE flag = 'N'),
+       need AS (SELECT a, 2 * count(*) AS need FROM pos GROUP BY a),
+       cand AS (SELECT DISTINCT need.a, o.t FROM need CROSS JOIN offers o ANTI JOIN barred ON need.a = barred.a AND o.s = barred.s ANTI JOIN bad ON need.a = bad.a AND o.t = bad.t),
+       n AS (SELECT a, need, coalesce(n, 0) AS n FROM need LEFT JOIN (SELECT a, count(*) AS n FROM cand GROUP BY a) USING (a))
+       SELECT p_name, p_type, least(n, need) AS n_drawn, least(n, need) AS n_candidates, need - least(n, need) AS n_short FROM n JOIN aid USING (a)""",
+)
+def drawn_negatives(spark, sf_dir):
+    """Twice as many receptors of donors as an antigen has of its own; how many were drawn, how many of these are candidates, and what is still needed."""
+    pos, neg = _stand_in_triads(spark, sf_dir, True), _stand_in_triads(spark, sf_dir, False)
+    needed = relational.demand(pos, 2)
+    out, left = negatives.drawn_negatives(needed, pos, neg, reach=140)
+    drawn = keys.with_ids(out).select("antigen_id", "tcr_id")
+    *_, offers, close, barred = negatives.exceptions(pos, neg, 140, negatives.EDITS)
+    sourced = drawn.join(offers, "tcr_id").join(barred, ["antigen_id", "source_id"], "left_anti").join(close, ["antigen_id", "tcr_id"], "left_anti").select("antigen_id", "tcr_id").distinct()
+    counted = lambda df, name: df.groupBy("antigen_id").agg(F.count(F.lit(1)).alias(name))
+    named = needed.select(key_id(ANTIGEN_COLUMNS).alias("antigen_id"), F.col("peptide").alias("p_name"), F.col("mhc_1_seq").alias("p_type"))
+    short = left.select(key_id(ANTIGEN_COLUMNS).alias("antigen_id"), F.col("needed_negs").alias("n_short"))
+    joined = named.join(counted(drawn, "n_drawn"), "antigen_id", "left").join(counted(sourced, "n_candidates"), "antigen_id", "left").join(short, "antigen_id", "left")
+    return joined.drop("antigen_id").fillna(0, ["n_drawn", "n_candidates", "n_short"])
+
+
 @query("antigen_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def antigen_anti(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
