@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from paratope.functions.keys import seeded_number
 from paratope.operators.relational import numbered
-from paratope.session import fitted, settled
+from paratope.session import Steps, fitted, settled
 
 #: Draws of the first round for a need; each later round brings all draws to a multiple of it.
 ROUNDS = (1, 5, 21)
@@ -109,15 +109,17 @@ def settled_draws(tries: DataFrame) -> DataFrame:
     All draws propose at once; of those that propose one receptor the earliest keeps it, and the others go on to
     their next try. As all receptors prefer earlier draws, what is stable in the end is what taking turns gives.
     """
-    left = settled(tries)
+    steps = Steps()
+    left = steps.put(tries)
     n = left.count()
     while True:
         asked = left.groupBy("antigen_id", "r").agg(F.min_by("tcr_id", "j").alias("tcr_id"))
-        held = settled(asked.groupBy("antigen_id", "tcr_id").agg(F.min("r").alias("holder")))
-        left = settled(left.join(held, ["antigen_id", "tcr_id"], "left").filter(F.col("holder").isNull() | (F.col("holder") >= F.col("r"))).drop("holder"))
+        held = steps.put(asked.groupBy("antigen_id", "tcr_id").agg(F.min("r").alias("holder")))
+        left = steps.put(left.join(held, ["antigen_id", "tcr_id"], "left").filter(F.col("holder").isNull() | (F.col("holder") >= F.col("r"))).drop("holder"))
         before, n = n, left.count()
         if n == before:
             return held.select("antigen_id", F.col("holder").alias("r"), "tcr_id")
+        steps.turn(tries.sparkSession)
 
 
 def strike_out_sample(needs: DataFrame, pool: Pool, close: DataFrame, barred: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:

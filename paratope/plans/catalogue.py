@@ -564,14 +564,58 @@ def lcs_allele_match(spark, sf_dir):
     return alleles.match_alleles(chains, reference.withColumns({"species": F.lit("human"), "status": F.when(F.col("ord") % 2 == 0, "Full").otherwise("Partial")}))
 
 
-@query("complete_linkage")
+def _merged(edges: str, members: str) -> str:
+    """A statement of (g, m, cluster) from e0(g, a, b, d), a < b, within the cut, and m0(g, m): each step merges the pairs that are each other's first choice."""
+    return f"""e0 AS MATERIALIZED ({edges}), m0 AS MATERIALIZED ({members}),
+       st(step, kind, g, a, b, d) AS (
+         SELECT 0, 'e', g, a, b, d FROM e0 UNION ALL SELECT 0, 'm', g, m, m, NULL FROM m0
+         UNION ALL (
+           WITH ed AS (SELECT * FROM st WHERE kind = 'e'), two AS (SELECT g, a AS x, b AS y, d FROM ed UNION ALL SELECT g, b, a, d FROM ed),
+             nn AS (SELECT g, x, first(y ORDER BY d, least(x, y), greatest(x, y)) AS y FROM two GROUP BY g, x),
+             mg AS (SELECT n.g, n.x AS keep, n.y AS gone FROM nn n JOIN nn m ON n.g = m.g AND n.y = m.x AND m.y = n.x WHERE n.x < n.y),
+             mv AS (SELECT g, gone AS old, keep AS new FROM mg UNION ALL SELECT g, keep, keep FROM mg),
+             nm AS (SELECT ed.g, coalesce(p.new, ed.a) AS x, coalesce(q.new, ed.b) AS y, ed.d, (CASE WHEN p.new IS NULL THEN 1 ELSE 2 END) * (CASE WHEN q.new IS NULL THEN 1 ELSE 2 END) AS size
+               FROM ed LEFT JOIN mv p ON ed.g = p.g AND ed.a = p.old LEFT JOIN mv q ON ed.g = q.g AND ed.b = q.old)
+           SELECT (SELECT max(step) FROM st) + 1, 'e', g, least(x, y), greatest(x, y), max(d) FROM nm WHERE x <> y AND EXISTS (SELECT 1 FROM mg) GROUP BY g, least(x, y), greatest(x, y) HAVING count(*) = max(size)
+           UNION ALL SELECT t.step + 1, 'm', t.g, t.a, coalesce(mg.keep, t.b), NULL FROM st t LEFT JOIN mg ON t.g = mg.g AND t.b = mg.gone WHERE t.kind = 'm' AND EXISTS (SELECT 1 FROM mg))),
+       ends AS (SELECT g, a AS m, b AS head FROM st WHERE kind = 'm' AND step = (SELECT max(step) FROM st WHERE kind = 'm'))
+       """
+
+
+@query(
+    "complete_linkage",
+    "WITH RECURSIVE "
+    + _merged(
+        "SELECT x.label AS g, x.vec_id AS a, y.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 9) AS d FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE d <= 1.2",
+        "SELECT label AS g, vec_id AS m FROM embeddings",
+    )
+    + "SELECT m AS vec_id, g AS label, dense_rank() OVER (PARTITION BY g ORDER BY head) AS cluster FROM ends",
+)
 def linkage(spark, sf_dir):
     """Clusters of each label's embeddings by their distances."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    edges = evaluation.group_pairs(rows, ["label"], "vec_id", ["embedding"], evaluation.euclidean("embedding"))
+    edges = evaluation.group_pairs(rows, ["label"], "vec_id", ["embedding"], evaluation.euclidean("embedding")).withColumn("dist", F.round("dist", 9))
     return evaluation.clusters(edges, rows, ["label"], 1.2, "vec_id")
 
 
+@query(
+    "receptor_clusters",
+    f"WITH RECURSIVE {_DIST}, own AS (SELECT s_nationkey, s_suppkey, lpad(s_suppkey::VARCHAR, 12, '0') AS t FROM supplier), "
+    + _merged("SELECT x.s_nationkey AS g, x.t AS a, y.t AS b, dist AS d FROM dist JOIN own x ON dist.a = x.s_suppkey JOIN own y ON dist.b = y.s_suppkey AND x.s_nationkey = y.s_nationkey WHERE x.t < y.t AND dist <= 160", "SELECT s_nationkey AS g, t AS m FROM own")
+    + "SELECT g AS s_nationkey, m::BIGINT AS s_suppkey, dense_rank() OVER (PARTITION BY g ORDER BY head) AS cluster FROM ends",
+)
+def receptor_clusters(spark, sf_dir):
+    """Clusters of a nation's receptors from the edges of near receptors; no table of all pairs."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    shape = {c: F.lit("x") for c in TCR_COLUMNS}
+    named = _loops(table(spark, sf_dir, "supplier")).join(supplier, "s_suppkey").withColumns(shape).withColumn("tcr_id", F.lpad(F.col("s_suppkey").cast("string"), 12, "0"))
+    near = negatives.near_receptors(named, named, 160)
+    member = named.select("s_nationkey", "tcr_id")
+    edges = near.filter("a < b").join(member.withColumnRenamed("tcr_id", "a"), "a").join(member.withColumnRenamed("tcr_id", "b"), ["s_nationkey", "b"])
+    found = evaluation.clusters(edges, member, ["s_nationkey"], 160)
+    return found.select("s_nationkey", F.col("tcr_id").cast("long").alias("s_suppkey"), "cluster")
+
+
 @query("mahalanobis_pairs")
 def mahalanobis_pairs(spark, sf_dir):
     """The first components stand in for the docking columns, the second of them for the angle; every third row is a negative."""

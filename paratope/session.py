@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -86,6 +87,32 @@ def settled(df):
     return df.checkpoint()
 
 
+class Steps:
+    """Tables of a loop whose steps feed themselves: each is written in the shared folder and read again, which cuts lineage, plan and inferred constraints; those of steps before the last are deleted."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.old: list[str] = []
+
+    def put(self, df):
+        path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def turn(self, spark) -> None:
+        """The step is done: what the one before it wrote isn't read any more."""
+        delete(spark, self.old)
+        self.old, self.paths = self.paths, []
+
+
+def delete(spark, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 #: Rows that fitted() broadcasts at most; with rows of about 1 KB that is 200 MB, which an executor of a few GB holds.
 BROADCAST_ROWS = 200_000
 
