@@ -1,7 +1,7 @@
 """Encoding and decoding for merge vocabularies with word ends, by a lexicon of the corpus's frequent words.
 
 Texts are cut at white space and where letters meet signs, wherever no token can span the cut. All chunks of
-the corpus are counted; the WORDS most frequent ones are encoded once on the driver and compiled into a
+the corpus are counted; the most frequent ones, up to WORDS, are encoded once on the driver and compiled into a
 minimal acyclic transducer (`lexicon`), which is sent to the executors as a file and mapped into memory
 there. Chunks outside it are normalised and cut into words as the tokenizer's file says and merged here,
 by rank and from the left; how many words the lexicon holds changes the cost, never the ids.
@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paratope.llm.chunks import KeyTable, byte_groups
-from paratope.llm.common import ship, worker_cache
+from paratope.llm.common import drop_tables, materialize, ship, worker_cache, written
 from paratope.llm.lexicon import Lexicon, compile_lexicon
 from paratope.llm.runs import numbered
 
 #: Words of the lexicon at most: what the driver sees of the corpus.
 WORDS = 1 << 17
+#: Counts that are told apart one by one when the lexicon is chosen.
+EXACT = 4096
 #: Bytes of the longest chunk that is counted and may enter the lexicon.
 LONGEST = 64
 #: Symbols of the longest word that is merged by looking at all its pairs; longer ones use a heap.
@@ -295,7 +297,10 @@ def codec(spec: str) -> WordCodec:
 
 
 def frequent_words(documents: DataFrame, spec: str, most: int = WORDS) -> list[str]:
-    """The `most` most frequent chunks of all texts, of equal counts the first in order."""
+    """The chunks of all texts from some count on, the smallest for which they are `most` at most; most frequent first, then in order.
+
+    The driver gets a histogram of counts, exact below EXACT and then by eighths of a power of two, and the chunks above the count.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(spec)  # a fixed file of a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,9 +309,18 @@ def frequent_words(documents: DataFrame, spec: str, most: int = WORDS) -> list[s
             for words, counts in own.counted(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
 
+    mark = written()
     counts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(most).toPandas()
-    return rows["word"].tolist()
+    counts = materialize(counts.withColumn("level", F.when(F.col("n") < EXACT, F.col("n")).otherwise(EXACT + F.floor(8 * F.log2(F.col("n") / EXACT))).cast("int")), "words")
+    total, least = 0, None
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    rows = counts.filter(F.col("level") >= least).select("word", "n").toPandas() if least is not None else None
+    drop_tables(documents.sparkSession, mark)
+    return [] if rows is None else [w for _, w in sorted(zip((-rows["n"]).tolist(), rows["word"].tolist(), strict=True))]
 
 
 #: Files that an application has, by their content's hash.
