@@ -548,6 +548,24 @@ def job_document(spark, sf_dir):
     return rows.withColumn("a", job_files.alignment_of(F.col("document"))).select("p_partkey", "document", F.col("a.sequence").alias("first_sequence"), F.col("a.is_empty").alias("is_empty"))
 
 
+@query(
+    "allele_of_unknown_chain",
+    """WITH asked AS (SELECT DISTINCT s_name || p_brand AS seq FROM supplier JOIN part ON s_suppkey = p_partkey),
+       ref AS (SELECT CASE p_size % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'heavy' END AS chain, p_size % 3 AS c, p_partkey AS ord, p_brand || p_size AS name, p_brand || p_type AS sequence, CASE WHEN p_size % 2 = 0 THEN 'Full' ELSE 'Partial' END AS status FROM part),
+       pieces AS (SELECT DISTINCT seq, substr(seq, i, n) AS piece FROM asked, unnest(range(1, length(seq) + 1)) AS a(i), unnest(range(1, length(seq) + 1)) AS b(n) WHERE i + n <= length(seq) + 1),
+       hit AS (SELECT seq, name, sequence, status, c, ord, length(piece) AS size FROM pieces JOIN ref ON contains(sequence, piece)),
+       best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY seq ORDER BY size DESC, CASE WHEN status = 'Partial' THEN 1 ELSE 0 END, c, ord) = 1)
+       SELECT seq, name, sequence, status, size FROM best""",
+)
+def allele_of_unknown_chain(spark, sf_dir):
+    """Sequences of chains whose kind isn't known, against the alleles of all kinds."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    kind = F.get(F.array(F.lit("alpha"), F.lit("beta"), F.lit("heavy")), (F.col("p_size") % 3).cast("int"))
+    reference = part.select(kind.alias("chain"), F.lit("human").alias("species"), F.concat("p_brand", F.col("p_size").cast("string")).alias("name"), F.concat("p_brand", "p_type").alias("sequence"), F.when(F.col("p_size") % 2 == 0, "Full").otherwise("Partial").alias("status"), F.col("p_partkey").alias("ord"))
+    asked = supplier.join(part, F.col("s_suppkey") == F.col("p_partkey")).select(F.concat("s_name", "p_brand").alias("seq"), F.lit(None).cast("string").alias("chain"), F.lit("human").alias("species"))
+    return alleles.match_alleles(asked, reference).select("seq", "name", "sequence", "status", "size")
+
+
 @query(
     "lcs_allele_match",
     """WITH asked AS (SELECT DISTINCT p_name AS seq, p_type AS chain FROM part),
