@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paratope.functions import hla, keys, text
 from paratope.functions.keys import key_id
-from paratope.operators import alleles, evaluation, negatives, relational
+from paratope.operators import alleles, curves, evaluation, negatives, relational
 from paratope.operators.features import REGIONS
 from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, DOCKING_COLUMNS, TCR_COLUMNS, TRIAD_COLUMNS
 from paratope.session import ship
@@ -582,6 +582,46 @@ def lcs_allele_match(spark, sf_dir):
     return alleles.match_alleles(chains, reference.withColumns({"species": F.lit("human"), "status": F.when(F.col("ord") % 2 == 0, "Full").otherwise("Partial")}))
 
 
+def _points(keys: str) -> str:
+    """A statement of p(keys, place, threshold, fpr, tpr): curves of returned lines by quantity."""
+    return f"""sc AS (SELECT {keys}, l_quantity::DOUBLE AS s, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY ALL),
+       cu AS (SELECT *, sum(p) OVER u AS tp, sum(n) OVER u AS fp, row_number() OVER w AS place, lead(p) OVER w AS np, lead(n) OVER w AS nn, sum(p) OVER g AS ps, sum(n) OVER g AS ns FROM sc
+         WINDOW w AS (PARTITION BY {keys} ORDER BY s DESC), u AS (PARTITION BY {keys} ORDER BY s DESC ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY {keys})),
+       p AS (SELECT {keys}, place, s AS threshold, fp::DOUBLE / nullif(ns, 0) AS fpr, tp::DOUBLE / nullif(ps, 0) AS tpr FROM cu WHERE place = 1 OR np IS NULL OR np <> p OR nn <> n
+         UNION ALL SELECT {keys}, 0, 'inf'::DOUBLE, CASE WHEN sum(n) > 0 THEN 0.0::DOUBLE END, CASE WHEN sum(p) > 0 THEN 0.0::DOUBLE END FROM sc GROUP BY ALL)"""
+
+
+_MERGED_CURVE = f"""WITH {_points("l_linestatus, l_linenumber")},
+       kn AS (SELECT l_linestatus, l_linenumber, fpr, arg_min(tpr, place) AS en, arg_max(tpr, place) AS le FROM p WHERE fpr IS NOT NULL AND tpr IS NOT NULL GROUP BY ALL),
+       fu AS (SELECT g.l_linestatus, c.l_linenumber, g.fpr, kn.fpr AS hit, en, le FROM (SELECT DISTINCT l_linestatus, fpr FROM kn) g JOIN (SELECT DISTINCT l_linestatus, l_linenumber FROM kn) c USING (l_linestatus) LEFT JOIN kn ON kn.l_linestatus = g.l_linestatus AND kn.l_linenumber = c.l_linenumber AND kn.fpr = g.fpr),
+       en AS (SELECT *, last_value(hit IGNORE NULLS) OVER b AS x0, last_value(le IGNORE NULLS) OVER b AS y0, first_value(hit IGNORE NULLS) OVER a AS x1, first_value(en IGNORE NULLS) OVER a AS y1 FROM fu
+         WINDOW b AS (PARTITION BY l_linestatus, l_linenumber ORDER BY fpr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY l_linestatus, l_linenumber ORDER BY fpr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+       m AS (SELECT l_linestatus, fpr, avg(CASE WHEN hit IS NOT NULL THEN le ELSE y0 + (y1 - y0) * (fpr - x0) / (x1 - x0) END) AS tpr FROM en GROUP BY ALL)"""
+
+
+@query("roc_points", f"WITH {_points('l_suppkey')} SELECT l_suppkey, place, CASE WHEN place > 0 THEN threshold END AS threshold, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM p")
+def roc_points(spark, sf_dir):
+    """Each supplier's curve as points."""
+    found = curves.roc_points(table(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_returnflag") == "R", F.col("l_quantity"))
+    return found.select("l_suppkey", "place", F.when(F.col("place") > 0, F.col("threshold")).alias("threshold"), F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+def _merged_curve(spark, sf_dir) -> DataFrame:
+    points = curves.roc_points(table(spark, sf_dir, "lineitem"), ["l_linestatus", "l_linenumber"], F.col("l_returnflag") == "R", F.col("l_quantity"))
+    return curves.merged_points(points, ["l_linestatus"], "l_linenumber")
+
+
+@query("merged_curves", _MERGED_CURVE + " SELECT l_linestatus, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM m")
+def merged_curves(spark, sf_dir):
+    """The mean of seven curves for each status of lines."""
+    return _merged_curve(spark, sf_dir).select("l_linestatus", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+@query("merged_areas", _MERGED_CURVE + ", d AS (SELECT l_linestatus, (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS a FROM m WINDOW w AS (PARTITION BY l_linestatus ORDER BY fpr)) SELECT l_linestatus, round(sum(a), 9) AS roc_auc FROM d GROUP BY l_linestatus")
+def merged_areas(spark, sf_dir):
+    return curves.area(_merged_curve(spark, sf_dir), ["l_linestatus"]).select("l_linestatus", F.round("roc_auc", 9).alias("roc_auc"))
+
+
 def _merged(edges: str, members: str) -> str:
     """A statement of (g, m, cluster) from e0(g, a, b, d), a < b, within the cut, and m0(g, m): each step merges the pairs that are each other's first choice."""
     return f"""e0 AS MATERIALIZED ({edges}), m0 AS MATERIALIZED ({members}),
