@@ -15,8 +15,8 @@ Cases: vectors that are null or hold null or non-finite components take no part,
 vectors meet vectors of their own length only; rows that repeat a query's id aren't its candidates, other
 repeated rows are candidates each; queries that repeat id and vector count once; equal scores go to the
 smaller id; fewer candidates than k give fewer rows; an empty table gives an empty result; extra columns are
-ignored. Components whose integers don't fit into 64 bits raise, and so does a score among the best that
-doesn't; large ones below are multiplied in whole numbers of any size.
+ignored. Large components are multiplied in whole numbers of any size; a score among the best that doesn't
+fit into 64 bits raises, and so does a component of 2^480 or more.
 """
 
 from __future__ import annotations
@@ -38,16 +38,23 @@ PIVOTS = 32
 LENGTHS = 16
 DATA_BLOCK, QUERY_BLOCK = 20_000, 1024
 CHUNK = 256
+#: Components of this size would have distances beyond doubles; no float has them.
+LARGEST = 2.0**480
 #: Stands for scores of a cell that are too low for 64 bits.
 LOWEST = -(2**63)
 
 
 def integer_vector(embedding: Column) -> Column:
-    """floor(SCALE * x) of each component; null if the vector or a component is null or not finite."""
+    """floor(SCALE * x) of each component, as doubles, which hold these whole numbers exactly: large doubles are whole, and SCALE is a power of two. Null if the vector or a component is null or not finite."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    large = F.exists(embedding, lambda x: F.abs(x.cast("double") * SCALE) >= float(2**63))
-    error = F.raise_error(F.lit("a vector's component doesn't fit into 64 bits")).cast("array<bigint>")
-    return F.when(embedding.isNull() | bad, None).when(large, error).otherwise(F.transform(embedding, lambda x: F.floor(x.cast("double") * SCALE).cast("long")))
+    large = F.exists(embedding, lambda x: F.abs(x.cast("double")) >= LARGEST)
+    error = F.raise_error(F.lit("a vector's component is too large to be squared")).cast("array<double>")
+    whole = lambda y: F.when(F.abs(y) < float(2**53), F.floor(y).cast("double")).otherwise(y) + 0.0
+    return F.when(embedding.isNull() | bad, None).when(large, error).otherwise(F.transform(embedding, lambda x: whole(x.cast("double") * SCALE)))
+
+
+def _integers(x: np.ndarray) -> np.ndarray:
+    return np.array([int(v) for v in x.ravel().tolist()], object).reshape(x.shape)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, n: int, kind) -> np.ndarray:
@@ -81,7 +88,7 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, list[list[int]]]) -> DataF
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 n, dim = part.num_rows, int(dim)
-                x = _matrix(part.column(2), n, np.int64) if dim else np.zeros((n, 0), np.int64)
+                x = _matrix(part.column(2), n, np.float64) if dim else np.zeros((n, 0))
                 own = pivots.get(dim, [])
                 p = np.array([[0] * dim, *own], np.float64).reshape(1 + len(own), dim)
                 d = _distances(x, p)
@@ -89,7 +96,7 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, list[list[int]]]) -> DataF
                 near = d[:, 1:].argmin(1) if own else np.zeros(n, np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), lists, pa.array(near, pa.int32())], names=["vec_id", "dim", "v", "pd", "near"])
 
-    return vectors.mapInArrow(run, "vec_id long, dim int, v array<long>, pd array<double>, near int")
+    return vectors.mapInArrow(run, "vec_id long, dim int, v array<double>, pd array<double>, near int")
 
 
 def best_of(q: np.ndarray, q_id: int, q_pd: np.ndarray, x: np.ndarray, ids: np.ndarray, pd: np.ndarray, squares: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -128,12 +135,12 @@ def _cell(k: int):
         out = {"query_id": [], "vec_id": [], "score": []}
         if queries.num_rows and data.num_rows:
             dim = table.column("dim")[0].as_py()
-            x, q = (_matrix(t.column("v"), t.num_rows, np.int64) if dim else np.zeros((t.num_rows, 0), np.int64) for t in (data, queries))
-            most = float(max(np.abs(x.astype(np.float64)).max(initial=0), np.abs(q.astype(np.float64)).max(initial=0)))
-            if dim * most * most < 2**53:  # products and sums are then exact in doubles, which multiply faster
-                x, q = x.astype(np.float64), q.astype(np.float64)
-            elif dim * most * most >= 2**62:
-                x, q = x.astype(object), q.astype(object)
+            x, q = (_matrix(t.column("v"), t.num_rows, np.float64) if dim else np.zeros((t.num_rows, 0)) for t in (data, queries))
+            most = float(max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)))
+            if dim * most * most >= 2**62:  # else products and sums are exact in doubles or in 64 bits
+                x, q = _integers(x), _integers(q)
+            elif dim * most * most >= 2**53:
+                x, q = x.astype(np.int64), q.astype(np.int64)
             pd, q_pd = np.ascontiguousarray(_matrix(data.column("pd"), data.num_rows, np.float64).T), _matrix(queries.column("pd"), queries.num_rows, np.float64)
             ids, q_ids = data.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
             squares = (x.astype(np.float64) ** 2).sum(1)

@@ -44,10 +44,18 @@ def test_what_does_not_fit_raises(spark):
     assert got(spark, [(0, [1e10, 0.0]), (1, [0.0, 1e10]), (2, [-1e10, 0.5]), (3, [0.0, -5.0])], k=2) == brute([(0, [1e10, 0.0]), (1, [0.0, 1e10]), (3, [0.0, -5.0])], 50, 2)
     with pytest.raises(Exception, match="doesn't fit into 64 bits"):
         got(spark, [(0, [1e10, 1.0]), (1, [1e10, 2.0])])
-    with pytest.raises(Exception, match="component doesn't fit"):
+    with pytest.raises(Exception, match="doesn't fit into 64 bits"):
         got(spark, [(0, [1e17, 1.0]), (1, [1.0, 2.0])])
 
 
+def test_a_huge_vector_does_not_stop_the_others(spark):
+    """It takes part: its scores are right where they fit, and where it isn't among the best they don't matter."""
+    rows = [(i, [0.0, float(i % 7) / 4]) for i in range(120)] + [(203, [3e38, 0.0]), (201, [-1e17, 5.0]), (202, [1e30, 0.5])]
+    assert got(spark, rows) == brute(rows, 50, 5)
+    low = [(0, [1.0, 1.0]), *((i, [float(i), 2.0]) for i in range(1, 9)), (9, [-3e38, 1.0])]
+    assert got(spark, low) == brute(low, 50, 5)
+
+
 def test_far_clusters_are_not_visited(spark, monkeypatch):
     visits = []
     meet = topk._meet
