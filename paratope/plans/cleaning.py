@@ -13,13 +13,21 @@ from paratope.operators import alleles, evaluation, features, negatives, relatio
 from paratope.plans import jobs as plans
 from paratope.plans.catalogue import _DIST, _loops, query, table
 from paratope.schema import DOCKING_COLUMNS
-from paratope.session import shared_dir
+from paratope.session import delete, shared_dir
 from paratope.sources import fasta, structures, tables
 from paratope.sources import jobs as job_files
+from paratope.streaming.incremental import process_once
+
+
+_LAST: dict[str, str] = {}
 
 
 def _scratch(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/query-{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder for what a query writes and reads again; what its last run wrote is deleted."""
+    if name in _LAST:
+        delete(spark, [_LAST[name]])
+    _LAST[name] = f"{shared_dir(spark)}/query-{name}-{uuid.uuid4().hex}"
+    return _LAST[name]
 
 
 @query(
@@ -345,3 +353,15 @@ def allele_choice(spark, sf_dir):
     light = spark.createDataFrame([("human", "B2M", "LIGHT")], "species string, name string, sequence string")
     found = alleles.with_matches(rows, reference, light)
     return found.select("p_partkey", "mhc_1_name", "mhc_1_name_maxres", "mhc_1_match_size", F.round("mhc_1_match_proportion", 6).alias("mhc_1_match_proportion"), "mhc_1_status", "mhc_2_name", "mhc_2_match_seq", "mhc_2_match_size", "mhc_2_status")
+
+
+@query("keys_once", "SELECT o_orderkey, upper(o_orderstatus) AS status FROM orders")
+def keys_once(spark, sf_dir):
+    """A stream of files in which every row comes twice; each key is worked on once, by the stream's state."""
+    path = _scratch(spark, "keys-once")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for _ in range(2):
+        orders.repartition(4, "o_orderkey").write.mode("append").parquet(f"{path}/in")
+    work = lambda d: d.select("o_orderkey", F.upper("o_orderstatus").alias("status"))
+    process_once(spark, f"{path}/in", orders.schema, f"{path}/out", "o_orderkey", work, f"{path}/state", files_per_batch=4).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("o_orderkey", "status")

@@ -1,9 +1,11 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from paratope.schema import ALLELE_STATUS_CSV, DOCKING_COLUMNS, STCR_TSV
 from paratope.sources import fasta, jobs, structures, tables
-from paratope.streaming.incremental import process_new
+from paratope.streaming.incremental import process_new, process_once
 
 
 def test_delimited_files(spark, tmp_path):
@@ -75,6 +77,33 @@ def test_new_files_are_worked_on_once(spark, tmp_path):
     assert sorted((r.k, r.done) for r in spark.read.parquet(target).collect()) == [(1, "A"), (2, "B"), (3, "C")]
 
 
+@pytest.mark.parametrize("time", [None, "t"])
+def test_keys_are_worked_on_once_by_state(spark, tmp_path, time):
+    """Files that come again, keys that come again in one batch or later, and a batch that is run again; the target isn't read."""
+    source, target, schema = str(tmp_path / "in"), str(tmp_path / "out"), "k long, v string, t timestamp"
+    seen = []
+
+    def run():
+        with_mark = lambda d: seen.append(d.count()) or d.select("k", F.upper("v").alias("done"))
+        process_once(spark, source, spark.createDataFrame([], schema).schema, target, "k", with_mark, str(tmp_path / "c"), time=time).awaitTermination()
+
+    day = datetime.datetime(2024, 5, 1)
+    put = lambda rows: spark.createDataFrame([(k, v, day + datetime.timedelta(hours=k)) for k, v in rows], schema).write.mode("append").parquet(source)
+    put([(1, "a"), (2, "b"), (2, "b")])
+    run()
+    put([(1, "a"), (2, "b"), (3, "c")])
+    run()
+    run()
+    assert sorted((r.k, r.done) for r in spark.read.parquet(target).collect()) == [(1, "A"), (2, "B"), (3, "C")]
+    assert sum(seen) == 3
+    # the last batch once more, as after a failure before it was committed
+    last = max((tmp_path / "c" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for path in (last, last.with_name(f".{last.name}.crc")):
+        path.unlink(missing_ok=True)
+    run()
+    assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
 def test_files_are_copied_once(spark, tmp_path):
     import gzip
 
