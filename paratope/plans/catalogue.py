@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paratope.functions import hla, keys, text
 from paratope.functions.keys import key_id
-from paratope.operators import alleles, curves, evaluation, negatives, relational
+from paratope.operators import alleles, curves, evaluation, models, negatives, relational
 from paratope.operators.features import REGIONS
 from paratope.schema import ANTIGEN_COLUMNS, CDR_COLUMNS, DOCKING_COLUMNS, TCR_COLUMNS, TRIAD_COLUMNS
 from paratope.session import ship
@@ -716,6 +716,32 @@ def within_group_auc(spark, sf_dir):
     return found.select("l_suppkey", F.size("fpr").alias("n_points"), F.round("roc_auc", 6).alias("roc_auc"))
 
 
+@query(
+    "within_group_areas",
+    """WITH ln AS (SELECT l_suppkey % 10 AS g, l_orderkey || '-' || l_linenumber AS id, l_returnflag = 'R' AS y, l_quantity::DOUBLE AS x FROM lineitem),
+       st AS (SELECT g, y, floor(count(*) * 0.1::DOUBLE) AS tests FROM ln GROUP BY g, y),
+       sp AS (SELECT ln.*, it, row_number() OVER (PARTITION BY g, y, it ORDER BY md5(it || '|' || id), id) <= tests AS is_test FROM ln JOIN st USING (g, y), unnest(range(0, 3)) AS u(it)),
+       sg AS (SELECT g, it, sign(covar_pop(x, y::INT::DOUBLE)) AS s FROM sp WHERE NOT is_test GROUP BY g, it),
+       sc AS (SELECT g, it, s * x AS s, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM sp JOIN sg USING (g, it) WHERE is_test GROUP BY ALL),
+       cu AS (SELECT *, sum(p) OVER u AS tp, sum(n) OVER u AS fp, row_number() OVER w AS place, lead(p) OVER w AS np, lead(n) OVER w AS nn, sum(p) OVER gg AS ps, sum(n) OVER gg AS ns FROM sc
+         WINDOW w AS (PARTITION BY g, it ORDER BY s DESC), u AS (PARTITION BY g, it ORDER BY s DESC ROWS UNBOUNDED PRECEDING), gg AS (PARTITION BY g, it)),
+       p AS (SELECT g, it, place, fp::DOUBLE / ns AS fpr, tp::DOUBLE / ps AS tpr FROM cu WHERE place = 1 OR np IS NULL OR np <> p OR nn <> n UNION ALL SELECT DISTINCT g, it, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM sc),
+       kn AS (SELECT g, it, fpr, arg_min(tpr, place) AS en, arg_max(tpr, place) AS le FROM p GROUP BY ALL),
+       fu AS (SELECT a.g, c.it, a.fpr, kn.fpr AS hit, en, le FROM (SELECT DISTINCT g, fpr FROM kn) a JOIN (SELECT DISTINCT g, it FROM kn) c USING (g) LEFT JOIN kn ON kn.g = a.g AND kn.it = c.it AND kn.fpr = a.fpr),
+       en AS (SELECT *, last_value(hit IGNORE NULLS) OVER b AS x0, last_value(le IGNORE NULLS) OVER b AS y0, first_value(hit IGNORE NULLS) OVER a AS x1, first_value(en IGNORE NULLS) OVER a AS y1 FROM fu
+         WINDOW b AS (PARTITION BY g, it ORDER BY fpr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY g, it ORDER BY fpr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+       m AS (SELECT g, fpr, avg(CASE WHEN hit IS NOT NULL THEN le ELSE y0 + (y1 - y0) * (fpr - x0) / (x1 - x0) END) AS tpr FROM en GROUP BY ALL),
+       d AS (SELECT g, (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS a FROM m WINDOW w AS (PARTITION BY g ORDER BY fpr))
+       SELECT g, round(sum(a), 9) AS roc_auc FROM d GROUP BY g""",
+)
+def within_group_areas(spark, sf_dir):
+    """Regressions of one feature, ten groups times three repeats, all at once; with one feature scores order as the feature does, or the other way where the two vary against each other, and the statement makes use of that."""
+    line = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("g"), line.alias("id"), (F.col("l_returnflag") == "R").alias("cognate"), (F.col("l_quantity") / 50).alias("quantity"))
+    points = models.within_group_points(rows, ["g"], ["quantity"], "id", repeats=3)
+    return curves.area(points, ["g"]).select("g", F.round("roc_auc", 9).alias("roc_auc"))
+
+
 @query("leave_one_out_auc")
 def leave_one_out_auc(spark, sf_dir):
     found = evaluation.left_out_auc(_scored_lines(spark, sf_dir), ["l_suppkey"], ["l_quantity", "l_discount"])
