@@ -12,29 +12,27 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
 
-def bonded(backbone: np.ndarray) -> np.ndarray:
-    """(n, n): whether the C=O of residue i takes a bond from the N-H of residue j. backbone: (n, 4, 3) of N, CA, C and O; the first residue has no hydrogen."""
+def turns(backbone: np.ndarray, size: int, donors: np.ndarray) -> np.ndarray:
+    """Whether the C=O of each residue takes a bond from the N-H of the one `size` further on. backbone: (n, 4, 3) of N, CA, C and O; donors: the residues whose N has a hydrogen; the first one's isn't placed."""
     n = len(backbone)
-    out = np.zeros((n, n), bool)
-    if n < 2:
+    out = np.zeros(n, bool)
+    if n <= size:
         return out
-    nitrogen, carbon, oxygen = backbone[1:, 0], backbone[:, 2], backbone[:, 3]
-    hydrogen = nitrogen + NH * _unit(_unit(nitrogen - carbon[:-1]) + _unit(nitrogen - backbone[1:, 1]))
-    near = lambda a, b: 1 / np.maximum(np.linalg.norm(a[:, None] - b[None], axis=-1), 1e-3)
+    nitrogen, alpha, before = backbone[size:, 0], backbone[size:, 1], backbone[size - 1 : -1, 2]
+    hydrogen = nitrogen + NH * _unit(_unit(nitrogen - before) + _unit(nitrogen - alpha))
+    carbon, oxygen = backbone[:-size, 2], backbone[:-size, 3]
+    near = lambda a, b: 1 / np.maximum(np.linalg.norm(a - b, axis=-1), 1e-3)
     energy = CHARGE * (near(oxygen, nitrogen) + near(carbon, hydrogen) - near(oxygen, hydrogen) - near(carbon, nitrogen))
-    out[:, 1:] = energy < BOND
-    at = np.arange(n)
-    out[(at[None] - at[:, None] >= 0) & (at[None] - at[:, None] <= 2)] = False  # neighbours along the chain
+    out[: n - size] = (energy < BOND) & donors[size:]
     return out
 
 
-def helical(backbone: np.ndarray) -> np.ndarray:
-    """Whether each residue is inside a helix: two turns of the same size in a row make one; those of size 4 come first, and 3 and 5 only where they leave it alone."""
-    n, bonds = len(backbone), bonded(backbone)
-    begins = {}
+def helical(backbone: np.ndarray, donors: np.ndarray | None = None) -> np.ndarray:
+    """Whether each residue is inside a helix (donors: those whose N has a hydrogen, all if not given): two turns of the same size in a row make one; those of size 4 come first, and 3 and 5 only where they leave it alone."""
+    n, begins = len(backbone), {}
+    donors = np.ones(n, bool) if donors is None else donors
     for size in (3, 4, 5):
-        turn = np.zeros(n + 1, bool)
-        turn[: max(0, n - size)] = np.diagonal(bonds, size)
+        turn = np.r_[turns(backbone, size, donors), False]
         begins[size] = np.r_[False, turn[:-2] & turn[1:-1]][:n] if n else np.zeros(0, bool)  # the helix begins behind the first turn's first residue
 
     def covered(starts: np.ndarray, size: int) -> np.ndarray:

@@ -145,10 +145,11 @@ def loop_confidence(atoms: DataFrame, numbered: DataFrame) -> DataFrame:
 
 
 def helix_flags(atoms: DataFrame) -> DataFrame:
-    """(job_name, role, resindex, is_helix) of every residue, from the backbone atoms (N, CA, C, O) of each job's chains; residues without all four are no helix and part nothing."""
+    """(job_name, role, resindex, is_helix) of every residue, from the backbone atoms (N, CA, C, O) of each job's chains; residues without all four are no helix and part nothing. With a column resname, prolines give no hydrogen."""
     ship(atoms.sparkSession)
     names = ["N", "CA", "C", "O"]
-    residues = atoms.groupBy("job_name", "role", "resindex").agg(*(F.max(F.when(F.col("name") == n, F.array("x", "y", "z"))).alias(f"_{n}") for n in names))
+    gives = F.max(F.upper("resname") != "PRO") if "resname" in atoms.columns else F.lit(True)
+    residues = atoms.groupBy("job_name", "role", "resindex").agg(*(F.max(F.when(F.col("name") == n, F.array("x", "y", "z"))).alias(f"_{n}") for n in names), F.coalesce(gives, F.lit(True)).alias("_donor"))
 
     def flag(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("resindex", kind="stable", ignore_index=True)
@@ -156,7 +157,7 @@ def helix_flags(atoms: DataFrame) -> DataFrame:
         whole = points.notna().all(axis=1).to_numpy()
         inside = np.zeros(len(batch), bool)
         if whole.any():
-            inside[whole] = helical(np.array([[list(p) for p in row] for row in points[whole].to_numpy()], float))
+            inside[whole] = helical(np.array([[list(p) for p in row] for row in points[whole].to_numpy()], float), batch["_donor"].to_numpy(bool)[whole])
         return batch[["job_name", "role", "resindex"]].assign(is_helix=inside)
 
     return residues.groupBy("job_name", "role").applyInPandas(flag, "job_name string, role string, resindex int, is_helix boolean")

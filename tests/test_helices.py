@@ -60,3 +60,16 @@ def test_flags_of_jobs(spark):
     assert counts["a", "mhc_1"] == 18 and counts["a", "mhc_2"] == 0 and counts["b", "mhc_1"] == pytest.approx(18, abs=2) and len(found["b", "mhc_1"]) == 26
     jobs = spark.createDataFrame([("a", "I"), ("b", "I")], "job_name string, mhc_class string")
     assert {r.job_name for r in features.mhc_helices(flags, jobs).collect()} == {"a", "b"}
+
+
+def test_prolines_give_no_hydrogen(spark):
+    """Prolines side by side take a helix its bonds there, which parts it."""
+    backbone = chain([(-57, -47)] * 24)
+    donors = np.ones(24, bool)
+    donors[10:14] = False
+    assert helical(backbone).sum() == 22 and helical(backbone, donors).sum() < 22
+    rows = [("a", "mhc_1", i, name, "PRO" if 10 <= i < 14 else "ALA", *map(float, p)) for i, residue in enumerate(backbone) for name, p in zip(("N", "CA", "C", "O"), residue, strict=True)]
+    atoms = spark.createDataFrame(rows, "job_name string, role string, resindex int, name string, resname string, x double, y double, z double")
+    flags = [r.is_helix for r in features.helix_flags(atoms).orderBy("resindex").collect()]
+    assert flags == helical(backbone, donors).tolist()
+    assert sum(r.is_helix for r in features.helix_flags(atoms.drop("resname")).collect()) == 22
