@@ -365,3 +365,15 @@ def keys_once(spark, sf_dir):
     work = lambda d: d.select("o_orderkey", F.upper("o_orderstatus").alias("status"))
     process_once(spark, f"{path}/in", orders.schema, f"{path}/out", "o_orderkey", work, f"{path}/state", files_per_batch=4).awaitTermination()
     return spark.read.parquet(f"{path}/out").select("o_orderkey", "status")
+
+
+@query("cached_sequences", "SELECT s_suppkey, n_name, upper(n_name) || n_nationkey AS sequence FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def cached_sequences(spark, sf_dir):
+    """Sequences of suppliers' nations from a cache that held those of the even ones only; the others are fetched together."""
+    nation = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
+    schema = T.StructType([T.StructField("n_name", T.StringType()), T.StructField("sequence", T.StringType())])
+    fetch = lambda missing: missing.join(nation, "n_name").select("n_name", F.concat(F.upper("n_name"), F.col("n_nationkey").cast("string")).alias("sequence"))
+    path = _scratch(spark, "cache")
+    named = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "n_nationkey")
+    tables.cached_rows(named.filter(F.col("n_nationkey") % 2 == 0), path, "n_name", schema, fetch)
+    return named.join(tables.cached_rows(named, path, "n_name", schema, fetch), "n_name").select("s_suppkey", "n_name", "sequence")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paratope.schema import DOCKING_COLUMNS, DOCKING_TSV
+from paratope.session import settled
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -56,3 +59,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def cached_rows(asked: DataFrame, path: str, key: str, schema: T.StructType, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of the asked keys from a cache of CSV files at `path`; keys that it lacks are fetched once, all together, and appended in one write.
+
+    fetch gets the missing keys, one row each, and returns rows of `schema`; a key for which it returns none is
+    asked for again the next time. Null keys have no row. A job that fails before its write is done adds nothing.
+    """
+    spark = asked.sparkSession
+    wanted = asked.select(key).filter(F.col(key).isNotNull()).distinct()
+    known = read_csv(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
+    missing = settled(new_only(wanted, known, key))
+    if not missing.isEmpty():
+        write_csv(fetch(missing).select(*schema.names), path, "append")
+    held = read_csv(spark, path, schema) if exists(spark, path) else known
+    return held.join(wanted, key, "left_semi")
+
+
+def trimmed(df: DataFrame, columns: list[str], lower: bool = False) -> DataFrame:
+    """Texts without white space at their ends, in lower case if wanted: a row of a sheet as a job's parameters."""
+    cut = {c: F.regexp_replace(F.col(c), r"^\s+|\s+$", "") for c in columns}
+    return df.withColumns({c: F.lower(v) if lower else v for c, v in cut.items()})

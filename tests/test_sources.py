@@ -2,6 +2,7 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paratope.schema import ALLELE_STATUS_CSV, DOCKING_COLUMNS, STCR_TSV
 from paratope.sources import fasta, jobs, structures, tables
@@ -141,3 +142,24 @@ def test_references_of_matching(spark, tmp_path):
     known = hla.with_sequence(spark.createDataFrame([("DRA*01:02",), ("B2M",)], "n string"), sequences.human_constants(spark), "n", "s").collect()
     assert {r.n: len(r.s) for r in known} == {"DRA*01:02": 190, "B2M": len(sequences.HUMAN["B2M"])}
     assert {r.species for r in sequences.light_chains(spark).collect()} == {"human", "mouse"} and len(sequences.MOUSE) == 12
+
+
+def test_cache_fetches_each_key_once(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("seq", T.StringType())])
+    fetched = []
+
+    def fetch(missing):
+        fetched.append(sorted(r.k for r in missing.collect()))
+        return missing.filter("k <> 'none'").withColumn("seq", F.concat("k", F.lit("!")))
+
+    path = str(tmp_path / "cache")
+    ask = lambda *keys: sorted(tuple(r) for r in tables.cached_rows(spark.createDataFrame([(k,) for k in keys], "k string"), path, "k", schema, fetch).collect())
+    assert ask("a", "b", "a", None) == [("a", "a!"), ("b", "b!")]
+    assert ask("b", "c") == [("b", "b!"), ("c", "c!")] and ask("c", "a") == [("a", "a!"), ("c", "c!")]
+    assert fetched == [["a", "b"], ["c"]]
+    assert ask("none") == [] == ask(None) and fetched[-1] == ["none"]
+
+
+def test_trimmed_rows(spark):
+    df = spark.createDataFrame([(" A b\t", None, " X ")], "u string, v string, w string")
+    assert tuple(tables.trimmed(df, ["u", "v"], lower=True).first()) == ("a b", None, " X ")
