@@ -11,7 +11,8 @@ The cosine tells whether a piece declares a licence of a family; which one, name
 * a piece that names a family with a version (CLAIM) declares that version, whichever the template has; a
   template of another family doesn't count, nor does one of a versioned family where no version is named;
 * a title (a template that declares nothing) must match word by word; other templates need a declaring word
-  (DECLARES) and `least`, and a short piece with a word of doubt (DOUBTS) declares nothing.
+  (DECLARES) and the score `least`, or NEAR where the piece names that licence itself, and a short piece with a
+  word of doubt (DOUBTS) declares nothing.
 
 The best piece, of equal ones the first, gives the file's own licence. A file that matches as a whole, or by
 its first line or paragraph, is its directory's licence file, with the licence found there; files without a
@@ -78,7 +79,7 @@ TEMPLATES = {
         f"{_BSD_GRANT} {_BSD_THIRD}",
     ],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright; released under the CC0 1.0 public domain dedication.", "CC0 1.0 Universal"],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright; released under the CC0 1.0 public domain dedication.", "CC0 1.0 Universal"],
     "EPL-2.0": ["This program is made available and licensed under the terms of the Eclipse Public License 2.0."],
     "GPL-2.0": ["This program is licensed under the GNU General Public License, version 2.", _GPL_HEADER.format(v=2)],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _GPL_HEADER.format(v=3)],
@@ -114,11 +115,11 @@ TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 #: Words that only say which version; they are left out of the comparison, as CLAIM decides it.
 VERSION = r"^(v|version|v?[0-9](\.[0-9])?)$"
 LEAST = 0.75
-#: The score from which a piece counts as equal to a title.
-SAME = 0.999
+#: The score from which a piece counts as equal to a title, and that which suffices where a piece names the template's licence itself.
+SAME, NEAR = 0.999, 0.4
 #: Words by which a piece declares a licence, and words that make a short piece a remark about one.
 DECLARES = r"(^| )(licensed|licenced|released|distributed|redistribute|redistribution|permission|permitted|subject to|waived|dedicated|unencumbered)( |$)"
-DOUBTS = r"(^| )(not|never|no|isn|aren|wasn|weren|formerly|previously|was|were|once|unless|until|if|or|may|might|could|should)( |$)"
+DOUBTS = r"(^| )(not|never|no|isn|aren|wasn|weren|formerly|previously|was|were|once|unless|until|if|may|might|could|should)( |$)"
 SHORT = 20
 #: A family of versioned licences, up to twelve words, and the version; in words joined by single spaces.
 CLAIM = (
@@ -126,6 +127,8 @@ CLAIM = (
     r"creative commons attribution[a-z-]*|cc[ -]by[a-z-]*?|creative commons zero|cc0)(?: [a-z-]+){0,12}?[ -]?v?([0-9](?:\.[0-9])?)(?: |$)"
 )
 CLAUSES = r"(?:^| )bsd[ -]([0-9])-clause(?: |$)"
+#: Names of licences without a version.
+PLAIN = r"(?:^| )(mit|isc) licen[cs]e(?: |$)"
 #: A tag at the start of a line, behind signs of comments only.
 TAG = r"^[^A-Za-z0-9]*SPDX-License-Identifier:[\x20\x09]*(\(*[A-Za-z0-9.+\-]*[A-Za-z0-9+]\)*(?:[\x20\x09]+(?:AND|OR|WITH)[\x20\x09]+\(*[A-Za-z0-9.+\-]*[A-Za-z0-9+]\)*)*)"
 #: What parts paragraphs: line feeds with space only between them.
@@ -187,9 +190,10 @@ def kind_of(name: Column) -> Column:
     return F.when(F.startswith(name, F.lit("CC-BY")), "CC-BY").when(F.startswith(name, F.lit("BSD-")), "BSD").otherwise(F.regexp_replace(name, "-[0-9.]+$", ""))
 
 
-def decided(template: Column, title: Column, score: Column, claim: Column, declares: Column, doubts: Column, least: float) -> Column:
+def decided(template: Column, title: Column, score: Column, claim: Column, plain: Column, declares: Column, doubts: Column, least: float) -> Column:
     """The licence that a piece declares by its score with a template; null where it declares none."""
-    fits = F.when(title, score >= SAME).otherwise((score >= least) & declares & ~doubts)
+    itself = F.when(claim.isNotNull(), kind_of(claim) == kind_of(template)).otherwise(F.upper(plain) == template)
+    fits = F.when(title, score >= SAME).otherwise(((score >= least) | itself) & declares & ~doubts)
     versioned = F.regexp_like(template, F.lit("[0-9]"))
     named = F.when(claim.isNotNull(), F.when(kind_of(claim) == kind_of(template), claim)).when(~versioned, template)
     # two and three clauses are told apart by the text where no number is named
@@ -217,8 +221,8 @@ def own_licences(held: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
     tags = segments.filter("kind = 0").select(*at, F.regexp_extract("segment", TAG, 1).alias("name"), F.lit(1.0).alias("score")).filter("name <> ''")
     worded = segments.select(*at, _tokens(F.col("segment")).alias("tokens")).withColumn("words", F.array_join("tokens", " "))
     doubts = (F.size("tokens") <= SHORT) & F.regexp_like("words", F.lit(DOUBTS))
-    marked = worded.select(*at, "tokens", claimed(F.col("words")).alias("claim"), F.regexp_like("words", F.lit(DECLARES)).alias("declares"), doubts.alias("doubts"))
-    marks = ["claim", "declares", "doubts"]
+    marked = worded.select(*at, "tokens", claimed(F.col("words")).alias("claim"), F.regexp_extract("words", PLAIN, 1).alias("plain"), F.regexp_like("words", F.lit(DECLARES)).alias("declares"), doubts.alias("doubts"))
+    marks = ["claim", "plain", "declares", "doubts"]
     counts = marked.select(*at, *marks, F.explode(F.filter("tokens", lambda w: ~F.regexp_like(w, F.lit(VERSION)))).alias("token")).groupBy(*at, *marks, "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     other = F.broadcast(idf.filter("token = ''").select(F.col("idf").alias("other")))
     known = counts.join(idf, "token", "left").crossJoin(other).withColumn("idf", F.coalesce("idf", "other")).withColumn("sw", weight)
@@ -227,8 +231,8 @@ def own_licences(held: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
     same = F.col("a.id").eqNullSafe(F.col("b.id"))
     for c in at[1:]:
         same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    scored = dots.alias("a").join(norm.alias("b"), same).select("a.*", *marks, F.round(F.col("dot") / (F.col("tn") * F.col("sn")), 6).alias("score")).filter(F.col("score") >= least)
-    found = scored.select(*at, decided(F.col("name"), F.col("title"), F.col("score"), F.col("claim"), F.col("declares"), F.col("doubts"), least).alias("name"), "score").filter("name IS NOT NULL")
+    scored = dots.alias("a").join(norm.alias("b"), same).select("a.*", *marks, F.round(F.col("dot") / (F.col("tn") * F.col("sn")), 6).alias("score")).filter(F.col("score") >= min(NEAR, least))
+    found = scored.select(*at, decided(F.col("name"), F.col("title"), F.col("score"), F.col("claim"), F.col("plain"), F.col("declares"), F.col("doubts"), least).alias("name"), "score").filter("name IS NOT NULL")
     order = F.struct(-F.col("score"), "pos", "name")
     best = F.min_by(F.struct("name", "score"), order)
     of_file = F.min_by(F.when(F.col("pos") == 0, F.col("name")), F.when(F.col("pos") == 0, order))
@@ -307,7 +311,7 @@ lined AS (
 parts AS (
   SELECT *, regexp_extract(words, '{CLAIM}', 1) AS cn, regexp_extract(words, '{CLAIM}', 2) AS cv, regexp_extract(words, '{CLAUSES}', 1) AS cc FROM joined
 ), marked AS (
-  SELECT rid, kind, pos, regexp_matches(words, '{DECLARES}') AS declares, len(tokens) <= {SHORT} AND regexp_matches(words, '{DOUBTS}') AS doubts,
+  SELECT rid, kind, pos, upper(regexp_extract(words, '{PLAIN}', 1)) AS plain, regexp_matches(words, '{DECLARES}') AS declares, len(tokens) <= {SHORT} AND regexp_matches(words, '{DOUBTS}') AS doubts,
     CASE WHEN cn <> '' THEN CASE
         WHEN regexp_matches(cn, '^(affero|agpl)') THEN 'AGPL' WHEN regexp_matches(cn, '^(lesser|library|lgpl)') THEN 'LGPL' WHEN regexp_matches(cn, '^(general|gpl)') THEN 'GPL'
         WHEN starts_with(cn, 'apache') THEN 'Apache' WHEN regexp_matches(cn, '^(mozilla|mpl)') THEN 'MPL' WHEN regexp_matches(cn, '^(eclipse|epl)') THEN 'EPL'
@@ -328,7 +332,7 @@ scored AS (
   FROM known JOIN sides USING (token) JOIN norms USING (t) JOIN sn USING (rid, kind, pos) GROUP BY ALL
 ), fitting AS (
   SELECT rid, pos, score, name AS tpl, claim FROM scored JOIN marked USING (rid, kind, pos)
-  WHERE score >= {LEAST} AND CASE WHEN list_contains({titles}, t) THEN score >= {SAME} ELSE declares AND NOT doubts END
+  WHERE score >= {min(NEAR, LEAST)} AND CASE WHEN list_contains({titles}, t) THEN score >= {SAME} ELSE declares AND NOT doubts AND (score >= {LEAST} OR CASE WHEN claim IS NOT NULL THEN {kind('claim')} = {kind('name')} ELSE plain = name END) END
 ), found AS (
   SELECT rid, pos, score, CASE WHEN claim IS NOT NULL THEN CASE WHEN {kind('claim')} = {kind('tpl')} THEN claim END WHEN NOT regexp_matches(tpl, '[0-9]') OR starts_with(tpl, 'BSD-') THEN tpl END AS name FROM fitting
 ), all_found AS (SELECT rid, pos, score, name FROM found WHERE name IS NOT NULL UNION ALL SELECT rid, pos, score, name FROM tags),
