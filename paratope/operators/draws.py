@@ -58,7 +58,7 @@ class Pool:
         return tried.join(self.offers.select("source_id", "tcr_no", "tcr_id"), ["source_id", "tcr_no"]).select("antigen_id", "r", "j", "source_id", "tcr_id")
 
     def all_of(self, asks: DataFrame) -> DataFrame:
-        """antigen_id, source_id, tcr_id, n of every offer: for antigens whose candidates are as few as their need, or that draws leave short."""
+        """antigen_id, source_id, tcr_id, n of every offer: for antigens that draws leave short."""
         if not self.size:
             return asks.select("antigen_id", F.lit("").alias("source_id"), F.lit("").alias("tcr_id"), F.lit(1).alias("n")).limit(0)
         each = asks.select("antigen_id", F.explode(F.sequence(F.lit(0), F.lit(self.size - 1))).alias("source_no"))
@@ -134,10 +134,18 @@ def strike_out_sample(needs: DataFrame, pool: Pool, close: DataFrame, barred: Da
     asked = needs.select("antigen_id")
     lost = barred.join(asked, "antigen_id", "left_semi").join(pool.offers.select("source_id", "tcr_id"), "source_id").groupBy("antigen_id", "tcr_id").agg(F.count(F.lit(1)).alias("lost")).join(held, "tcr_id").filter("lost >= held").select("antigen_id", "tcr_id")
     gone = close.join(asked, "antigen_id", "left_semi").join(held.select("tcr_id"), "tcr_id", "left_semi").select("antigen_id", "tcr_id").unionByName(lost).distinct()
+    gone = settled(gone)
+    receptors = settled(numbered(held.select("tcr_id"), [], [F.col("tcr_id")], "no"))
+
+    def every_open(asks: DataFrame) -> DataFrame:
+        """All candidates of antigens that need about as many as there are."""
+        each = asks.select("antigen_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max(total, 1)).cast("long"))).alias("no"))
+        return each.join(receptors, "no").select("antigen_id", "tcr_id").join(gone, ["antigen_id", "tcr_id"], "left_anti")
+
     counts = needs.join(gone.groupBy("antigen_id").agg(F.count(F.lit(1)).alias("gone")), "antigen_id", "left").withColumn("candidates", F.lit(total) - F.coalesce("gone", F.lit(0)))
     counts = settled(counts.select("antigen_id", "need", "candidates"))
     scarce = counts.filter("candidates <= need")
-    every = _open(pool.all_of(scarce.filter("candidates > 0")), close, barred).select("antigen_id", "tcr_id").distinct()
+    every = every_open(scarce.filter("candidates > 0"))
     plenty = settled(counts.filter("candidates > need").select("antigen_id", "need"))
 
     short, parts, tries, before = plenty, [every], None, F.lit(0).cast("long")
@@ -154,7 +162,7 @@ def strike_out_sample(needs: DataFrame, pool: Pool, close: DataFrame, barred: Da
         before = end
     if tries is not None and not short.isEmpty():
         had = found.join(short.select("antigen_id"), "antigen_id", "left_semi").select("antigen_id", "tcr_id")
-        rest = _open(pool.all_of(short), close, barred).select("antigen_id", "tcr_id").distinct().join(had, ["antigen_id", "tcr_id"], "left_anti")
+        rest = every_open(short).join(had, ["antigen_id", "tcr_id"], "left_anti")
         late = numbered(rest.withColumn("t", seeded_number(f"{seed}|rest", "antigen_id", "tcr_id")), ["antigen_id"], [F.col("t"), F.col("tcr_id")], "_n").join(short, "antigen_id").filter(F.col("_n") <= F.col("need") - F.col("have"))
         parts += [had, late.select("antigen_id", "tcr_id")]
     left = counts.filter("candidates < need").select("antigen_id", (F.col("need") - F.col("candidates")).alias("need"))
