@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paratope.functions.distance import longest_common_substring
 from paratope.functions.hla import two_fields
 from paratope.functions.substrings import SubstringIndex
-from paratope.session import BROADCAST_ROWS, fitted, ship
+from paratope.session import BROADCAST_ROWS, fitted, settled, ship
 
 #: The order of chains where a sequence is matched against those of all.
 CHAINS = ("alpha", "beta", "heavy", "light")
@@ -35,14 +35,17 @@ def match_alleles(chains: DataFrame, reference: DataFrame, most: int = BROADCAST
 
     reference: chain, species, name, sequence, status, ord. Of equal sizes a Full one is preferred to a Partial
     one, then the first by ord. A sequence whose chain is null is matched against all chains of its species, in
-    the order of CHAINS. The reference is a table of species' alleles: up to `most` rows it is indexed by its
+    the order of CHAINS. The reference is a table of species' alleles: up to `most` distinct ones it is indexed by its
     suffixes, once, and each sequence is looked up; beyond, pairs are compared.
     """
     spark = chains.sparkSession
     ship(spark)
     keys = ["chain", "species"]
     asked = chains.select("seq", *keys).filter("seq IS NOT NULL").distinct()
-    rows = reference.select(*keys, "name", "sequence", "status", "ord").limit(most + 1).collect()
+    # of alleles with one sequence only the preferred can be found
+    first = F.min_by(F.struct("name", "status", "ord"), F.struct(F.when(F.col("status") == "Partial", 1).otherwise(0), "ord", "name"))
+    reference = settled(reference.groupBy(*keys, "sequence").agg(first.alias("b")).select(*keys, "b.name", "sequence", "b.status", "b.ord"))
+    rows = reference.limit(most + 1).collect()
     out = "seq string, chain string, species string, name string, sequence string, status string, size long"
     if len(rows) > most:
         same = (F.col("a.species") == F.col("r.species")) & (F.col("a.chain").isNull() | (F.col("a.chain") == F.col("r.chain")))
@@ -70,7 +73,8 @@ def match_alleles(chains: DataFrame, reference: DataFrame, most: int = BROADCAST
                         rows.append((seq, chain, species, *named[at], size))
                 yield pd.DataFrame(rows, columns=["seq", *keys, "name", "sequence", "status", "size"], dtype=object)
 
-        found = asked.mapInPandas(look_up, out)
+        # short rows with much work each: a number of parts that isn't coalesced
+        found = asked.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(look_up, out)
     return found.withColumn("proportion", F.col("size") / F.length("seq"))
 
 

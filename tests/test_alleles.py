@@ -46,3 +46,16 @@ def test_matches_by_chain_and_of_unknown_chains(spark, most):
         ("xGGGWWWy", "alpha", "human"): ("A2", 6), ("GGGWWWCD", "alpha", "human"): ("A1", 8), ("GGGWWWCD", None, "human"): ("B1", 8), ("KKKLLx", None, "human"): ("H1", 5),
         ("GGGWWWCDEF", None, "mouse"): ("M1", 10), ("zz", "heavy", "human"): ("H0", 0), ("zz", None, "human"): ("A2", 0),
     }
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_equal_sequences_are_indexed_once(spark, monkeypatch, most):
+    """Many alleles of few sequences: the preferred of each is indexed, however many rows the reference has."""
+    rows = [("alpha", "human", f"A{i:03}", ("GGGWWWCDE", "KKKLLLMMM", None)[i % 3], "Full" if i > 90 else "Partial", i) for i in range(120)]
+    ref = spark.createDataFrame(rows, "chain string, species string, name string, sequence string, status string, ord int")
+    calls = []
+    monkeypatch.setattr(alleles, "common_size", lambda a, b, plain=alleles.common_size: (calls.append(1), plain(a, b))[1])
+    df = spark.createDataFrame([("xGGGWW", "alpha", "human"), ("KKKL", None, "human"), ("zz", "alpha", "human")], "seq string, chain string, species string")
+    found = {r.seq: (r["name"], r["size"], r.status) for r in alleles.match_alleles(df, ref, most).collect()}
+    assert found == {"xGGGWW": ("A093", 5, "Full"), "KKKL": ("A091", 4, "Full"), "zz": ("A091", 0, "Full")}
+    assert bool(calls) == (most == 1)
