@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def roc_points(df: DataFrame, keys: list[str], label: Column, score: Column, bare: bool = True) -> DataFrame:
-    """keys, place, threshold, fpr, tpr of each group's curve; with `bare` inner points of straight lines are left out. Rows without a label or score don't count."""
-    rows = df.select(*keys, label.cast("int").alias("_y"), score.cast("double").alias("_s")).filter("_y IS NOT NULL AND _s IS NOT NULL AND NOT isnan(_s)")
-    scores = rows.groupBy(*keys, "_s").agg(F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_n"))
+def roc_points(df: DataFrame, keys: list[str], label: Column, score: Column, bare: bool = True, times: Column | None = None) -> DataFrame:
+    """keys, place, threshold, fpr, tpr of each group's curve; with `bare` inner points of straight lines are left out. A row counts `times`, else once. Rows without a label or score don't count."""
+    rows = df.select(*keys, label.cast("int").alias("_y"), score.cast("double").alias("_s"), (F.lit(1) if times is None else times).alias("_t")).filter("_y IS NOT NULL AND _s IS NOT NULL AND NOT isnan(_s)")
+    scores = rows.groupBy(*keys, "_s").agg(F.sum(F.col("_y") * F.col("_t")).alias("_p"), F.sum((1 - F.col("_y")) * F.col("_t")).alias("_n"))
     falling = Window.partitionBy(*keys).orderBy(F.desc("_s"))
     group = Window.partitionBy(*keys)
     upto = falling.rowsBetween(Window.unboundedPreceding, 0)

@@ -24,19 +24,22 @@ def probability(x: Column, w: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-STEEP), F.least(F.lit(STEEP), z))))
 
 
-def fitted_groups(df: DataFrame, keys: list[str], features: list[str], label: str, c: float = 1.0, max_iter: int = 100, tolerance: float = 1e-10) -> DataFrame:
+def fitted_groups(df: DataFrame, keys: list[str], features: list[str], label: str, c: float = 1.0, max_iter: int = 100, tolerance: float = 1e-10, times: str | None = None) -> DataFrame:
     """keys and w, the weights of the features and last the intercept, which isn't regularised, of each group's own regression.
 
-    Rows with a null in a feature or the label don't count. Each step sums gradient and curvature of the groups
+    Rows with a null in a feature or the label don't count; equal rows are counted together first, each as often as
+    `times` says, else once. Each step sums gradient and curvature of the groups
     that haven't converged; sums are taken in tasks first. A group of one class has weights, too, which the
     penalty and max_iter hold; nulls among keys are a group.
     """
     ship(df.sparkSession)
     d = len(features) + 1
     vector = F.array(*(F.col(f).cast("double") for f in features), F.lit(1.0)).alias("x")
-    own = df.dropna(subset=[*features, label]).select(F.to_json(F.struct(*keys)).alias("_g"), vector, F.col(label).cast("double").alias("y"), *keys)
+    count = F.sum(F.lit(1) if times is None else F.col(times)).cast("double").alias("n")
+    alike = df.dropna(subset=[*features, label]).groupBy(*keys, *features, label).agg(count)
+    own = settled(alike.select(F.to_json(F.struct(*keys)).alias("_g"), vector, F.col(label).cast("double").alias("y"), "n", *keys))
     named = own.select("_g", *keys).distinct()
-    rows = settled(own.select("_g", "x", "y"))
+    rows = own.select("_g", "x", "y", "n")
     penalty = np.r_[np.full(d - 1, 1 / c), 1e-12]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
 
@@ -63,8 +66,8 @@ def fitted_groups(df: DataFrame, keys: list[str], features: list[str], label: st
         met = rows.join(open_.select("_g", "w"), "_g")
         p = met.withColumn("p", probability(F.col("x"), F.col("w")))
         at = lambda i: F.col("x")[i]
-        gradient = [F.sum((F.col("p") - F.col("y")) * at(i)) for i in range(d)]
-        bend = [F.sum(F.col("p") * (1 - F.col("p")) * at(i) * at(j)) for i, j in pairs]
+        gradient = [F.sum(F.col("n") * (F.col("p") - F.col("y")) * at(i)) for i in range(d)]
+        bend = [F.sum(F.col("n") * F.col("p") * (1 - F.col("p")) * at(i) * at(j)) for i, j in pairs]
         sums = p.groupBy("_g").agg(F.first("w").alias("w"), F.array(*gradient, *bend).alias("sums"))
         stepped = sums.mapInPandas(solve, "_g string, w array<double>, moved double")
         weights = steps.put(stepped.unionByName(weights.filter(F.col("moved") < tolerance)))
@@ -75,13 +78,14 @@ def fitted_groups(df: DataFrame, keys: list[str], features: list[str], label: st
 def within_group_points(df: DataFrame, keys: list[str], features: list[str], row_key: str, label: str = "cognate", repeats: int = 10) -> DataFrame:
     """keys, fpr, tpr: the merged curve of `repeats` fits on nine tenths of each class of a group, tested on the rest; groups with fewer than ten rows of a class are left out."""
     chosen = df.dropna(subset=[*features, label]).select(*keys, row_key, label, *features)
-    split = settled(stratified_split(chosen, [*keys, label], row_key, repeats))
+    parts = stratified_split(chosen.select(*keys, label, *features, row_key), [*keys, label], row_key, repeats)
+    split = settled(parts.groupBy(*keys, label, *features, "iter", "is_test").agg(F.count(F.lit(1)).alias("_times")))  # equal rows have equal scores
     tests = split.filter("is_test")
     same = lambda a, b, names: reduce(lambda x, y: x & y, (F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names))
     both = tests.groupBy(*keys).agg(F.count_distinct(label).alias("n")).filter("n = 2").drop("n")
     used = split.alias("s").join(both.alias("b"), same("s", "b", keys), "left_semi")
-    weights = fitted_groups(used.filter("NOT is_test"), [*keys, "iter"], features, label)
+    weights = fitted_groups(used.filter("NOT is_test"), [*keys, "iter"], features, label, times="_times")
     x = F.array(*(F.col(f"t.{f}").cast("double") for f in features), F.lit(1.0))
-    scored = used.filter("is_test").alias("t").join(weights.alias("w"), same("t", "w", [*keys, "iter"])).select(*(F.col(f"t.{c}") for c in [*keys, "iter", label]), probability(x, F.col("w.w")).alias("score"))
-    points = curves.roc_points(scored, [*keys, "iter"], F.col(label), F.col("score"))
+    scored = used.filter("is_test").alias("t").join(weights.alias("w"), same("t", "w", [*keys, "iter"])).select(*(F.col(f"t.{c}") for c in [*keys, "iter", label, "_times"]), probability(x, F.col("w.w")).alias("score"))
+    points = curves.roc_points(scored, [*keys, "iter"], F.col(label), F.col("score"), times=F.col("_times"))
     return curves.merged_points(points, keys, "iter")

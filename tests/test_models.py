@@ -39,3 +39,13 @@ def test_within_group_curves(spark):
             merged.append(evaluation.roc_curve(np.array([int(r.cognate) for r in side(True)]), fit.score(x(side(True))))[:2])
         assert found[k] == pytest.approx(evaluation.merged_curves(merged)[2])
     assert {"hot", "b"} <= set(found)
+
+
+def test_equal_rows_are_kept_once(spark, monkeypatch):
+    """What is kept for the steps and curves grows with distinct rows, with the curve of whole lists."""
+    kept = []
+    monkeypatch.setattr(models, "settled", lambda df, plain=models.settled: (kept.append((out := plain(df)).count()), out)[1])
+    df = spark.range(4000).selectExpr("id", "id % 2 AS k", "pmod(hash(id), 3) = 0 AS cognate", "CAST(pmod(hash(id, 7), 4) AS double) AS x")
+    found = models.within_group_points(df, ["k"], ["x"], "id", repeats=2).collect()
+    assert {r.k for r in found} == {0, 1} and all(0 <= r.tpr <= 1 for r in found)
+    assert len(kept) == 2 and max(kept) <= 2 * 2 * 4 * 2 * 2
