@@ -5,14 +5,18 @@ edge while every pair of their members has one, and its length is the longest of
 shortest edge; equal lengths go to the smaller names, a cluster being named by its least member. As a merged
 edge is never before the edges that it comes from, pairs that are each other's first choice can merge at once.
 
-Groups of up to SIZE members are clustered in a task each; larger ones in rounds over all their edges, where
-each round merges every such pair. Both give the same clusters.
+Groups of up to SIZE edges are clustered in a task each, in rounds over arrays that merge every such pair while these
+are many; larger ones in such rounds over all their edges, until what is left of them fits a task. All give the same
+clusters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 from paratope.operators.relational import numbered
 from paratope.session import Steps, settled, ship
 
-SIZE = 4096
+#: Edges that a task takes; some 100 bytes each. Those that are left to the heap, which takes four times as much.
+SIZE, FEW = 4_000_000, 50_000
 
 
 def sparse_linkage(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
@@ -51,23 +56,64 @@ def sparse_linkage(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
     return head
 
 
-def _rounds(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """_g, member, cluster of edges (_g, a, b, dist) and parts (_g, member, cluster)."""
-    spark, steps = edges.sparkSession, Steps()
+def merged(n: int, d: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """sparse_linkage of edges in arrays; of several between two members the shortest counts."""
+    head = np.arange(n)
+    order = np.lexsort((d, j, i))
+    d, i, j = d[order], i[order], j[order]
+    new = np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])][: len(d)]
+    d, i, j = d[new], i[new], j[new]
+    while len(d) > FEW:
+        order = np.lexsort((j, i, d))
+        d, i, j = d[order], i[order], j[order]
+        place = np.arange(len(d))
+        first = np.full((2, n), len(d))
+        for side, ends in enumerate((i, j)):
+            first[side, ends[::-1]] = place[::-1]  # the last one written is the first edge
+        first = first.min(0)
+        pair = (first[i] == place) & (first[j] == place)
+        to, times = np.arange(n), np.ones(n, np.int8)
+        to[j[pair]], times[i[pair]], times[j[pair]] = i[pair], 2, 2
+        head, size = to[head], times[i] * times[j]
+        x, y = np.minimum(to[i], to[j]), np.maximum(to[i], to[j])
+        order = np.lexsort((y, x))
+        order = order[x[order] != y[order]]
+        x, y, d, size = x[order], y[order], d[order], size[order]
+        start = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(d)])
+        if len(start):
+            whole = np.diff(np.r_[start, len(d)]) == size[start]  # every pair of parts has its edge
+            d, i, j = np.maximum.reduceat(d, start)[whole], x[start][whole], y[start][whole]
+        else:
+            d, i, j = d[:0], x[:0], y[:0]
+        if 64 * np.count_nonzero(pair) < n:
+            break
+    return np.array(sparse_linkage(n, list(zip(d.tolist(), i.tolist(), j.tolist(), strict=True))))[head] if n else head
+
+
+def _rounds(edges: DataFrame, parts: DataFrame, size: int, finish: Callable) -> DataFrame:
+    """_g, member, cluster of edges (_g, a, b, dist) and parts (_g, member, cluster); finish(edges, names) clusters the groups of at most `size` edges."""
+    spark, steps, done = edges.sparkSession, Steps(), []
     edges, parts = steps.put(edges), steps.put(parts)
     while True:
+        large = settled(edges.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size).select("_g"))
+        few = parts.join(large, "_g", "left_anti")
+        heads = finish(edges.join(large, "_g", "left_anti"), few.select("_g", F.col("cluster").alias("member")).distinct())
+        done.append(settled(few.join(heads.select("_g", F.col("member").alias("cluster"), F.col("cluster").alias("_c")), ["_g", "cluster"]).select("_g", "member", F.col("_c").alias("cluster"))))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        edges, parts = edges.join(large, "_g", "left_semi"), parts.join(large, "_g", "left_semi")
         both = edges.select("_g", F.col("a").alias("x"), F.col("b").alias("y"), "dist").unionByName(edges.select("_g", F.col("b").alias("x"), F.col("a").alias("y"), "dist"))
         first = steps.put(both.groupBy("_g", "x").agg(F.min_by("y", F.struct("dist", F.least("x", "y"), F.greatest("x", "y"))).alias("y")))
         other = first.select("_g", F.col("x").alias("y"), F.col("y").alias("x"))
         pairs = steps.put(first.join(other, ["_g", "x", "y"]).filter("x < y").select("_g", F.col("x").alias("keep"), F.col("y").alias("gone")))
         if pairs.isEmpty():
-            return parts
+            return reduce(DataFrame.unionByName, [*done, settled(parts)])
         moved = pairs.select("_g", F.col("gone").alias("old"), F.col("keep").alias("new")).unionByName(pairs.select("_g", F.col("keep").alias("old"), F.col("keep").alias("new")))
         for side in ("a", "b"):
             ends = moved.select("_g", F.col("old").alias(side), F.col("new").alias(f"_{side}"))
             edges = edges.join(ends, ["_g", side], "left")
-        size = F.when(F.col("_a").isNull(), 1).otherwise(2) * F.when(F.col("_b").isNull(), 1).otherwise(2)
-        named = edges.select("_g", F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"), "dist", size.alias("size")).filter("x <> y")
+        held = F.when(F.col("_a").isNull(), 1).otherwise(2) * F.when(F.col("_b").isNull(), 1).otherwise(2)
+        named = edges.select("_g", F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"), "dist", held.alias("size")).filter("x <> y")
         joined = named.groupBy("_g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("dist").alias("dist"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
         edges = steps.put(joined.filter("n = size").select("_g", "a", "b", "dist"))  # every pair of parts has its edge
         parts = steps.put(parts.join(pairs.withColumnRenamed("gone", "cluster"), ["_g", "cluster"], "left").select("_g", "member", F.coalesce("keep", "cluster").alias("cluster")))
@@ -80,26 +126,29 @@ def clusters(edges: DataFrame, members: DataFrame, keys: list[str], cut: float =
     group = F.to_json(F.struct(*keys)).alias("_g")  # nulls are a group too
     own = settled(members.select(group, F.col(member).alias("member"), *keys).distinct())
     near = edges.filter(F.col("dist") <= cut).select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist").filter("a <> b")
-    counts = own.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
-    large = settled(counts.filter(F.col("n") > size).select("_g"))
+    near = settled(near)
+    large = settled(near.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size).select("_g"))
 
     def label(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         order = sorted(names["member"])
-        at = {m: i for i, m in enumerate(order)}
-        heads = sparse_linkage(len(order), [(d, at[a], at[b]) for a, b, d in zip(pairs["a"], pairs["b"], pairs["dist"], strict=True) if a in at and b in at])
+        at = pd.Index(order, dtype=object) if len(order) else pd.Index([])
+        a, b = at.get_indexer(pairs["a"].astype(object)), at.get_indexer(pairs["b"].astype(object))
+        held = (a >= 0) & (b >= 0)
+        heads = merged(len(order), pairs["dist"].to_numpy()[held], a[held], b[held])
         return pd.DataFrame({"_g": names["_g"].tolist(), "member": order, "cluster": [order[h] for h in heads]}, dtype=object)
 
     named = own.select("_g", "member", F.col("member").alias("cluster"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
+    finish = lambda edges, names: names.groupBy("_g").cogroup(edges.groupBy("_g")).applyInPandas(label, fields)
     some = not large.isEmpty()
     few = own.select("_g", "member").join(large, "_g", "left_anti") if some else own.select("_g", "member")
-    done = few.groupBy("_g").cogroup((near.join(large, "_g", "left_anti") if some else near).groupBy("_g")).applyInPandas(label, fields)
+    done = finish(near.join(large, "_g", "left_anti") if some else near, few)
     if some:
         held = named.join(large, "_g", "left_semi")
         inside = near.join(large, "_g", "left_semi")
         for side in ("a", "b"):
             inside = inside.join(held.select("_g", F.col("member").alias(side)), ["_g", side], "left_semi")
-        done = done.unionByName(_rounds(inside.groupBy("_g", "a", "b").agg(F.min("dist").alias("dist")), held))
+        done = done.unionByName(_rounds(inside.groupBy("_g", "a", "b").agg(F.min("dist").alias("dist")), held, size, finish))
     done = settled(done)
     heads = numbered(done.filter("member = cluster").select("_g", "cluster"), ["_g"], [F.col("cluster")], "place")
     named = own.select("_g", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
