@@ -39,13 +39,18 @@ GROUP = ["species", "chain"]
 
 
 def templates(germline: DataFrame, kind: str) -> DataFrame:
-    """species, chain, gene, residues and numbers (of the residues) of the V or J templates; V up to 104, J from 118 on."""
-    places = F.sequence(F.lit(1), F.length("gapped"))
-    part = places if kind == "V" else places
-    inside = (lambda i: i <= LAST_V) if kind == "V" else (lambda i: i >= FIRST_J)
-    held = F.filter(part, lambda i: inside(i) & ~F.substring("gapped", i, F.lit(1)).isin(".", "-"))
-    residues = F.array_join(F.transform(held, lambda i: F.substring("gapped", i, F.lit(1))), "")
-    return germline.filter((F.col("kind") == kind) & (F.length("gapped") > 0)).select(*GROUP, "gene", residues.alias("residues"), held.alias("numbers")).filter("residues <> ''")
+    """species, chain, gene, residues and numbers (of the residues) of the V or J templates; V up to 104, J from 118 on.
+
+    Residues are gathered by a grouping, not filtered by an expression of the gene: Spark would carry that condition over every
+    join by gene, and spell the template anew for each sequence that it is joined with.
+    """
+    places = F.when(F.length("gapped") > 0, F.sequence(F.lit(1), F.length("gapped")))
+    each = germline.filter(F.col("kind") == kind).select(*GROUP, "gene", "gapped", F.explode(places).alias("number"))
+    inside = F.col("number") <= LAST_V if kind == "V" else F.col("number") >= FIRST_J
+    letter = F.substring("gapped", F.col("number"), F.lit(1))
+    held = F.sort_array(F.collect_list(F.struct("number", letter.alias("letter"))))
+    rows = each.filter(inside & ~letter.isin(".", "-")).groupBy(*GROUP, "gene", "gapped").agg(held.alias("held"))
+    return rows.select(*GROUP, "gene", F.array_join("held.letter", "").alias("residues"), F.col("held.number").alias("numbers"))
 
 
 def _words(df: DataFrame, text: str, keys: list[str], place: str) -> DataFrame:
@@ -120,7 +125,8 @@ def called(receptors: DataFrame, germline: DataFrame, strict: bool = True) -> Da
     """
     ship(receptors.sparkSession)
     keys = ["seq", *GROUP]
-    asked = settled(receptors.select(*keys).filter("seq IS NOT NULL").distinct().withColumn("id", F.xxhash64(*keys)))
+    tasks = 4 * receptors.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced
+    asked = settled(receptors.select(*keys).filter("seq IS NOT NULL").distinct().withColumn("id", F.xxhash64(*keys)).repartition(tasks, "id"))
     v, j = templates(germline, "V"), templates(germline, "J")
     best, voted = best_templates(asked, v)
     sized = best.join(asked, "id", "right").join(F.broadcast(v), [*GROUP, "gene"], "left")

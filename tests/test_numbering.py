@@ -132,3 +132,27 @@ def test_banded_alignment():
     assert placed("XXABCDEFG", "ABCDEFG", 0, 4) == [2, 3, 4, 5, 6, 7, 8]
     assert placed("ABCXDEFGHIJ", "ABCDEFGHIJ", -2, 3) == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
     assert placed("ABCDEGHIJ", "ABCDEFGHIJ", -3, 2) == [0, 1, 2, 3, 4, -1, 5, 6, 7, 8]
+
+
+def test_templates_are_not_spelled_anew_for_each_sequence(spark):
+    """A condition on the template as an expression of its gene would be carried over a join by gene."""
+    table = spark.createDataFrame([("G1",), ("G2",)], "gene string").select(F.lit("human").alias("species"), F.lit("alpha").alias("chain"), F.lit("V").alias("kind"), "gene", F.sha2("gene", 256).alias("gapped"))
+    calls = spark.createDataFrame([("G1", 1), ("G2", 2), ("G3", 3)], "gene string, n int")
+    joined = calls.join(F.broadcast(numbering.templates(table, "V")), "gene")
+    assert sorted((r.n, len(r.residues)) for r in joined.collect()) == [(1, 64), (2, 64)]
+    conditions = [x for x in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert conditions and not any("sha2" in x for x in conditions)
+
+
+def test_templates_of_gaps_only_and_of_no_letters(spark):
+    rows = [("h", "a", "V", "G1", "A.-C"), ("h", "a", "V", "G2", "...."), ("h", "a", "V", "G3", ""), ("h", "a", "V", "G4", None), (None, "a", "V", "G5", "." * 103 + "CW"), ("h", "a", "J", "G6", "." * 116 + "AFG")]
+    df = spark.createDataFrame(rows, "species string, chain string, kind string, gene string, gapped string")
+    assert sorted((r.gene, r.residues, r.numbers) for r in numbering.templates(df, "V").collect()) == [("G1", "AC", [1, 4]), ("G5", "C", [104])]
+    assert [(r.gene, r.residues, r.numbers) for r in numbering.templates(df, "J").collect()] == [("G6", "FG", [118, 119])]
+
+
+def test_few_bytes_of_sequences_go_to_many_tasks(spark, germline, monkeypatch):
+    seen, best = [], numbering.best_templates
+    monkeypatch.setattr(numbering, "best_templates", lambda asked, genes: seen.append(asked.rdd.getNumPartitions()) or best(asked, genes))
+    numbering.genes(asked(spark, [domain("V1", "J1", loop_of(8))[0]]), germline).collect()
+    assert seen[0] >= 4 * spark.sparkContext.defaultParallelism
