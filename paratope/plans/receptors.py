@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paratope.operators import numbering
 from paratope.plans.catalogue import query, table
 from paratope.plans.jobs import with_cdrs
+from paratope.session import settled
 
 _HEX, _LETTERS = "0123456789abcdef", "ADEFGHIKLMNPQRST"
 
@@ -38,9 +39,10 @@ def germline(spark, sf_dir: str) -> DataFrame:
 
 
 def receptors(spark, sf_dir: str) -> DataFrame:
-    """s_suppkey and seq of each supplier, of a human alpha chain."""
+    """s_suppkey and seq of each supplier, of a human alpha chain; spelled in many tasks, as one file may hold all suppliers."""
     key, own = F.col("s_suppkey"), _spelled(F.sha1("s_name"))
-    named = table(spark, sf_dir, "supplier").join(F.broadcast(_residues(table(spark, sf_dir, "nation"))), F.col("s_nationkey") == F.col("n_nationkey"))
+    supplier = table(spark, sf_dir, "supplier").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")
+    named = supplier.join(F.broadcast(_residues(table(spark, sf_dir, "nation"))), F.col("s_nationkey") == F.col("n_nationkey"))
     named = named.join(F.broadcast(_joins(table(spark, sf_dir, "region"))), key % 5 == F.col("r_regionkey"))
     changed = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(96)), lambda t: F.when(t % (9 + key % 7) == 0, "W").otherwise(F.substring("v", t, F.lit(1)))), "")
     seq = F.concat(F.substring(own, F.lit(1), (key % 5).cast("int")), changed, F.substring(own, F.lit(10), (6 + key % 12).cast("int")), F.substring("j", 4, 11), F.lit("TVSP"))
@@ -61,7 +63,7 @@ _CALLS = f"""WITH g AS (SELECT n_nationkey, n_name AS gene, substr(translate(sha
 @query("germline_calls", _CALLS + " SELECT s_suppkey, gene AS v_gene, m::BIGINT AS v_score, CASE WHEN k >= 4 AND e >= 0 THEN j_gene END AS j_gene FROM tails JOIN b USING (s_suppkey)")
 def germline_calls(spark, sf_dir):
     """V and J genes of raw sequences; the statement compares each with all templates on all diagonals."""
-    asked = receptors(spark, sf_dir)
+    asked = settled(receptors(spark, sf_dir))
     found = numbering.genes(asked, germline(spark, sf_dir))
     return asked.join(found, ["seq", "chain", "species"]).select("s_suppkey", "v_gene", F.col("v_score").cast("long").alias("v_score"), "j_gene")
 
@@ -74,7 +76,7 @@ def germline_calls(spark, sf_dir):
 )
 def imgt_regions(spark, sf_dir):
     """Loops of raw sequences by their numbers; the second chain is missing."""
-    asked = receptors(spark, sf_dir)
+    asked = settled(receptors(spark, sf_dir))
     table_ = numbering.numbered(asked, germline(spark, sf_dir))
     none = F.lit(None).cast("string")
     triads = asked.select("s_suppkey", F.col("seq").alias("tcr_1_seq"), F.col("chain").alias("tcr_1_chain"), F.col("species").alias("tcr_1_species"), none.alias("tcr_2_seq"), F.lit("beta").alias("tcr_2_chain"), F.lit("human").alias("tcr_2_species"))

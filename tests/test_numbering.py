@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from paratope.functions.banded import placed
 from paratope.operators import numbering
 from paratope.operators.features import region_sequences
+from paratope.plans import receptors
+from tests.conftest import SF
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 rng = random.Random(11)
@@ -156,3 +158,9 @@ def test_few_bytes_of_sequences_go_to_many_tasks(spark, germline, monkeypatch):
     monkeypatch.setattr(numbering, "best_templates", lambda asked, genes: seen.append(asked.rdd.getNumPartitions()) or best(asked, genes))
     numbering.genes(asked(spark, [domain("V1", "J1", loop_of(8))[0]]), germline).collect()
     assert seen[0] >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_receptors_of_one_file_are_spelled_in_many_tasks(spark):
+    df = receptors.receptors(spark, SF)
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert df.count() == spark.read.parquet(f"{SF}/supplier.parquet").count()
