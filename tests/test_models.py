@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -49,3 +51,16 @@ def test_equal_rows_are_kept_once(spark, monkeypatch):
     found = models.within_group_points(df, ["k"], ["x"], "id", repeats=2).collect()
     assert {r.k for r in found} == {0, 1} and all(0 <= r.tpr <= 1 for r in found)
     assert len(kept) == 2 and max(kept) <= 2 * 2 * 4 * 2 * 2
+
+
+def test_only_the_last_tests_bin_is_ordered(spark, monkeypatch):
+    """A split orders the rows beside its end alone, and takes those that an order of all of them gives."""
+    ordered = []
+    monkeypatch.setattr(evaluation, "numbered", lambda df, *a, plain=evaluation.numbered: (ordered.append(df.count()), plain(df, *a))[1])
+    df = spark.range(6000).selectExpr("id", "IF(id % 3 = 0, NULL, id % 3) AS k").unionByName(spark.createDataFrame([(-1, 7)], "id long, k long"))
+    found = evaluation.stratified_split(df, ["k"], "id", 2).collect()
+    assert len(found) == 2 * 6001 and sum(ordered) <= 2 * 3 * 40
+    for i in range(2):
+        for k in (None, 1, 2, 7):
+            own = sorted((r for r in found if r.k == k and r.iter == i), key=lambda r: hashlib.md5(f"{i}|{r.id}".encode()).hexdigest())
+            assert [r.is_test for r in own] == [True] * (len(own) // 10) + [False] * (len(own) - len(own) // 10)
