@@ -227,3 +227,47 @@ def test_close_texts_equal_all_pairs(spark):
     for most in (0, 1, 3):
         found = sorted((r.a, r.b, r.edits) for r in negatives.close_texts(left, right, most).collect())
         assert found == sorted({(a, b, edits(a, b)) for a in words for b in others if edits(a, b) <= most})
+
+
+def test_candidates_are_counted_without_a_list(tables, monkeypatch):
+    """Counts by antigen equal brute force, from bits alone, over several blocks and words, and no near pair leaves a task."""
+    for name, size in (("SIDE", 3), ("FOCAL_SIDE", 5), ("DONOR_SIDE", 7), ("FOCAL_BLOCK", 4)):
+        monkeypatch.setattr(negatives, name, size)
+    for name in ("near_receptors", "_listed"):
+        monkeypatch.setattr(negatives, name, lambda *a: 1 / 0)
+    pos, neg = tables
+    for strict, reach in ((False, REACH), (True, REACH), (False, 120)):
+        found = {tuple(r[c] for c in ANTIGEN_COLUMNS): (r.n_rows, r.n_receptors) for r in negatives.candidate_counts(pos, neg, reach=reach, strict_donor=strict).collect()}
+        wanted = defaultdict(list)
+        for antigen, _, receptor in brute(pos.collect(), neg.collect(), reach, strict):
+            wanted[antigen].append(receptor)
+        assert found == {a: (len(t), len(set(t))) for a, t in wanted.items()}
+
+
+def test_a_donor_with_all_bits_meets_no_more(spark):
+    """70 antigens, two words: bits are united as edges tell, and a donor that has them all is measured no more."""
+    import numpy as np
+    import pyarrow as pa
+
+    loop = {c: "ACDEF" if not c.endswith("cdr_3") else "CASSAAYEQYF" for c in CDR_COLUMNS}
+    rows = [{"focal": True, "tcr_id": f"f{i}", "bits": [-1, 63] if i < 2 else [1, 0], **loop} for i in range(negatives.SIDE * 3)]
+    rows += [{"focal": False, "tcr_id": "d", "bits": [0, 0], **loop}, {"focal": False, "tcr_id": "far", "bits": [0, 0], **loop, "tcr_1_cdr_1": "WWWWW" * 20}]
+    kinds = {"focal": pa.bool_(), "tcr_id": pa.string(), "bits": pa.list_(pa.int64())} | {c: pa.string() for c in CDR_COLUMNS}
+    seen, plain = [], negatives.receptor_distances
+    negatives.receptor_distances = lambda a, b, loops: (seen.append(len(b["tcr_1_cdr_1"])), plain(a, b, loops))[1]
+    try:
+        found = negatives._unite(20, negatives.LOOPS, [-1, 63])(pa.Table.from_pylist(rows, pa.schema(list(kinds.items())))).to_pylist()
+    finally:
+        negatives.receptor_distances = plain
+    assert seen == [2, 1, 1] and np.all([r["tcr_id"] == "d" for r in found])
+    assert sorted((r["word"], r["marks"]) for r in found) == [(0, -1), (1, 63)]
+
+
+def test_scarce_antigens_need_no_pool(tables, monkeypatch):
+    """Antigens with no more candidates than they need get them without numbered offers."""
+    pos, neg = tables
+    monkeypatch.setattr(negatives.Pool, "of", lambda *a: 1 / 0)
+    out, left = negatives.drawn_negatives(relational.demand(pos, 10_000), pos, neg, reach=REACH)
+    got = {(tuple(r[c] for c in ANTIGEN_COLUMNS), tuple(r[c] for c in TCR_KEY)) for r in out.collect()}
+    assert got == {(a, t) for a, _, t in brute(pos.collect(), neg.collect(), REACH)} and got
+    assert left.count() == pos.select(*ANTIGEN_COLUMNS).distinct().count()
