@@ -17,7 +17,8 @@ from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from paratope.operators.relational import numbered
 from paratope.session import Steps, settled, ship
 
 #: Edges that a task takes; some 100 bytes each. Those that are left to the heap, which takes four times as much.
-SIZE, FEW = 4_000_000, 50_000
+SIZE, FEW = 2_000_000, 50_000
 
 
 def sparse_linkage(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
@@ -72,7 +73,7 @@ def merged(n: int, d: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             first[side, ends[::-1]] = place[::-1]  # the last one written is the first edge
         first = first.min(0)
         pair = (first[i] == place) & (first[j] == place)
-        to, times = np.arange(n), np.ones(n, np.int8)
+        to, times = np.arange(n, dtype=i.dtype), np.ones(n, np.int8)
         to[j[pair]], times[i[pair]], times[j[pair]] = i[pair], 2, 2
         head, size = to[head], times[i] * times[j]
         x, y = np.minimum(to[i], to[j]), np.maximum(to[i], to[j])
@@ -129,17 +130,18 @@ def clusters(edges: DataFrame, members: DataFrame, keys: list[str], cut: float =
     near = settled(near)
     large = settled(near.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size).select("_g"))
 
-    def label(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(names["member"])
-        at = pd.Index(order, dtype=object) if len(order) else pd.Index([])
-        a, b = at.get_indexer(pairs["a"].astype(object)), at.get_indexer(pairs["b"].astype(object))
-        held = (a >= 0) & (b >= 0)
-        heads = merged(len(order), pairs["dist"].to_numpy()[held], a[held], b[held])
-        return pd.DataFrame({"_g": names["_g"].tolist(), "member": order, "cluster": [order[h] for h in heads]}, dtype=object)
+    def label(names: pa.Table, pairs: pa.Table) -> pa.Table:
+        order = names["member"].combine_chunks()
+        order = order.take(pc.sort_indices(order))
+        at = [pc.index_in(pairs[c], value_set=order) for c in ("a", "b")]  # 4 bytes an edge, no objects
+        held = pc.and_(*(x.is_valid() for x in at))
+        i, j, d = (x.filter(held).to_numpy() for x in (*at, pairs["dist"]))
+        heads = merged(len(order), d, i, j)
+        return pa.table({"_g": pa.repeat(names["_g"][0], len(order)) if len(order) else names["_g"], "member": order, "cluster": order.take(pa.array(heads, pa.int64()))})
 
     named = own.select("_g", "member", F.col("member").alias("cluster"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
-    finish = lambda edges, names: names.groupBy("_g").cogroup(edges.groupBy("_g")).applyInPandas(label, fields)
+    finish = lambda edges, names: names.groupBy("_g").cogroup(edges.groupBy("_g")).applyInArrow(label, fields)
     some = not large.isEmpty()
     few = own.select("_g", "member").join(large, "_g", "left_anti") if some else own.select("_g", "member")
     done = finish(near.join(large, "_g", "left_anti") if some else near, few)

@@ -66,3 +66,15 @@ def test_empty(spark):
     none = spark.createDataFrame([], "k string, a string, b string, dist double")
     assert linkage.clusters(none, spark.createDataFrame([], "k string, tcr_id string"), ["k"]).count() == 0
     assert [tuple(r) for r in linkage.clusters(none, spark.createDataFrame([("g", "x")], "k string, tcr_id string"), ["k"]).collect()] == [("g", "x", 1)]
+
+
+def test_edges_are_labelled_without_objects(spark, monkeypatch):
+    """A group's edges reach the clustering as four-byte numbers, for names of any kind; unknown names have no say."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda *a: 1 / 0)
+    for kind, name in (("long", int), ("string", "é{:03}".format)):
+        members = spark.createDataFrame([(k, name(m)) for k in ("g", None) for m in range(6)] + [("h", name(1))], f"k string, tcr_id {kind}")
+        edges = spark.createDataFrame([(k, name(a), name(b), 1.0) for k in ("g", None, "h") for a, b in ((0, 1), (2, 4), (4, 5), (2, 5), (3, 9))], f"k string, a {kind}, b {kind}, dist double")
+        found = {(r.k, r.tcr_id): r.cluster for r in linkage.clusters(edges, members, ["k"], 1.2).collect()}
+        assert found == {(k, name(m)): c for k in ("g", None) for m, c in enumerate([1, 1, 2, 3, 2, 2])} | {("h", name(1)): 1}
